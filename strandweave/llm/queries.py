@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import table
+from .bpe_ids import encode_corpus
 from .same_form import consistent_form, find_copies
 
 
@@ -18,9 +19,14 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_form(table(spark, d, "actions").select("ingest_seq", "action_text", "target"), ["action_text", "target"]).select("ingest_seq", "action_text_form", "target_form")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
+    "p8_ids": p8_ids,
 }
 
 SQL: dict[str, str] = {}
