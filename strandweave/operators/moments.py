@@ -73,6 +73,7 @@ CASCADE: tuple[tuple[str, str, str], ...] = (
 #: Numbers counting from 1970, by digits: seconds, milli-, micro-, nanoseconds.
 EPOCH = ((r"^\d{9,10}$", 1), (r"^\d{12,13}$", 1_000), (r"^\d{15,16}$", 1_000_000), (r"^\d{18,19}$", 1_000_000_000))
 YEARS = (1990, 2099)
+OPEN = -(1 << 40)  # stands for "not determined" between two steps
 
 
 def _days(y: Column, m: Column, d: Column) -> Column:
@@ -162,30 +163,45 @@ def _parse(df: DataFrame, out: str, home: str) -> DataFrame:
         F.when(s.rlike(p) & (k.isNull() | ~k.isin("hour", "compact")), F.floor(s.try_cast("decimal(20,0)") / div / 60).cast("long")) for p, div in EPOCH
     ])
     df = df.withColumns({f"_{out}_zn": zoned, f"_{out}_e": epoch})
-    return df.withColumn(f"{out}_c", F.array_distinct(F.array_compact(F.concat(
-        F.array(c("e")),
-        _instants(c("d1"), c("m"), c("off"), c("zn")),
-        _instants(c("d2"), c("m"), c("off"), c("zn")),
-    )))).withColumns({
+    partial = F.col(f"_{out}_k").isin("hour", "day", "day_mail", "day_cjk", "day_dotted")
+    wall1 = c("d1") * 1440 + c("m")
+    guess, steady = _guess(wall1, c("zn"))
+    # Nearly every value has one candidate that scalar arithmetic gives; arrays are built for the others only.
+    df = df.withColumns({f"_{out}_w": wall1, f"_{out}_g": F.when(c("e").isNull() & c("off").isNull(), guess)})
+    one = F.coalesce(
+        c("e"), F.when(c("d2").isNull(), F.coalesce(c("w") - c("off"), F.when(steady(c("g")), c("g"))))
+    )
+    df = df.withColumn(f"{out}_1", one)
+    many = F.when(
+        F.col(f"{out}_1").isNull() & k.isNotNull(),
+        F.array_distinct(F.concat(_instants(c("d1"), c("m"), c("off"), c("zn")), _instants(c("d2"), c("m"), c("off"), c("zn")))),
+    )
+    return df.withColumns({
+        f"{out}_c": many,
         # what a value without a minute still says: its day, or day and hour, on the wall
-        f"{out}_lo": F.when(F.col(f"_{out}_k").isin("hour", "day", "day_mail", "day_cjk", "day_dotted"), c("d1") * 1440 + F.when(k == "hour", c("h") * 60).otherwise(0)),
-        f"{out}_hi": F.when(F.col(f"_{out}_k").isin("hour", "day", "day_mail", "day_cjk", "day_dotted"), c("d1") * 1440 + F.when(k == "hour", c("h") * 60 + 59).otherwise(1439)),
+        f"{out}_lo": F.when(partial, c("d1") * 1440 + F.when(k == "hour", c("h") * 60).otherwise(0)),
+        f"{out}_hi": F.when(partial, c("d1") * 1440 + F.when(k == "hour", c("h") * 60 + 59).otherwise(1439)),
     })
 
 
+def _guess(wall: Column, zone: Column):
+    """The UTC minute of a wall clock, and a test that no change of the zone's clock is near it."""
+    guess = F.when(zone == "UTC", wall).otherwise((F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall * 60), zone)) / 60).cast("long"))
+    ahead = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u * 60), zone)) - u * 60
+    return guess, lambda u: (zone == "UTC") | (ahead(u - 1440) == ahead(u + 1440))
+
+
 def _instants(day: Column, minute: Column, off: Column, zone: Column) -> Column:
     """UTC minutes at which the wall clock (day, minute) is shown: none, one or two."""
     wall = day * 1440 + minute
-    fixed = F.when(off.isNotNull(), F.array(wall - off))
-    as_ts = F.timestamp_seconds(wall * 60)
-    guess = F.unix_seconds(F.to_utc_timestamp(as_ts, zone)) / 60
-    guess = guess.cast("long")
+    guess = (F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall * 60), zone)) / 60).cast("long")
     shown = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u * 60), zone)) == wall * 60
-    local = F.when(
-        off.isNull() & zone.isNotNull() & wall.isNotNull(),
-        F.when(zone == "UTC", F.array(wall)).otherwise(F.filter(F.transform(F.array(*[F.lit(x) for x in (-60, -30, 0, 30, 60)]), lambda x: guess + x), shown)),
+    local = F.filter(F.transform(F.array(*[F.lit(x) for x in (-60, -30, 0, 30, 60)]), lambda x: guess + x), shown)
+    return (
+        F.when(off.isNotNull() & wall.isNotNull(), F.array(wall - off))
+        .when(off.isNull() & zone.isNotNull() & wall.isNotNull(), local)
+        .otherwise(F.array().cast("array<bigint>"))
     )
-    return F.coalesce(fixed, local, F.array().cast("array<bigint>"))
 
 
 def resolve_minutes(
@@ -205,8 +221,10 @@ def resolve_minutes(
     for source, name in ((date, "_p4d"), (timestamp, "_p4t")):
         df = _fields(df, source, name)
         df = _parse(df, name, "_home")
-    a, b = F.col("_p4d_c"), F.col("_p4t_c")
-    both = F.array_intersect(a, b)
+    one_a, one_b = F.col("_p4d_1"), F.col("_p4t_1")
+    none = F.array().cast("array<bigint>")
+    a = F.when(one_a.isNotNull(), F.array(one_a)).otherwise(F.coalesce(F.col("_p4d_c"), none))
+    b = F.when(one_b.isNotNull(), F.array(one_b)).otherwise(F.coalesce(F.col("_p4t_c"), none))
 
     def filtered(cands: Column, lo: Column, hi: Column) -> Column:
         """Candidates whose wall clock lies in the part the other field gives, if one does so in the home zone;
@@ -216,14 +234,19 @@ def resolve_minutes(
         near = F.filter(cands, lambda u: (u >= lo - 14 * 60) & (u <= hi + 14 * 60))
         return F.when(lo.isNull() | (F.size(cands) < 2), cands).when(F.size(exact) > 0, exact).otherwise(near)
 
+    open_a = F.col("_p4d_c").isNotNull() & (F.size("_p4d_c") > 0)
+    open_b = F.col("_p4t_c").isNotNull() & (F.size("_p4t_c") > 0)
+    df = df.withColumn("_p4_1", F.when(one_a.isNotNull() & one_b.isNotNull(), F.when(one_a == one_b, one_a).otherwise(F.lit(OPEN)))
+                       .when(one_a.isNotNull() & ~open_b, one_a).when(one_b.isNotNull() & ~open_a, one_b).when(~open_a & ~open_b, F.lit(OPEN)))
     left = (
-        F.when((F.size(a) > 0) & (F.size(b) > 0), both)
+        F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_intersect(a, b))
         .when(F.size(a) > 0, filtered(a, F.col("_p4t_lo"), F.col("_p4t_hi")))
         .otherwise(filtered(b, F.col("_p4d_lo"), F.col("_p4d_hi")))
     )
-    df = df.select(*keep, left.alias("_p4_left"))
+    df = df.withColumn("_p4_left", F.when(F.col("_p4_1").isNull(), left))
+    minute = F.when(F.col("_p4_1") == OPEN, F.lit(None)).when(F.col("_p4_1").isNotNull(), F.col("_p4_1")).when(F.size("_p4_left") == 1, F.col("_p4_left").getItem(0))
     # A generator, not a projection: a filter on the result must not be pushed into (and copy) the cascade.
-    return df.select(*keep, F.explode_outer(F.when(F.size("_p4_left") == 1, F.col("_p4_left"))).alias(out))
+    return df.select(*keep, F.array(minute).alias("_p4_out")).select(*keep, F.explode_outer("_p4_out").alias(out))
 
 
 def minute_text(minute: Column) -> Column:
