@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import table
 from .bpe_ids import encode_corpus
+from .leaks import find_leaks
 from .same_form import consistent_form, find_copies
 
 
@@ -23,10 +24,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_alignments(spark, d).where("longest_run >= 15").select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_alignments": p9_alignments,
 }
 
 SQL: dict[str, str] = {}
