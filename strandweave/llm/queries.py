@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import table
 from .bpe_ids import encode_corpus
 from .leaks import find_leaks
+from .residue import find_residue
 from .same_form import consistent_form, find_copies
 
 
@@ -32,12 +33,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_alignments(spark, d).where("longest_run >= 15").select("doc_id", "item_id")
 
 
+def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_kinds(spark, d).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_alignments": p9_alignments,
+    "p10_found": p10_found,
+    "p10_kinds": p10_kinds,
 }
 
 SQL: dict[str, str] = {}
