@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import table
 from .bpe_ids import encode_corpus
 from .leaks import find_leaks
+from .personal import personal_kinds, redacted
 from .residue import find_residue
 from .same_form import consistent_form, find_copies
 
@@ -41,9 +43,24 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_kinds(spark, d).select("doc_id").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    posts = personal_kinds(table(spark, d, "actions"), "actions", F.col("ingest_seq").cast("string"), "action_text")
+    key = F.concat_ws(":", F.col("community_id").cast("string"), F.col("user_id").cast("string"))
+    return posts.unionByName(personal_kinds(table(spark, d, "user_profile_cache"), "user_profile_cache", key, "profile_text"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    posts = table(spark, d, "actions").select(F.lit("actions").alias("src"), F.col("ingest_seq").cast("string").alias("rec_key"), F.col("action_text").alias("text"))
+    key = F.concat_ws(":", F.col("community_id").cast("string"), F.col("user_id").cast("string"))
+    bios = table(spark, d, "user_profile_cache").select(F.lit("user_profile_cache").alias("src"), key.alias("rec_key"), F.col("profile_text").alias("text"))
+    return redacted(posts.unionByName(bios), "text").select("src", "rec_key", "text_redacted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_alignments": p9_alignments,
