@@ -27,7 +27,10 @@ LOOKALIKES = {
 }
 
 # Characters without width, beside the categories Cf (format) and variation selectors.
-INVISIBLE = "­͏ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎﻿ﾠㅤ￹￺￻"
+INVISIBLE = (
+    "\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068"
+    "\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufeff\uffa0\u3164\ufff9\ufffa\ufffb"
+)
 
 #: Compatibility decompositions that only change the form, not what one reads.
 SAME_TO_THE_EYE = {"<wide>", "<narrow>", "<compat>", "<square>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>"}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import table
 from .bpe_ids import encode_corpus
+from .languages import fit_language_net, language_segments, unnamed_languages
 from .leaks import find_leaks
 from .personal import personal_kinds, redacted
 from .residue import find_residue
@@ -43,6 +44,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_kinds(spark, d).select("doc_id").distinct()
 
 
+def _language_net(spark: SparkSession, d: str):
+    clean = [table(spark, d, "eval_items").select("item_text", "lang"), table(spark, d, "pinned_posts").select("post_text", "lang")]
+    return fit_language_net(table(spark, d, "actions"), clean, key="ingest_seq", text="action_text", lang="lang")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return unnamed_languages(table(spark, d, "actions"), "ingest_seq", "action_text", "lang", _language_net(spark, d))
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language_segments(table(spark, d, "actions"), "ingest_seq", "action_text", _language_net(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     posts = personal_kinds(table(spark, d, "actions"), "actions", F.col("ingest_seq").cast("string"), "action_text")
     key = F.concat_ws(":", F.col("community_id").cast("string"), F.col("user_id").cast("string"))
@@ -59,6 +73,8 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
+    "p3_found": p3_found,
+    "p3_segments": p3_segments,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p8_ids": p8_ids,
