@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
+from .abuse import rates, score_fields
 from .bpe_ids import encode_corpus
 from .languages import fit_language_net, language_segments, unnamed_languages
 from .leaks import find_leaks
@@ -16,6 +17,18 @@ from .residue import find_residue
 from .same_form import consistent_form, find_copies
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return score_fields(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"], only_found=True).select("ingest_seq", "field")
+
+
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score_fields(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"])
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"], "feed")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return find_copies(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"], table(spark, d, "pinned_posts"))
 
@@ -71,6 +84,9 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_scores": p1_scores,
+    "p1_rates": p1_rates,
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p3_found": p3_found,
