@@ -221,7 +221,7 @@ def sft_sample(profile: Column, history: Column, a: Column, content: Column) ->
     kind = text(a["action_type"])
     tail = F.when(content, F.lit("")).otherwise(F.lit(f"\nAvailable actions: {C.SFT_AVAILABLE}"))
     body = F.concat(
-        F.lit("Target user profile: "), profile, F.lit("\nUser historical behavior sequence: "), F.array_join(F.transform(history, sft_line), "\n"),
+        F.lit("Target user profile: "), profile, F.lit("\nUser historical behavior sequence: "), F.array_join(F.transform(history, lambda h: sft_line(h)), "\n"),
         F.lit("\nCurrent scenario: After completing the above historical behaviors, "), sft_scenario(a, content), tail,
     )
     out = F.when(content & (kind == "post"), first_of(a["action_text"], a["target"])).when(content, text(a["action_text"])).otherwise(kind)
