@@ -394,3 +394,30 @@ def r_customers_with_orders(spark, d):
     o = table(spark, d, "orders")
     big = o.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total")).where("n_orders > 10")
     return big.join(o.where("o_orderstatus = 'X'").select("o_custkey").distinct(), "o_custkey", "left_anti")
+
+
+def _stub_nested(spark: SparkSession, d: str) -> DataFrame:
+    return windows.nest(_windows(spark, d))
+
+
+@query()
+def r_pair_rounds(spark, d):
+    """Rolling rounds of pair mining with the deterministic stand-in models."""
+    from . import models, pipelines
+
+    found, _ = pipelines.mine_pairs(_stub_nested(spark, d), models.Models(), n=4)
+    return found.select("user_id", "round_idx", "chosen", "rejected", "margin", "pair_rule", "chosen_source", "rejected_source")
+
+
+@query()
+def r_chain_evaluation(spark, d):
+    from . import models, pipelines
+
+    return pipelines.evaluate_chain(_stub_nested(spark, d), pipelines.METHODS[4], models.Models(), steps=3)
+
+
+@query()
+def r_slice_evaluation(spark, d):
+    from . import models, pipelines
+
+    return pipelines.evaluate_slice(_stub_nested(spark, d), "error", models.Models())
