@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,16 +90,39 @@ MESSAGE_WORDS = frozenset(
 NEUTRAL = frozenset("the a an of to in on at for by with from and or it its this that these is was be has have been will may must no your our my we us as so let if when then than de la le les des du et à el los las un una y o der die das den dem ein eine und zu im il lo di da em e do os het een van i w na ve bir".split())
 FURNITURE = re.compile(r"^(?:powered by \S+|back to the (?:start|home) ?page|home(?: \| \w+)+|©.{0,40}|\W*|lumo)$", re.IGNORECASE)
 _LABEL = re.compile(r"^\s*([^\W\d_][\w ]{0,24}?)\s?:\s+(?=\S)")
-_BLANK_LABEL = re.compile(r"^\s*[^\W\d_][\w ]{0,24}?\s?:\s*$")
+# What every placeholder holds some of.
+_MAYBE = re.compile(r"[{\[<%$]|__|\?{5}|x{4}|undefined|nan|todo|fixme|tbd|^(?:null|none|nil|n/a)$", re.IGNORECASE)
 _WORDS = re.compile(r"[^\W_](?:[\w'’-]*[^\W_])?")
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
 _SENTENCES = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _CODE = re.compile(r"^(?:\d+|[0-9a-f]*\d[0-9a-f-]*)$")
 
 
+# Parts of words of which every strong phrase holds one.
+HINTS = (
+    "error erreur fehler erro errore fout błąd hata ошибк помилк found gateway timeout time-out time-outs unavailab forbid too|many rate|limit denied permission went|wrong no|longer not|available disponi introuvable gefunden verfügbar existiert encontrad "
+    "trovat gevonden beschikbaar znalezion niedostęp bulunama найден недоступ знайден 見つかり エラー 利用でき 찾을 오류 traceback exception stack|trace segmentation upstream connection timed checking verify are|you captcha maintenance session could|not "
+    "failed|to unable|to couldn't can't|be cannot|be status= try|again javascript js script スクリプト 스크립트 скрипт placeholder here sample|text dummy replace your|own lorem to|be texto|de sustituir remplacer d'exemple faux|texte platzhalter beispieltext "
+    "blindtext mustertext hier testo voorbeeld zastępcz przykładowy örnek|metin пример заполнитель приклад ダミー ここに サンプル 여기에 예시 service internal unauthori gone bad"
+).split()
+
+
+@lru_cache(maxsize=1)
+def _hints():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for h in {*(h.replace("|", " ") for h in HINTS), *FILL_WORDS, *(w for w in LATIN_FILLER if len(w) >= 4)}:
+        a.add_word(h, h)
+    a.make_automaton()
+    return a
+
+
 def _message(block: str) -> str | None:
     """The kind of page template or filler that the block as a whole is, else None."""
     low = block.casefold().replace("’", "'")
+    if next(_hints().iter(low), None) is None:
+        return None
     words = [w for w in _WORDS.findall(low) if not _CODE.match(w)]
     if not words:
         return None
@@ -112,12 +136,14 @@ def _message(block: str) -> str | None:
     if len(words) >= 3 and all(w in FILL_WORDS for w in words):
         return "filler"
     covered = sum(w in MESSAGE_WORDS for w in telling) / len(telling)
+    cjk = bool(_CJK.search(low))
+    if len(low) > 60 if cjk else covered < 0.6 and len(words) > 12:
+        return None
     for kind, strong in STRONG.items():
         if not strong.search(low):
             continue
-        if _CJK.search(low):
-            if len(low) <= 60:
-                return kind
+        if cjk:
+            return kind
         elif covered >= 0.6:
             return kind
         else:
@@ -131,22 +157,25 @@ def _message(block: str) -> str | None:
 def judge(text: str) -> list[tuple[str, str | None, str | None]]:
     """(kind, context, value) of every suspicious block: a null context needs no alignment."""
     out: list[tuple[str, str | None, str | None]] = []
-    blocks = [" ".join(skeleton(b).split()) for b in re.split(r"[\r\n  \x0b\x0c\x85]+", unicodedata.normalize("NFC", text))]
+    blocks = [" ".join(skeleton(b).split()) for b in re.split(r"[\r\n  \x0b\x0c\x85]+", text if text.isascii() else unicodedata.normalize("NFC", text))]
     blocks = [b for b in blocks if b]
     for b in blocks:
         if FURNITURE.match(b):
             continue
         m = _LABEL.match(b)
+        marked = _MAYBE.search(b) is not None
         for body in ([b[m.end() :], b] if m else [b]):
             parts = [_message(x) for x in _SENTENCES.split(body) if not FURNITURE.match(x)]
             kind = _message(body) or (parts[0] if len(parts) > 1 and all(parts) else None)
             if kind:
                 out.append((kind, None, None))
                 break
-            if len(body) <= 80 and not _WORDS.search(PLACEHOLDER.sub(" ", body)) and PLACEHOLDER.search(body):
+            if marked and len(body) <= 80 and not _WORDS.search(PLACEHOLDER.sub(" ", body)) and PLACEHOLDER.search(body):
                 out.append(("placeholder", None, None))
                 break
         else:
+            if not marked:
+                continue
             spots = list(PLACEHOLDER.finditer(b))
             rest = _WORDS.findall(PLACEHOLDER.sub(" ", b))
             if spots and len(rest) <= 24:
