@@ -10,6 +10,7 @@ texts have equal forms exactly if they have equal skeletons.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -81,10 +82,29 @@ def char_map() -> dict[int, str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _work() -> re.Pattern:
+    """Finds a character that the fold changes, or that composes with others."""
+    folds = _ranges([*char_map(), *range(0x300, 0x370), *range(0x1100, 0x1200), 0x3099, 0x309A])
+    return re.compile("[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in folds) + "]")
+
+
+def _ranges(cps) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for cp in sorted(set(cps)):
+        if out and cp == out[-1][1] + 1:
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return [(a, b) for a, b in out]
+
+
 def skeleton(s: str) -> str:
-    """The skeleton of ``s``; the same result as the DuckDB expression of ``skeleton_sql``."""
+    """The skeleton of ``s``; the same result as ``fold_sql`` in DuckDB."""
     if s.isascii():
         return s
+    if not _work().search(s):
+        return unicodedata.normalize("NFC", s)
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", s.translate(char_map())).translate(char_map()))
 
 
@@ -94,13 +114,7 @@ def _q(s: str) -> str:
 
 def _cls(chars) -> str:
     """A regular-expression class of ``chars``, as ranges."""
-    cps, out = sorted(ord(c) for c in set(chars)), []
-    for cp in cps:
-        if out and cp == out[-1][1] + 1:
-            out[-1][1] = cp
-        else:
-            out.append([cp, cp])
-    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out) + "]"
+    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in _ranges(ord(c) for c in set(chars))) + "]"
 
 
 def fold_sql(source: str) -> str:
