@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import jit_sized_methods
+
 # English month abbreviations, in order.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -134,8 +136,11 @@ def _fields(df: DataFrame, source: str, out: str) -> DataFrame:
     return df.withColumn(f"_{out}_f", F.split(fields, r"\|", -1))
 
 
-def _parse(df: DataFrame, out: str, home: str) -> DataFrame:
-    """Add ``{out}_c``, the candidate UTC minutes, and ``{out}_lo/hi/wall``, the filter of a partial value."""
+def _parse(df: DataFrame, out: str, home: str, like: str | None = None) -> DataFrame:
+    """Add ``{out}_1`` or ``{out}_c``, the candidate UTC minutes, and ``{out}_lo/hi``, the filter of a partial value.
+
+    ``like`` names a field parsed before: if it shows the same wall clock, its result is used again.
+    """
     f, k, s = F.col(f"_{out}_f"), F.col(f"_{out}_k"), F.col(f"_{out}_s")
     part = lambda i: f.getItem(i)
     df = df.withColumns({
@@ -164,13 +169,14 @@ def _parse(df: DataFrame, out: str, home: str) -> DataFrame:
     ])
     df = df.withColumns({f"_{out}_zn": zoned, f"_{out}_e": epoch})
     partial = F.col(f"_{out}_k").isin("hour", "day", "day_mail", "day_cjk", "day_dotted")
-    wall1 = c("d1") * 1440 + c("m")
-    guess, steady = _guess(wall1, c("zn"))
     # Nearly every value has one candidate that scalar arithmetic gives; arrays are built for the others only.
-    df = df.withColumns({f"_{out}_w": wall1, f"_{out}_g": F.when(c("e").isNull() & c("off").isNull(), guess)})
-    one = F.coalesce(
-        c("e"), F.when(c("d2").isNull(), F.coalesce(c("w") - c("off"), F.when(steady(c("g")), c("g"))))
-    )
+    df = df.withColumn(f"_{out}_w", c("d1") * 1440 + c("m"))
+    local = _steady(c("w"), c("zn"))
+    if like:
+        other = lambda n: F.col(f"_{like}_{n}")
+        same = other("off").isNull() & (c("w") == other("w")) & (c("zn") == other("zn")) & other("d2").isNull()
+        local = F.when(same, F.col(f"{like}_1")).otherwise(local)
+    one = F.coalesce(c("e"), F.when(c("d2").isNull() & c("w").isNotNull(), F.when(c("off").isNotNull(), c("w") - c("off")).otherwise(local)))
     df = df.withColumn(f"{out}_1", one)
     many = F.when(
         F.col(f"{out}_1").isNull() & k.isNotNull(),
@@ -184,11 +190,11 @@ def _parse(df: DataFrame, out: str, home: str) -> DataFrame:
     })
 
 
-def _guess(wall: Column, zone: Column):
-    """The UTC minute of a wall clock, and a test that no change of the zone's clock is near it."""
-    guess = F.when(zone == "UTC", wall).otherwise((F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall * 60), zone)) / 60).cast("long"))
-    ahead = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u * 60), zone)) - u * 60
-    return guess, lambda u: (zone == "UTC") | (ahead(u - 1440) == ahead(u + 1440))
+def _steady(wall: Column, zone: Column) -> Column:
+    """The UTC minute of a wall clock where the zone's clock does not change within a day of it, else null."""
+    ahead = lambda u: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(u * 60), zone)) / 60 - u
+    before = ahead(wall - 1440)
+    return F.when(zone == "UTC", wall).otherwise(F.when(before == ahead(wall + 1440), wall - before).cast("long"))
 
 
 def _instants(day: Column, minute: Column, off: Column, zone: Column) -> Column:
@@ -215,12 +221,13 @@ def resolve_minutes(
     empty table gives an empty table. Input columns beginning with ``_`` are not touched
     unless they are named like ``_date_k``; all helper columns are dropped.
     """
+    jit_sized_methods(actions.sparkSession)
     keep = actions.columns
     homes = feeds.groupBy(F.col("feed").alias("_home_feed")).agg(F.first("home_zone", ignorenulls=True).alias("_home"))
     df = actions.join(homes, F.col(feed) == F.col("_home_feed"), "left")
-    for source, name in ((date, "_p4d"), (timestamp, "_p4t")):
+    for source, name, like in ((date, "_p4d", None), (timestamp, "_p4t", "_p4d")):
         df = _fields(df, source, name)
-        df = _parse(df, name, "_home")
+        df = _parse(df, name, "_home", like)
     one_a, one_b = F.col("_p4d_1"), F.col("_p4t_1")
     none = F.array().cast("array<bigint>")
     a = F.when(one_a.isNotNull(), F.array(one_a)).otherwise(F.coalesce(F.col("_p4d_c"), none))

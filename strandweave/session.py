@@ -32,6 +32,17 @@ def local_session(cpus: int | str = "*", app: str = "strandweave", **conf: str)
     return spark
 
 
+def jit_sized_methods(spark: SparkSession) -> None:
+    """Let whole-stage code that HotSpot would not compile fall back to split projections.
+
+    HotSpot leaves methods above 8,000 bytes interpreted; Spark's configuration reference
+    suggests this value of the limit for it. A value the user has set stays.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, "65535") == "65535":
+        spark.conf.set(key, "8000")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
