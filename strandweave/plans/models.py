@@ -15,7 +15,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -117,6 +117,13 @@ class StubEmbedder:
         return np.divide(out, n, out=out, where=n > 0)
 
 
+def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors of texts: the mean of the vectors of their real tokens. ``tokens`` is (texts, places, size)."""
+    m = mask[..., None].astype(tokens.dtype)
+    mean = (tokens * m).sum(1) / np.maximum(m.sum(1), 1e-9)
+    return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+
 @dataclass(frozen=True)
 class Models:
     """Clients by provider, and the names of the models."""
@@ -174,9 +181,3 @@ def similarity(embedder: Embedder):
             yield pd.Series([float(vec[x] @ vec[y]) if x and y else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return lambda a, b: both(a, b)
-
-
-def max_tokens_of(prompt: Column, wanted: int) -> Column:
-    from ..functions.numbers import completion_budget
-
-    return completion_budget(F.length(prompt), F.lit(wanted))

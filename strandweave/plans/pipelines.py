@@ -68,12 +68,39 @@ def _history(w: DataFrame) -> DataFrame:
     return windows.fixed_history(w.select("user_id", "community_id", "window_idx", "actions"))
 
 
-def first_personas(nested: DataFrame, models: Models, *, window_idx: int = 0) -> DataFrame:
-    """(user_id, profile) from the actions of one window; empty actions give an empty persona."""
-    w0 = nested.where(F.col("window_idx") == window_idx).select("user_id", F.when(F.size("actions") > 0, texts.persona_prompt(F.col("actions"))).alias("_p"))
+def first_personas(nested: DataFrame, models: Models, *, window_idx: int = 0, budget: int = C.BEHAVIOR_CHARS) -> DataFrame:
+    """(user_id, profile) from the actions of one window; empty actions give an empty persona, a budget of 0 cuts nothing."""
+    w0 = nested.where(F.col("window_idx") == window_idx).select("user_id", F.when(F.size("actions") > 0, texts.persona_prompt(F.col("actions"), budget)).alias("_p"))
     return ask(w0, "_p", "profile", models.base, models.persona_model, system=C.SYSTEM_PROFILE, max_tokens=C.MAX_TOKENS_PROFILE, temperature=C.TEMPERATURE_PROFILE).select("user_id", F.coalesce("profile", F.lit("")).alias("profile"))
 
 
+def generate_personas(actions: DataFrame, stats: DataFrame, cache_path: str, models: Models, *, communities: list[int] | None = None) -> DataFrame:
+    """(user_id, community, profile) of all users: cached personas, new ones for the rest, a placeholder where the model failed.
+
+    New personas of a model are put into the cache table (placeholders are not), with their
+    sample size, token estimate and length; a second run asks for nothing.
+    """
+    from ..operators import samples
+    from ..sources import schemas, stores
+
+    spark = actions.sparkSession
+    rows = samples.recent_actions(actions, stats, communities=communities)
+    users = rows.select("user_id", "community").distinct()
+    cache = stores.read_or_empty(spark, cache_path, schemas.PERSONA_CACHE)
+    have = cache.select("user_id", F.col("community_id").cast("bigint").alias("community"))
+    todo = rows.join(have, ["user_id", "community"], "left_anti")
+    act = F.struct("apos", "action_type", "action_text", "original_text", "target", "timestamp")
+    todo = todo.groupBy("user_id", "community").agg(F.array_sort(F.collect_list(act)).alias("a"))
+    todo = todo.select("user_id", "community", F.size("a").alias("n"), texts.fill(C.FREE_FORM, action_count=F.size("a").cast("string"), behavior_data=texts.profile_lines(F.col("a"))).alias("_p"))
+    new = cut(ask(todo, "_p", "text", models.base, models.persona_model, system=C.SYSTEM_PROFILE, max_tokens=C.MAX_TOKENS_PROFILE, temperature=C.TEMPERATURE_PROFILE))
+    good = new.where(texts.text("text") != "").select(
+        F.col("community").cast("int").alias("community_id"), "user_id", F.col("text").alias("profile_text"), F.col("n").alias("sample_size"),
+        texts.token_estimate(F.col("text")).alias("profile_tokens"), F.length("text").alias("profile_chars"), F.current_timestamp().alias("updated_at"),
+    )
+    stores.insert_if_absent(good, cache_path, ["community_id", "user_id"], schemas.PERSONA_CACHE)
+    return samples.lookup_personas(users, stores.read_or_empty(spark, cache_path, schemas.PERSONA_CACHE))
+
+
 def candidates(personas: DataFrame, blocks: DataFrame, models: Models, n: int = C.CANDIDATES) -> DataFrame:
     """(user_id, cand, profile, source): ``n`` refinements of each persona, the first from the base model, the rest from the commercial one; a blank answer keeps the old persona."""
     rows = personas.join(blocks, "user_id").withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -230,7 +257,7 @@ def evaluate_chain(nested: DataFrame, method: Method, models: Models, *, steps:
     return out
 
 
-def evaluate_slice(nested: DataFrame, variant: str, models: Models, *, mode: str = "w1_w2", inject_history: bool = True) -> DataFrame:
+def evaluate_slice(nested: DataFrame, variant: str, models: Models, *, mode: str = "w1_w2", inject_history: bool = True, shared_p0: DataFrame | None = None) -> DataFrame:
     """One row per user of a fixed slice: scores before and after one refinement.
 
     ``variant``: error (refine from errors), incremental, regeneration. ``mode``: w1_w2 (persona
@@ -244,7 +271,8 @@ def evaluate_slice(nested: DataFrame, variant: str, models: Models, *, mode: str
     if not inject_history:
         hist = hist.withColumn("history", F.slice("actions", 1, 0))
     target = lambda i: hist.where(F.col("window_idx") == i).select("user_id", F.col("window_idx").alias("w"), F.when(F.col("window_idx") == 0, F.slice("actions", 1, 0)).otherwise(F.col("history")).alias("history"), "actions")
-    p0 = cut(first_personas(ok, models))
+    # a shared first persona (user_id, profile) is made once and serves every variant
+    p0 = cut(first_personas(ok, models)) if shared_p0 is None else shared_p0.join(ok.select("user_id").distinct(), "user_id", "left_semi")
 
     def refine(personas: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
         pred = cut(predict(personas.join(target(i), "user_id"), ["user_id", "w"], models))

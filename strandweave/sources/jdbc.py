@@ -48,3 +48,8 @@ def user_actions(actions: DataFrame, stats: DataFrame, community: int | None = N
         s = s.where(F.col("community_id") == community)
     out = actions.join(s, "user_id")
     return out.join(users.select("user_id").distinct(), "user_id", "left_semi") if users is not None else out
+
+
+def append_rows(rows: DataFrame, name: str, **options: str) -> None:
+    """Insert in batches, one connection a task; a failed task is tried again by Spark."""
+    rows.write.format("jdbc").mode("append").options(**{**connection(rows.sparkSession), "dbtable": name, "batchsize": str(BATCH_ROWS), **options}).save()

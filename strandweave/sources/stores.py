@@ -76,3 +76,12 @@ def open_work(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     left = todo.select("*", *as_text)
     names = [f"_k{i}" for i in range(len(keys))]
     return left.join(done.select(*as_text).distinct(), names, "left_anti").drop(*names)
+
+
+def stored_personas(users: DataFrame, store: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+    """``users`` with ``p0_text`` of the shared store, else of the older per-user form, else null."""
+    out = users.join(store.select("user_id", "community_id", F.col("p0_text").alias("_a")), ["user_id", "community_id"], "left")
+    if legacy is None:
+        return out.withColumnRenamed("_a", "p0_text")
+    old = legacy.select("user_id", "community_id", F.col("p0_text").alias("_b"))
+    return out.join(old, ["user_id", "community_id"], "left").withColumn("p0_text", F.coalesce(F.nullif("_a", F.lit("")), F.col("_b"))).drop("_a", "_b")

@@ -80,3 +80,49 @@ def test_rounds_chain_and_slice_with_stand_ins(spark, data):
 def test_schemas_parse(spark):
     for s in (schemas.RAW_USER, schemas.WINDOWED_USER, schemas.PREDICTIONS, schemas.SCORES, schemas.PERSONA_CACHE, schemas.PERSONA_STORE, schemas.SAMPLE, schemas.ROW_ACTIONS):
         spark.createDataFrame([], s)
+
+
+def test_personas_are_generated_once(spark, data, tmp_path):
+    args = (table(spark, data, "actions"), table(spark, data, "user_stats"), str(tmp_path / "cache"), Models())
+    first = {(r["user_id"], r["profile"]) for r in pipelines.generate_personas(*args).collect()}
+    n = spark.read.parquet(str(tmp_path / "cache")).count()
+    again = {(r["user_id"], r["profile"]) for r in pipelines.generate_personas(*args).collect()}
+    assert first == again and n == len(first) == spark.read.parquet(str(tmp_path / "cache")).count()
+
+
+def test_shared_persona_serves_variants(spark, data):
+    nested = windows.nest(windows.contiguous_windows(table(spark, data, "actions"), size=3, number=4))
+    p0 = nested.select("user_id").distinct().withColumn("profile", F.lit("likes boats"))
+    a, b = (pipelines.evaluate_slice(nested, v, Models(), shared_p0=p0).select("user_id", "W1_Q").collect() for v in ("error", "incremental"))
+    assert sorted(a) == sorted(b) and a
+
+
+def test_stored_personas(spark):
+    users = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "user_id bigint, community_id bigint")
+    store = spark.createDataFrame([(1, 1, "new"), (2, 1, "")], "user_id bigint, community_id bigint, p0_text string")
+    old = spark.createDataFrame([(1, 1, "old"), (2, 1, "old")], "user_id bigint, community_id bigint, p0_text string")
+    assert {r["user_id"]: r["p0_text"] for r in stores.stored_personas(users, store, old).collect()} == {1: "new", 2: "old", 3: None}
+
+
+def test_streaming_windows_equal_batch(spark, data, tmp_path):
+    from strandweave.streaming.count_windows import streaming_windows
+
+    rows = table(spark, data, "actions").select("user_id", "ingest_seq", "community_id")
+    src = str(tmp_path / "in")
+    for lo, hi in ((0, 400), (400, 800), (800, 10**9)):
+        rows.where((F.col("ingest_seq") >= lo) & (F.col("ingest_seq") < hi)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = streaming_windows(stream, size=5, number=3).writeStream.format("memory").queryName("sw").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["user_id"], r["ingest_seq"], r["window_idx"], r["wpos"]) for r in spark.sql("SELECT * FROM sw").collect()}
+    batch = {(r["user_id"], r["ingest_seq"], r["window_idx"], r["wpos"]) for r in windows.contiguous_windows(rows, size=5, number=3).collect()}
+    assert batch <= got
+
+
+def test_mean_pool():
+    import numpy as np
+
+    from strandweave.plans.models import mean_pool
+
+    v = mean_pool(np.array([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]]]), np.array([[1, 1, 0]]))
+    assert np.allclose(v, [[0.6, 0.8]])
