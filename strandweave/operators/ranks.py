@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SALTS = 32
 
 
@@ -22,6 +24,24 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int,
     return local.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col(rank) < n)
 
 
+def group_ranks(rows: DataFrame, group: list[str], order: list[Column], *, rank: str = "rn", total: str = "n") -> DataFrame:
+    """Exact ``rank`` (from 1) of every row in its group and the group's size, for groups of any size.
+
+    Rows are sorted over all tasks by range; a row's rank is its place in its partition plus
+    the rows of the group in earlier partitions, so no task holds a whole group. ``order``
+    must be total. Null group values are a group.
+    """
+    key = F.to_json(F.struct(*[F.col(g) for g in group])) if group else F.lit("")
+    placed = rows.withColumn("_g", F.coalesce(key, F.lit("{}"))).repartitionByRange(F.col("_g"), *order).withColumn("_p", F.spark_partition_id())
+    # the partition of a row is read twice and must not be drawn again
+    placed = cut(placed)
+    counts = placed.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    by = Window.partitionBy("_g")
+    counts = counts.select("_g", "_p", F.coalesce(F.sum("_c").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_c").over(by).alias(total))
+    local = placed.withColumn("_l", F.row_number().over(Window.partitionBy("_g", "_p").orderBy(*order)))
+    return local.join(counts, ["_g", "_p"]).withColumn(rank, F.col("_l") + F.col("_o")).drop("_g", "_p", "_l", "_o")
+
+
 def cap_users(users: DataFrame, *, per_community: int | None = None, max_users: int | None = None, cap_order: str = "community_first", order: str = "first_seq") -> DataFrame:
     """At most ``per_community`` users of each community and ``max_users`` in all, in input order.
 
@@ -53,12 +73,11 @@ def seeded_below(keys: list[Column], share: float, seed: int = 0) -> Column:
 def trim_tails(rows: DataFrame, value: str, *, group: list[str] | None = None, tail: float = 0.05, sides: str = "both") -> DataFrame:
     """Rows whose ``value`` is not in the lowest or highest ``tail`` of its group (``sides``: both, lower, upper).
 
-    ``floor(n * tail)`` rows are cut on each chosen side; null values are left out. Ranks come
-    from a window of the group, so groups are report groups (methods, steps), not raw keys.
+    ``floor(n * tail)`` rows are cut on each chosen side; null values are left out; equal values
+    are cut in the order of the other columns.
     """
-    part = Window.partitionBy(*(group or []), F.lit(0))
-    order = part.orderBy(F.col(value), *[F.col(c) for c in rows.columns if c != value and dict(rows.dtypes)[c] in ("bigint", "int", "string")])
-    df = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(part))
+    others = [F.col(c) for c in rows.columns if c != value and dict(rows.dtypes)[c] in ("bigint", "int", "string")]
+    df = group_ranks(rows.where(F.col(value).isNotNull()), group or [], [F.col(value), *others], rank="_r", total="_n")
     k = F.floor(F.col("_n") * F.lit(tail))
     keep = F.lit(True)
     if sides in ("both", "lower"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import times
-from .ranks import first_per_key
+from .ranks import first_per_key, group_ranks
 
 USER = ["user_id"]
 
@@ -107,7 +107,7 @@ def even_time_sample(rows: DataFrame, groups: list[str], n: int, *, order: str =
     stats = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_m"), F.min(span).alias("_lo"), F.max(span).alias("_hi")).where(F.col("_m") >= n)
     df = rows.join(stats, groups)
     flat = df.where("_lo = _hi")
-    by_place = flat.withColumn("_p", F.row_number().over(Window.partitionBy(*groups).orderBy(order)) - 1).where(F.array_contains(even_indexes(F.col("_m"), n), F.col("_p").cast("int"))).drop("_p")
+    by_place = group_ranks(flat, groups, [F.col(order)], rank="_at", total="_all").where(F.array_contains(even_indexes(F.col("_m"), n), (F.col("_at") - 1).cast("int"))).drop("_at", "_all")
     spread = df.where("_lo < _hi").withColumn("_targets", times.even_targets(F.col("_lo"), F.col("_hi"), n))
     near = spread.where(F.col("_m") > direct).withColumn("_t", F.explode("_targets")).withColumn("_d", F.abs(F.col(span).cast("double") - F.col("_t")))
     near = first_per_key(near, [*groups, "_t"], [F.col("_d"), F.col(order)], n, salt_by=[order]).drop("rn", "_t", "_d").dropDuplicates([*groups, order])

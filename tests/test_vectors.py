@@ -176,6 +176,20 @@ def test_first_per_key_and_trim(spark):
     assert [r["ingest_seq"] for r in ranks.trim_tails(df.where("user_id = 1"), "ingest_seq", sides="lower").orderBy("ingest_seq").collect()] == list(range(2, 40))
 
 
+def test_group_ranks_of_a_large_group(spark):
+    rows = [(None if i % 7 == 0 else "a" if i % 3 else "b", (i * 37) % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(6)
+    got = {r["i"]: (r["rn"], r["n"]) for r in ranks.group_ranks(df, ["g"], [F.col("v"), F.col("i")]).collect()}
+    for g in (None, "a", "b"):
+        mine = sorted((v, i) for x, v, i in rows if x == g)
+        assert [got[i] for _, i in mine] == [(k + 1, len(mine)) for k in range(len(mine))]
+
+
+def test_even_sample_of_equal_times(spark):
+    df = spark.createDataFrame([(1, i, 5) for i in range(6)] + [(2, i, 5) for i in range(2)], "g int, tpos bigint, t_us bigint")
+    assert sorted((r["g"], r["tpos"]) for r in windows.even_time_sample(df, ["g"], 3).collect()) == [(1, 0), (1, 2), (1, 5)]
+
+
 def test_cap_orders(spark):
     u = spark.createDataFrame([(i, i % 2, i) for i in range(10)], "user_id bigint, community_id bigint, first_seq bigint")
     a = {r["user_id"] for r in ranks.cap_users(u, per_community=2, max_users=3).collect()}
