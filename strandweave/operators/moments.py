@@ -18,6 +18,8 @@ whose size is checked by Spark before it is broadcast (no forced hint).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,11 +220,16 @@ def resolve_minutes(
     ``feeds`` has (feed, home_zone). Defined cases: a null, empty or unparsable field says
     nothing; both saying nothing, an unknown zone, a skipped wall clock, or two minutes
     left give null; contradicting fields give null; repeated rows are each resolved; an
-    empty table gives an empty table. Input columns beginning with ``_`` are not touched
-    unless they are named like ``_date_k``; all helper columns are dropped.
+    empty table gives an empty table. A column named ``out`` is replaced; any other column
+    stays, whatever its name.
     """
     jit_sized_methods(actions.sparkSession)
-    keep = actions.columns
+    names = actions.columns
+    # columns named like the helpers below step aside under other names
+    aside = {c: f"{uuid.uuid4().hex}_{i}" for i, c in enumerate(names) if c.lower().startswith(("_p4", "__p4", "_home"))}
+    for c, other in aside.items():
+        actions = actions.withColumnRenamed(c, other)
+    keep = [aside.get(c, c) for c in names if c != out]
     homes = feeds.groupBy(F.col("feed").alias("_home_feed")).agg(F.first("home_zone", ignorenulls=True).alias("_home"))
     df = actions.join(homes, F.col(feed) == F.col("_home_feed"), "left")
     for source, name, like in ((date, "_p4d", None), (timestamp, "_p4t", "_p4d")):
@@ -253,7 +260,9 @@ def resolve_minutes(
     df = df.withColumn("_p4_left", F.when(F.col("_p4_1").isNull(), left))
     minute = F.when(F.col("_p4_1") == OPEN, F.lit(None)).when(F.col("_p4_1").isNotNull(), F.col("_p4_1")).when(F.size("_p4_left") == 1, F.col("_p4_left").getItem(0))
     # A generator, not a projection: a filter on the result must not be pushed into (and copy) the cascade.
-    return df.select(*keep, F.array(minute).alias("_p4_out")).select(*keep, F.explode_outer("_p4_out").alias(out))
+    done = df.select(*keep, F.array(minute).alias("_p4_out")).select(*keep, F.explode_outer("_p4_out").alias("_p4_out"))
+    back = {other: c for c, other in aside.items()}
+    return done.select(*[F.col(c).alias(back.get(c, c)) for c in keep], F.col("_p4_out").alias(out))
 
 
 def minute_text(minute: Column) -> Column:

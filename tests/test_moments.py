@@ -92,7 +92,8 @@ def test_wall_clocks_around_changes_match_brute_force(spark, feeds):
 def test_empty_repeated_and_extra_columns(spark, feeds):
     empty = spark.createDataFrame([], "date string, timestamp string, feed string, utc int")
     assert resolve_minutes(empty, feeds).count() == 0
-    twice = spark.createDataFrame([("202307010821", None, "br", "x", 1)] * 2, "date string, timestamp string, feed string, home_zone string, wall int")
+    twice = spark.createDataFrame([("202307010821", None, "br", "x", 1)] * 2, "date string, timestamp string, feed string, _home string, _p4t_k int")
     got = resolve_minutes(twice, feeds)
-    assert got.columns == ["date", "timestamp", "feed", "home_zone", "wall", "utc_min"]
+    assert got.columns == ["date", "timestamp", "feed", "_home", "_p4t_k", "utc_min"]
+    assert resolve_minutes(got, feeds).columns == got.columns
     assert [r["utc_min"] for r in got.collect()] == [28136841] * 2
