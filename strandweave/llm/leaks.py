@@ -78,21 +78,36 @@ class Items:
         return {k: sorted(v) for k, v in out.items()}
 
 
-def align(doc: np.ndarray, item: np.ndarray, match: int = 2, miss: int = -1, gap: int = -1) -> tuple[int, int]:
-    """(best local score, longest run of equal consecutive words) of two rows of word numbers."""
-    m = len(item)
-    step = np.arange(m) * -gap
-    row, runs = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    best = longest = 0
-    for w in doc:
-        same = (item == w) if w > 0 else np.zeros(m, bool)
-        score = np.maximum(np.maximum(row[:-1] + np.where(same, match, miss), row[1:] + gap), 0)
-        # a gap in the item costs in proportion to its length: a running maximum does the whole row
-        score = np.maximum.accumulate(score + step) - step
-        runs[1:] = np.where(same, runs[:-1] + 1, 0)
-        row[1:] = score
-        best, longest = max(best, int(score.max(initial=0))), max(longest, int(runs.max()))
-    return best, longest
+def align(docs: list[np.ndarray], items: list[np.ndarray], match: int = 2, miss: int = -1, gap: int = -1) -> list[tuple[int, int]]:
+    """(best local score, longest run of equal consecutive words) of pairs of rows of word numbers.
+
+    Smith-Waterman row by row, for all pairs of a chunk of similar length at once.
+    """
+    out: list[tuple[int, int]] = [(0, 0)] * len(docs)
+    order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
+    for at in range(0, len(order), 128):
+        part = order[at : at + 128]
+        m = max(len(items[i]) for i in part)
+        item = np.zeros((len(part), m), np.int32)
+        doc = np.full((len(part), max(len(docs[i]) for i in part)), -1, np.int32)
+        for k, i in enumerate(part):
+            item[k, : len(items[i])] = items[i]
+            doc[k, : len(docs[i])] = np.where(docs[i] > 0, docs[i], -1)
+        step = np.arange(m, dtype=np.int32) * -gap
+        row, runs = np.zeros((len(part), m + 1), np.int32), np.zeros((len(part), m + 1), np.int32)
+        best, longest = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
+        for j in range(doc.shape[1]):
+            same = item == doc[:, j : j + 1]
+            score = np.maximum(np.maximum(row[:, :-1] + np.where(same, match, miss), row[:, 1:] + gap), 0)
+            # a gap in the item costs in proportion to its length: a running maximum does the whole row
+            score = np.maximum.accumulate(score + step, axis=1) - step
+            runs[:, 1:] = np.where(same, runs[:, :-1] + 1, 0)
+            row[:, 1:] = score
+            np.maximum(best, score.max(axis=1), out=best)
+            np.maximum(longest, runs.max(axis=1), out=longest)
+        for k, i in enumerate(part):
+            out[i] = (int(best[k]), int(longest[k]))
+    return out
 
 
 def _numbers(text: str, number: dict[str, int]) -> np.ndarray:
@@ -136,8 +151,11 @@ def find_leaks(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            # (row, item) and the parts of the document to align, each around seeds
+            where: list[tuple[int, int]] = []
+            parts: list[np.ndarray] = []
+            ids = b.column(0).to_pylist()
+            for d, t in enumerate(b.column(1).to_pylist()):
                 if not t or not len(codes):
                     continue
                 ws = _numbers(t, known.number)
@@ -150,17 +168,21 @@ def find_leaks(
                     for i, q in seeds[int(g[p])]:
                         spots.setdefault(i, []).append((max(0, int(p) - q - run), int(p) - q + len(known.words[i]) + run))
                 for i, spans in spots.items():
-                    best = longest = 0
+                    spans.sort()
                     lo, hi = spans[0]
-                    for a, z in [*sorted(spans)[1:], (1 << 60, 0)]:
+                    for a, z in [*spans[1:], (1 << 60, 0)]:
                         if a > hi:
-                            s, r = align(ws[lo:hi], known.words[i])
-                            best, longest = max(best, s), max(longest, r)
+                            where.append((d, i))
+                            parts.append(ws[lo:hi])
                             lo, hi = a, z
                         else:
-                            lo, hi = min(lo, a), max(hi, z)
-                    out.append((d, known.ids[i], best, longest))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+                            hi = max(hi, z)
+            out: dict[tuple[int, int], tuple[int, int]] = {}
+            for k, (score, longest) in zip(where, align(parts, [known.words[i] for _, i in where]), strict=True):
+                old = out.get(k, (0, 0))
+                out[k] = (max(old[0], score), max(old[1], longest))
+            rows = [(ids[d], known.ids[i], s, r) for (d, i), (s, r) in out.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [doc, item, "score", "longest_run"])
 
     return docs.select(doc, text).mapInArrow(search, f"{doc} bigint, {item} bigint, score bigint, longest_run bigint")

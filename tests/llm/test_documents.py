@@ -18,14 +18,17 @@ def _longest(doc, item):
 
 def test_align_matches_brute_force():
     rng = np.random.default_rng(2)
-    for _ in range(60):
+    docs, items, want = [], [], []
+    for _ in range(300):
         a, b = rng.integers(1, 5, rng.integers(1, 30)), rng.integers(1, 5, rng.integers(1, 25))
         h = np.zeros((len(a) + 1, len(b) + 1), int)
         for i in range(len(a)):
             for j in range(len(b)):
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
-        score, run = leaks.align(a, b)
-        assert (score, run) == (h.max(), _longest(list(a), list(b)))
+        docs.append(a)
+        items.append(b)
+        want.append((h.max(), _longest(list(a), list(b))))
+    assert leaks.align(docs, items) == want
 
 
 def test_leaks_of_documents_match_brute_force(spark, data):
