@@ -306,6 +306,7 @@ def personal_kinds(rows: DataFrame, src: str, rec_key, text: str) -> DataFrame:
 
 def redacted(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with ``{text}_redacted``: typed placeholders in the place of personal items, else unchanged; null stays null."""
+    rows = rows.drop(f"{text}_redacted")
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField(f"{text}_redacted", T.StringType())])
 

@@ -37,8 +37,9 @@ def consistent_form(rows: DataFrame, fields: list[str]) -> DataFrame:
     """``rows`` with ``{field}_form`` for each text field.
 
     Texts that read the same get the same form, others different ones. Null stays null, an
-    empty text empty; a text of only invisible characters becomes empty.
+    empty text empty; columns that were there under these names are replaced; a text of only invisible characters becomes empty.
     """
+    rows = rows.drop(*[f"{f}_form" for f in fields])
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, *(T.StructField(f"{f}_form", T.StringType()) for f in fields)])
 

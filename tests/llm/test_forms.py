@@ -52,4 +52,5 @@ def test_form_cases(spark):
     got = consistent_form(df, ["t"]).collect()
     assert [r["t_form"] for r in got[:4]] == [None, "", "", "План на"] and got[4]["t_form"].endswith("afi") and got[5]["t_form"] == "План на"
     assert consistent_form(df.limit(0), ["t"]).count() == 0
+    assert consistent_form(consistent_form(df, ["t"]), ["t"]).columns == ["ingest_seq", "t", "s", "t_form"]
     assert find_copies(df, "ingest_seq", ["t"], spark.createDataFrame([], "item_id bigint, post_text string")).count() == 0
