@@ -16,14 +16,17 @@ def preference_pairs(
 
     Rule A (tau_delta): chosen above ``tau_plus``, rejected below ``tau_minus``, margin above
     ``delta``. Rule B (abs_delta): opposite signs and a gap above ``abs_delta``; a pair of both
-    rules belongs to A. One equi-join on the keys; a key has at most ``n_candidates`` rows, so
-    a user contributes a bounded number of pairs, however many actions they have.
+    rules belongs to A. One aggregation by the keys and no join: a key has at most
+    ``n_candidates`` rows, so a user contributes a bounded number of pairs, however many
+    actions they have.
     """
-    hi = reward.select(*keys, F.col("cand").alias("chosen"), F.col("r_all").alias("r_hi")).where("r_hi > 0")
-    lo = reward.select(*keys, F.col("cand").alias("rejected"), F.col("r_all").alias("r_lo")).where("r_lo < 0")
+    rows = reward.groupBy(*keys).agg(F.collect_list(F.struct("cand", "r_all")).alias("_c"))
+    rows = rows.select(*keys, F.filter("_c", lambda x: x["r_all"] < 0).alias("_lo"), F.explode(F.filter("_c", lambda x: x["r_all"] > 0)).alias("_hi"))
+    rows = rows.select(*keys, "_hi", F.explode("_lo").alias("_l"))
+    rows = rows.select(*keys, F.col("_hi.cand").alias("chosen"), F.col("_hi.r_all").alias("r_hi"), F.col("_l.cand").alias("rejected"), F.col("_l.r_all").alias("r_lo"))
     gap = F.col("r_hi") - F.col("r_lo")
     rule_a = (F.col("r_hi") > tau_plus) & (F.col("r_lo") < tau_minus) & (gap > delta)
-    df = hi.join(lo, keys).withColumn("pair_rule", F.when(rule_a, F.lit("tau_delta")).when(gap > abs_delta, F.lit("abs_delta"))).where("pair_rule is not null")
+    df = rows.withColumn("pair_rule", F.when(rule_a, F.lit("tau_delta")).when(gap > abs_delta, F.lit("abs_delta"))).where("pair_rule is not null")
     n = F.lit(n_candidates)
     return df.select(
         *keys, "chosen", "rejected", "pair_rule", F.round(gap, 9).alias("margin"),

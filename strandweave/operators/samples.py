@@ -52,8 +52,8 @@ def sft_samples(
     rows = rows.withColumn("_a", act).withColumn("_h", F.collect_list("_a").over(before)).where(F.col("apos") >= t)
     draw = seeded_below([F.col("user_id"), F.col("ingest_seq")], decision_share, seed)
     rows = rows.withColumn("_content", F.coalesce(F.col("action_type").isin("post", "reply") & ~draw, F.lit(False)))
-    users = lookup_personas(rows.select("user_id", "community").distinct(), cache)
-    rows = rows.join(users, ["user_id", "community"])
+    users = stats.where(F.col("community_id").isNotNull()).select("user_id", F.col("community_id").cast("bigint").alias("community")).distinct()
+    rows = rows.join(lookup_personas(users, cache), ["user_id", "community"])
     s = texts.sft_sample(F.col("profile"), F.col("_h"), F.col("_a"), F.col("_content"))
     return rows.select("user_id", "community", "ingest_seq", F.when(F.col("_content"), F.lit("content")).otherwise(F.lit("decision")).alias("sample_kind"), s.alias("s")).select("user_id", "community", "ingest_seq", "sample_kind", "s.*")
 

@@ -48,12 +48,16 @@ def score(matched: DataFrame, keys: list[str], *, alpha: float = C.ALPHA, parser
 
 
 def rewards(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, cand, r_pre, r_cur, r_fut, r_all) from (keys, cand, w, q): candidate 0 is the baseline, a missing window counts 0."""
-    q = lambda w: F.coalesce(F.max(F.when(F.col("w") == w, F.col("q"))), F.lit(0.0))
-    wide = scores.groupBy(*keys, "cand").agg(q(0).alias("q0"), q(1).alias("q1"), q(2).alias("q2"))
-    base = wide.where("cand = 0").select(*keys, *[F.col(f"q{w}").alias(f"b{w}") for w in range(3)])
-    df = wide.where("cand > 0").join(base, keys)
-    df = df.select(*keys, (F.col("cand") - 1).alias("cand"), *[(F.col(f"q{w}") - F.col(f"b{w}")).alias(n) for w, n in enumerate(("r_pre", "r_cur", "r_fut"))])
+    """(keys, cand, r_pre, r_cur, r_fut, r_all) from (keys, cand, w, q): candidate 0 is the baseline, a missing window counts 0.
+
+    One aggregation by the keys: a key has a baseline and a few candidates in three windows.
+    """
+    rows = scores.groupBy(*keys).agg(F.collect_list(F.struct("cand", "w", "q")).alias("_s"))
+    of = lambda cand, w: F.coalesce(F.array_max(F.transform(F.filter("_s", lambda x: (x["cand"] == cand) & (x["w"] == w)), lambda x: x["q"])), F.lit(0.0))
+    base = F.filter("_s", lambda x: x["cand"] == 0)
+    rows = rows.where(F.size(base) > 0).withColumns({f"_b{w}": of(F.lit(0), F.lit(w)) for w in range(3)})
+    rows = rows.withColumn("_c", F.explode(F.array_distinct(F.transform(F.filter("_s", lambda x: x["cand"] > 0), lambda x: x["cand"]))))
+    df = rows.select(*keys, (F.col("_c") - 1).alias("cand"), *[(of(F.col("_c"), F.lit(w)) - F.col(f"_b{w}")).alias(n) for w, n in enumerate(("r_pre", "r_cur", "r_fut"))])
     return df.withColumn("r_all", F.round(F.col("r_pre") + F.col("r_cur") + F.col("r_fut"), 9))
 
 
