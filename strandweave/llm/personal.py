@@ -74,7 +74,7 @@ ADDRESS = (
         re.IGNORECASE,
     ),
     re.compile(r"(?<!\w)(?:[^\W\d_][\w.-]*(?:straße|strasse|str\.|gasse|allee|platz|ufer|chaussee|damm|steig|weg|ring|graben)|[^\W\d_][\w.-]+ (?:straße|strasse|str\.|gasse|allee|platz|ufer|weg|ring))\s+\d{1,4}\s?(?:[a-h]\b)?", re.IGNORECASE),
-    re.compile(r"(?<!\w)\d{1,4}(?:\s?(?:bis|ter|quater)|[a-h])?,?\s+(?:rue|avenue|av\.|boulevard|bd\.?|bld\.?|chemin|ch\.|impasse|allée|allee|place|pl\.|quai|route|passage|cours|sentier|ruelle|square)\s+(?:(?:de la|de l'|des|du|de|d'|l'|la|le|les)\s*)?[^\W\d_][\w'’-]+(?:\s+(?:de|du|des|la|le|et)\b)?(?:\s+[A-ZÀ-Þ][\w'’-]+)?", re.IGNORECASE),
+    re.compile(r"(?<!\w)\d{1,4}[a-h]?(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|av\.|boulevard|bd\.?|bld\.?|chemin|ch\.|impasse|allée|allee|place|pl\.|quai|route|passage|cours|sentier|ruelle|square)\s+(?:(?:de la|de l'|des|du|de|d'|l'|la|le|les)\s*)?[^\W\d_][\w'’-]+(?:\s+(?:de|du|des|la|le|et)\b)?(?:\s+[A-ZÀ-Þ][\w'’-]+)?", re.IGNORECASE),
     re.compile(r"(?<!\w)(?:calle|c/|plaza|pza\.?|plza\.?|avenida|avda?\.?|av\.|paseo|p\.º|camino|carretera|ctra\.?|ronda|travesía|callejón|rua|r\.|travessa|tv\.|trav\.|largo|lg\.|praça|pç\.|estrada|alameda|beco|calçada|via|viale|piazza|corso|vicolo|ul\.|ulica|al\.|os\.)\s*(?:(?:[^\W\d_][\w'’-]*|[^\W\d_]{1,4}\.)\s+){0,5}?[^\W\d_][\w'’-]*,?\s+(?:n\.?[º°o]?\.?\s*)?\d{1,4}\s?(?:[a-h]\b)?", re.IGNORECASE),
     re.compile(r"(?<!\w)[^\W\d_][\w-]*(?:straat|laan|plein|gracht|kade|singel|dreef)\s+\d{1,4}\s?(?:[a-h]\b)?", re.IGNORECASE),
     re.compile(r"(?<!\w)(?:[^\W\d_][\w-]*\s+){1,3}(?:sokağı|sokak|sok\.|caddesi|cad\.|bulvarı)\s*(?:no\s*[:.]?\s*)?\d{1,4}", re.IGNORECASE),
@@ -100,7 +100,7 @@ PHONE = (
     re.compile(r"(?<![\w+])(?<!\d[\s.\-/])(?:1?[2-9]\d\d[2-9]\d{6}|0[1-9]\d{8,10})(?![\w-])"),
     re.compile(r"(?<![\w+])(?<!\d[\s.\-/])\d{3}-\d{4}(?![\w-])"),
 )
-ID_ALONE = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPQR-TW-Z]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D])(?![\w-])", re.IGNORECASE)
+ID_ALONE = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D])(?![\w-])", re.IGNORECASE)
 ID_CUED = re.compile(r"(?<![\w.+#-])(?<!\+\d\s)(?<!\+\d\d\s)(?<!\)\s)(?<!\))(?:[A-Z]{1,3}[-.]?)?\d(?:[\s./-]?\d){4,13}(?:\s?[-/]?\s?[A-Z])?(?![\w-])", re.IGNORECASE)
 _UP = r"[A-ZÀ-ÖØ-Þ]"
 _NAME_WORD = rf"(?:{_UP}[\w'’-]*[\w]|{_UP}{{2,}}(?:[-'’]{_UP}+)*)"
@@ -168,6 +168,8 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             at.setdefault(k, []).append(end + 1 - n)
             if k == "cue":
                 cues.append((end + 1 - n, end + 1))
+    if low[:1].isalpha() and low[1:3] == ". ":
+        at.setdefault("initial", []).append(-1)
     if not at:
         return []
     taken: list[tuple[int, int, str]] = []
@@ -270,7 +272,7 @@ def _address_ok(m: re.Match, i: int, t: str, cased: bool) -> bool:
 
 def _cued(t: str, m: re.Match, cues: list[tuple[int, int]]) -> bool:
     """A cue stands close before the number, or right after it in the same sentence."""
-    return any(0 <= m.start() - e <= 30 or (0 <= s - m.end() <= 16 and not re.search(r"[.!?]", t[m.end() : s])) for s, e in cues)
+    return any((0 <= m.start() - e <= 30 and not re.search(r"[.!?]\s+[A-ZÀ-Þ][a-zß-ÿ]", t[e : m.start()])) or (0 <= s - m.end() <= 16 and not re.search(r"[.!?]", t[m.end() : s])) for s, e in cues)
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

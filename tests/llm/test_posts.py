@@ -15,7 +15,8 @@ PERSONAL = {
     "I live at 155a West Wren Street and": {"address"}, "On habite au 93 impasse du Puits Neuf, 00120 Brissac-le-Bas": {"address"}, "Vivimos en Plaza de los Tejedores 141, piso 2": {"address"}, "Wir wohnen in der Speicherstraße 161 in Muldenau": {"address"},
     "Moramos na Travessa da Fonte Seca 177, 0099-120 Vilarel": {"address"}, "Ferry 5 leaves from Pier 5, Nordwick square, at 5:45": set(), "set the oven to 425 degrees for 4 hours": set(),
     "Huge thanks to Hugo Dunvarrow for": {"person_name"}, "just met J. Ashgrimmer at the kiosk": {"person_name"}, "my landlord THOMAS DUNVARROW raised": {"person_name"}, "Festival lineup: Ferrin Trio, Cinder Hill Brass": set(), "": set(),
-    "mail anna.velmorin@example.com": {"email"},
+    "mail anna.velmorin@example.com": {"email"}, "M. Quistrel owes me a bicycle pump": {"person_name"}, "On habite au 16B bis rue du Vieux Lavoir": {"address"},
+    "my tax id is odd. Text me on 2125550161 when": {"phone"},
 }
 
 
