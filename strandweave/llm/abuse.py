@@ -18,6 +18,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _constants as _c
+from re import _parser
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -370,54 +372,110 @@ OWN = re.compile(
 HARMLESS = re.compile(r"\b(?:pest control|mole rat|breast cancer|chicken breast|cocktails?|cockpit|essex|so good|love (?:him|her|it|them|the)|we need more|welcome|beat the eggs|kill the lights|killed it|naked eye|art class|life drawing|statues?|sculptures?|paintings?|museum|gallery|counted separately|not disgusting|good riddance to it|ducklings)\b")
 
 
-# For windows with alternatives that name no class, the words (or @classes) of which a sentence needs one of each group.
-_FREE = {
-    "shut": "shut lost crawl jump choke piss drop hell die cry fuck kill kys screw",
-    "everyone": "hates hate miss wants likes loves favour favor oxygen should",
-    "will": "find hunt beat kill hurt smash break stab shoot rape crush slap punch burn get end destroy hospital watch / you your",
-    "delete": "delete kill end erase hope deserve jump live breaks break cellar",
-    "groups": "@group people / @contempt @insult @slight driven rid keep breed brains deserve nature kick cure problem disease spit hire round refuse families want hate kill burn send deport down crawling away sleep schools",
-    "naked": "@sexual wearing strip",
-    "sexual": "@sexual bend face off explicit skirt dress dirty uncensored naughty horny hardcore fuck suck sexy blowjob handjob threesome cum strip lick grope fondle undress spank taste ravish mount ride strings sex",
-    "order": "halt halt's verpiss geh stirb lárgate vete cállate callate ferme ta dégage va casse-toi stai vaffanculo fai crepa cala some vai hou rot zamknij spadaj wypierdalaj заткнись закрой сдохни проваливай пошел пошёл заткайся здохни замовкни kapa defol siktir geber sus",
-    "threat": "dir dich ojalá voy on j'espère vais ti tomara te чтоб убью найду зарежу сломаю тебе щоб seni ik zabiję znajdę",
-    "address": "seu sua du tu ты ти you pedazo espèce sale pezzo brutto brutta jij ty seni ninguém nadie personne nessuno keiner niemand никто",
-    "request": "schick schicke zeig mándame mandame envíame enviame pásame envoie envoie-moi montre montre-moi mandami inviami fammi manda me mande envia stuur laat wyślij pokaż пришли скинь покажи надішли gönder göster geiles",
-    "expel": "@group понаехали",
-}
-
-
-def _needs(pattern: str) -> list[frozenset[str]]:
-    """Groups of words, of each of which a sentence needs one for the pattern to be able to match."""
-    _, classes = lexicon()
-    of = lambda c: {w for w, k in classes.items() if c in k}
+_ANY = "\0"  # in a reading of a pattern: characters that are not known
+_EDGE = "\n"  # ... a place where a word surely ends or begins
+_RUN = re.compile(r"\w+")
+_MOST = 100_000  # readings of a piece of a pattern; a piece with more is not used, which makes a gate wider only
+
+
+def _spelled(items) -> set[str]:
+    """All readings of a parsed pattern, with ``_ANY`` for what is not fixed and ``_EDGE`` for edges of words."""
+    out = {""}
+    for op, arg in items:
+        if op is _c.LITERAL:
+            got = {chr(arg)}
+        elif op is _c.AT:
+            got = {_EDGE}
+        elif op is _c.ASSERT_NOT and arg[0] < 0 and list(arg[1]) == [(_c.NOT_LITERAL, 32)]:
+            got = {_EDGE}
+        elif op in (_c.ASSERT, _c.ASSERT_NOT):
+            got = {""}
+        elif op is _c.IN and all(o is _c.LITERAL for o, _ in arg):
+            got = {chr(c) for _, c in arg}
+        elif op is _c.BRANCH:
+            got = set().union(*(_spelled(x) for x in arg[1]))
+        elif op is _c.SUBPATTERN:
+            got = _spelled(arg[3])
+        elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT):
+            low, high, inner = arg
+            once = _spelled(inner)
+            got = ({""} if low == 0 else set()) | (once if low < 2 else set()) | ({x + _ANY + y for x in once for y in once} if high > 1 else set())
+        else:
+            got = {_ANY}
+        out = {x + y for x in out for y in got} if len(out) * len(got) <= _MOST else {_ANY}
+    return out
 
-    def words(spec: str) -> list[frozenset[str]]:
-        return [frozenset().union(*(of(w[1:]) if w[0] == "@" else {w} for w in part.split())) for part in spec.split("/")]
 
-    marks = (
-        ("shut (?:your", "shut"), ("hates? you", "everyone"), ("watch your back", "will"), ("jump off a", "delete"), ("halt die klappe", "order"), ("ojalá", "threat"),
-        ("pedazo de", "address"), ("schick|schicke", "request"), ("понаехали", "expel"), ("under (?:that", "sexual"), ("(?:strip|lick", "sexual"), ("dm|text", "naked"), (_GROUP, "groups"),
-    )
-    for mark, name in marks:
-        if mark in pattern:
-            return words(_FREE[name])
-    if "waste of oxygen" in pattern or "piece of" in pattern:
-        return [frozenset(of("insult") | of("slight") | {"oxygen", "piece", "waste"})]
-    groups = [("insult", _INS), ("slight", _ADJ), ("group", _GRP), ("contempt", _LOW), ("sexual", _SEX)]
-    used = [c for c, src in groups if src in pattern]
-    return [frozenset().union(*(of(c) for c in used))] if used else []
+def _required(items, before: str = _ANY, after: str = _ANY) -> list[frozenset[str]]:
+    """Groups of words: whatever the pattern matches in holds a word of each group."""
+    pieces: list[list] = [[]]
+    for item in items:
+        # words end at a written space or edge, so the pieces between them are looked at alone
+        if item == (_c.LITERAL, 32) or item[0] in (_c.AT, _c.ASSERT_NOT) and _spelled([item]) == {_EDGE}:
+            pieces.append([])
+        else:
+            pieces[-1].append(item)
+    groups = []
+    for k, piece in enumerate(pieces):
+        group = set()
+        for reading in _spelled(piece):
+            reading = (_EDGE if k else before) + reading + (_EDGE if k < len(pieces) - 1 else after)
+            sure = [m.group() for m in _RUN.finditer(reading) if reading[m.start() - 1] != _ANY and reading[m.end()] != _ANY]
+            if not sure:
+                break
+            group.add(max(sure, key=len))
+        else:
+            groups.append(frozenset(group))
+    return groups
+
+
+def _gates(pattern: str) -> list[list[frozenset[str]]]:
+    """For every alternative of a pattern its groups of required words; no groups where nothing is required."""
+    items = list(_parser.parse(pattern))
+    at = [k for k, (op, _) in enumerate(items) if op is _c.BRANCH]
+    if len(at) == 1 and all(op is _c.AT for k, (op, _) in enumerate(items) if k != at[0]):
+        return [_required([*items[: at[0]], *alternative, *items[at[0] + 1 :]]) for alternative in items[at[0]][1][1]]
+    return [_required(items)]
 
 
 @lru_cache(maxsize=1)
-def _compiled() -> list[tuple[float, str, re.Pattern, list[frozenset[str]]]]:
-    return [(score, kind, re.compile(p), _needs(p)) for score, kind, p in WINDOWS]
-
-
-@lru_cache(maxsize=1)
-def _starts() -> frozenset[str]:
-    """Words of which a sentence needs one for any window."""
-    return frozenset().union(*(g[0] for *_, g in _compiled() if g))
+def _compiled() -> tuple[list[tuple[float, str, re.Pattern, list[int]]], dict[str, int]]:
+    """The windows, each with the groups (as bits) that its alternatives need, and the groups of every word."""
+    bits: dict[frozenset[str], int] = {}
+    of: dict[str, int] = {}
+    windows = []
+    for score, kind, p in WINDOWS:
+        needs = []
+        for groups in _gates(p):
+            need = 0
+            for g in groups:
+                if g not in bits:
+                    bits[g] = 1 << len(bits)
+                    for w in g:
+                        of[w] = of.get(w, 0) | bits[g]
+                need |= bits[g]
+            needs.append(need)
+        windows.append((score, kind, re.compile(p), needs))
+    return windows, of
+
+
+@lru_cache(maxsize=100_000)
+def _open(present: int) -> tuple[tuple[float, str, re.Pattern], ...]:
+    """The windows that can match a sentence whose words are of the groups ``present``."""
+    return tuple((score, kind, p) for score, kind, p, needs in _compiled()[0] if any(n & present == n for n in needs))
+
+
+def _present(terms: list[str]) -> int:
+    """The groups, as bits, of the words of a sentence: runs of word characters, as word edges of a pattern see them."""
+    get = _compiled()[1].get
+    out = 0
+    for t in terms:
+        if t.isalnum():
+            out |= get(t, 0)
+        else:
+            for w in _RUN.findall(t):
+                out |= get(w, 0)
+    return out
 
 
 _HAS_CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
@@ -460,15 +518,13 @@ _HAS_HANGUL = re.compile(r"[가-힣]")
 
 def _score_part(part: str, known: dict[str, tuple[str, ...]]) -> tuple[float, str]:
     best, kind = 0.0, "clean"
-    starts = _starts()
     for words in _sentences(part, known):
         if len(words) == 1:
             continue
         for terms in _readings(words):
-            present = frozenset(terms)
-            if starts.isdisjoint(present):
-                continue
-            best, kind = _score_sentence(" ".join(t for t in terms if t not in ",;:"), present, best, kind)
+            windows = _open(_present(terms))
+            if windows:
+                best, kind = _score_sentence(" ".join(t for t in terms if t not in ",;:"), windows, best, kind)
     return best, kind
 
 
@@ -484,9 +540,9 @@ def _readings(words: list[tuple[str, ...]]) -> Iterator[list[str]]:
         yield [w[-1] for w in words]
 
 
-def _score_sentence(s: str, present: frozenset[str], best: float, kind: str) -> tuple[float, str]:
-    for score, k, pattern, needs in _compiled():
-        if score <= best or any(n.isdisjoint(present) for n in needs):
+def _score_sentence(s: str, windows: tuple[tuple[float, str, re.Pattern], ...], best: float, kind: str) -> tuple[float, str]:
+    for score, k, pattern in windows:
+        if score <= best:
             continue
         m = pattern.search(s)
         if not m:

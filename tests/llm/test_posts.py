@@ -43,6 +43,57 @@ def test_abuse_cases():
     assert [t for t in HARMLESS if abuse.score_text(t)[0] >= abuse.THRESHOLD] == []
 
 
+UNGATED = ["Refugees should be shot", "All immigrants should be deported", "Death to all immigrants", "Immigrants should be kicked out", "Throw the immigrants out", "We will put you in a grave", "Somebody should put you in a coffin"]
+
+
+def test_gates_let_every_alternative_pass():
+    """Every alternative of every window is tried: its gate opens for a text that it matches."""
+    assert [t for t in UNGATED if abuse.score_text(t)[0] < abuse.THRESHOLD] == []
+    rng = random.Random(3)
+
+    def write(items, pick):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "q"
+            elif name in ("ANY", "NOT_LITERAL"):
+                out += "q"
+            elif name == "BRANCH":
+                out += write(pick(arg[1]), pick)
+            elif name == "SUBPATTERN":
+                out += write(arg[3], pick)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(write(arg[2], pick) for _ in range(rng.choice(range(arg[0], min(arg[1], arg[0] + 2) + 1))))
+        return out
+
+    def branches(items):
+        for op, arg in items:
+            if str(op) == "BRANCH":
+                yield arg[1]
+                for x in arg[1]:
+                    yield from branches(x)
+            elif str(op) == "SUBPATTERN":
+                yield from branches(arg[3])
+            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT"):
+                yield from branches(arg[2])
+
+    tried = 0
+    for score, kind, p in abuse.WINDOWS:
+        parsed = abuse._parser.parse(p)
+        for group in list(branches(parsed)):
+            for one in group:
+                for _ in range(3):
+                    s = write(parsed, lambda g, group=group, one=one: one if g is group else rng.choice(g))
+                    m = abuse.re.search(p, s)
+                    if m:
+                        tried += 1
+                        assert (score, kind, abuse.re.compile(p)) in abuse._open(abuse._present(s.split(" "))), (p, s)
+    assert tried > 10_000
+
+
 def test_abuse_agrees_with_labels(spark, data):
     rows = [r for r in table(spark, data, "review_labels").collect() if r["label"]]
     right = sum((r["label"] != "clean") == (abuse.score_text(r["text"])[0] >= abuse.THRESHOLD) for r in rows)
