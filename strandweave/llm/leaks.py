@@ -1,15 +1,17 @@
 """Held-out texts inside training documents: rare n-gram seeds and Smith-Waterman alignment.
 
 Method. Texts become sequences of words in their consistent form (case, punctuation, quote
-marks, spacing and look-alike characters folded). From every run of ``run`` words of an item
-the rarest ``n``-gram, by its count over all documents, is taken as a seed, so each passage
-of at least ``run`` words holds a seed (no cap, no stop list). Documents that hold a seed are
-aligned with the item around the seed by Smith-Waterman over words, which scores edited
-copies; the exact test for the longest run of consecutive words follows on the same table.
+marks, spacing and look-alike characters folded). Documents that hold a seed of an item are
+aligned with it around the seed by Smith-Waterman over words, which scores edited copies;
+the exact test for the longest run of consecutive words follows on the same table. Where
+edited copies are asked for, every ``n``-gram of an item is a seed, since an edit can destroy
+any of them. For exact copies the rarest ``n``-gram of every run of ``run`` words, by its
+count over all documents, is enough: each passage of at least ``run`` words holds it. There
+is no cap and no stop list.
 
 The items are a small fixed table; they are collected up to ``max_items`` and a larger
-table raises. Documents are read twice (counts, search) and never shuffled; only the
-counts of the items' own n-grams are.
+table raises. Documents are read once (edited copies) or twice (counts, search) and never
+shuffled; only the counts of the items' own n-grams are.
 """
 
 from __future__ import annotations
@@ -63,14 +65,18 @@ class Items:
     def all_grams(self) -> np.ndarray:
         return np.unique(np.concatenate([self.grams(w) for w in self.words] or [np.zeros(0, np.uint64)]))
 
-    def seeds(self, count: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """Seed code -> (item, place in the item): the rarest n-gram of every run, the first of equals."""
+    def seeds(self, count: dict[int, int] | None) -> dict[int, list[tuple[int, int]]]:
+        """Seed code -> (item, place in the item): the rarest n-gram of every run, the first of equals; without counts every n-gram."""
         out: dict[int, set[tuple[int, int]]] = {}
         for item, words in enumerate(self.words):
             g = self.grams(words)
             per = self.run - self.n + 1
             if len(words) < self.run:
                 continue
+            if count is None:
+                for at, x in enumerate(g):
+                    out.setdefault(int(x), set()).add((item, at))
+                continue
             freq = np.array([count.get(int(x), 0) for x in g], np.int64)
             for s in range(len(words) - self.run + 1):
                 at = s + int(np.argmin(freq[s : s + per]))
@@ -117,13 +123,15 @@ def _numbers(text: str, number: dict[str, int]) -> np.ndarray:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text",
-    n: int = 5, run: int = 15, max_items: int = 50_000,
+    n: int = 5, run: int = 15, max_items: int = 50_000, edited: bool = True,
 ) -> DataFrame:
     """(doc, item, score, longest_run): every pair whose document holds a seed of the item.
 
     ``longest_run >= run`` is the exact test for a leaked passage of ``run`` words; ``score``
-    (2 a word, -1 a change or gap) ranks edited copies. Null and empty texts and items of
-    fewer than ``run`` words give no row; copies of a document are each reported.
+    (2 a word, -1 a change or gap) ranks edited copies: all that keep ``n`` consecutive words.
+    Without ``edited`` only pairs with a run of ``run`` words are sure to have a row, for less
+    work. Null and empty texts and items of fewer than ``run`` words give no row; copies of a
+    document are each reported.
     """
     got = [(r[0], r[1]) for r in items.select(item, item_text).where(F.col(item_text).isNotNull()).limit(max_items + 1).collect()]
     if len(got) > max_items:
@@ -144,9 +152,12 @@ def find_leaks(
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["gram", "n"])
 
-    counted = docs.select(text).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    # at most one row for each n-gram of the items
-    seeds = known.seeds({int(grams[r[0]]): r[1] for r in counted.collect()})
+    if edited:
+        seeds = known.seeds(None)
+    else:
+        counted = docs.select(text).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        # at most one row for each n-gram of the items
+        seeds = known.seeds({int(grams[r[0]]): r[1] for r in counted.collect()})
     codes = np.array(sorted(seeds), np.uint64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

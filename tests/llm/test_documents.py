@@ -62,6 +62,24 @@ def test_leak_cases(spark):
     assert leaks.find_leaks(df, items.limit(0)).count() == 0
 
 
+def test_edited_copies_are_aligned(spark):
+    """A passage that is leaked only with edits has a row, wherever its edits and those of other copies are."""
+    w = [f"word{i}" for i in range(40)]
+
+    def edit(*places):
+        return " ".join("other" if i in places else x for i, x in enumerate(w))
+
+    texts = {1: edit(7, 14, 21, 28, 35), 2: edit(5, 11, 17, 23, 29, 35), 3: edit(*range(9, 40)), 4: " ".join(w), 5: " ".join(w[:4] + ["other"]), 6: " ".join(x for i, x in enumerate(w) if i % 8)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, item_text string")
+    got = {r["doc_id"]: (r["score"], r["longest_run"]) for r in leaks.find_leaks(df, items).collect()}
+    assert got == {1: (65, 7), 2: (62, 5), 3: (18, 9), 4: (80, 40), 6: (66, 7)}
+    alone = {r["doc_id"] for i in texts for r in leaks.find_leaks(df.where(f"doc_id = {i}"), items).collect()}
+    assert alone == set(got)
+    exact = {r["doc_id"] for r in leaks.find_leaks(df, items, edited=False).where("longest_run >= 15").collect()}
+    assert exact == {4}
+
+
 RESIDUE = [
     "{user_profile}", "Hello {{ display_name }}, here is what happened in [INSERT PERSONA HERE] this week: undefined", "Persona: [object Object]\nAnswer: %(handle)s", "Please enable JavaScript to use this site.",
     "Veuillez activer scripts pour afficher ce contenu.", "Error 403: Forbidden\nBack to the start page", "error=Gateway Timeout; status=502; id=e77d01", "Lorem ipsum dolor sit amet consectetur elit sed magna aliqua.",
