@@ -1,28 +1,33 @@
 """Template residue, filler, error pages and script notices.
 
 Method. A text is judged block by block (a block is a line). Placeholders are cut out of a
-block, which leaves its *template*; blocks of many documents are aligned by the words
-around each placeholder, which induces the template's slots: a slot in which different
-records keep different variable names, defaults or blanks was never filled, while a
-placeholder that is the same in every record of a template is part of what the author
-wrote (somebody who talks about ``${price}``). A block of which nothing is left, filler,
+block, which leaves its *template*, the fixed words. Blocks of all documents are aligned by
+these: a slot that is filled in another record of the same template, or in which records
+keep different variable names, defaults or blanks, was never filled here, while a
+placeholder that is the same in every record and filled in none is part of what the author
+wrote (somebody who talks about ``${price}``), unless placeholders make up so much of the
+block that it says nothing without them. Copies of a record change nothing in this, and
+more records only add evidence. A block of which nothing is left, filler,
 and page templates (error and unavailability messages, script notices, found by the share
 of a block that their vocabulary covers, so that a sentence about an error does not count)
 need no alignment.
 
-The evidence table is small against the corpus (blocks with a placeholder or a message);
-its alignment is a two-step aggregation by context and a join on salted contexts, so one
-template in a third of all documents does not reach one task.
+The evidence table is small against the corpus (blocks with a placeholder or a message).
+Templates are made distinct before they are joined. Filled records are found by the longer
+end of a template: a bitmap of these ends (``BITS`` bits, whatever the corpus holds) goes
+to the second reading of the documents, which passes on only blocks that may have such an end.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .charforms import skeleton
 
-SALTS = 16
+BITS = 1 << 20
+HOLE = "⁇"
 
 # Forms of an unfilled placeholder.
 PLACEHOLDER = re.compile(
@@ -93,6 +99,8 @@ _LABEL = re.compile(r"^\s*([^\W\d_][\w ]{0,24}?)\s?:\s+(?=\S)")
 # What every placeholder holds some of.
 _MAYBE = re.compile(r"[{\[<%$]|__|\?{5}|x{4}|undefined|nan|todo|fixme|tbd|^(?:null|none|nil|n/a)$", re.IGNORECASE)
 _WORDS = re.compile(r"[^\W_](?:[\w'’-]*[^\W_])?")
+_PIECES = re.compile(rf"{HOLE}|{_WORDS.pattern}")
+_HOLES = re.compile(f"{HOLE}(?: {HOLE})*")
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
 _SENTENCES = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _CODE = re.compile(r"^(?:\d+|[0-9a-f]*\d[0-9a-f-]*)$")
@@ -155,10 +163,9 @@ def _message(block: str) -> str | None:
 
 
 def judge(text: str) -> list[tuple[str, str | None, str | None]]:
-    """(kind, context, value) of every suspicious block: a null context needs no alignment."""
+    """(kind, template, placeholders) of every suspicious block: a null template needs no alignment."""
     out: list[tuple[str, str | None, str | None]] = []
-    blocks = [" ".join(skeleton(b).split()) for b in re.split(r"[\r\n  \x0b\x0c\x85]+", text if text.isascii() else unicodedata.normalize("NFC", text))]
-    blocks = [b for b in blocks if b]
+    blocks = _blocks(text)
     for b in blocks:
         if FURNITURE.match(b):
             continue
@@ -176,27 +183,68 @@ def judge(text: str) -> list[tuple[str, str | None, str | None]]:
         else:
             if not marked:
                 continue
-            spots = list(PLACEHOLDER.finditer(b))
-            rest = _WORDS.findall(PLACEHOLDER.sub(" ", b))
-            if spots and len(rest) <= 24:
-                for s in spots:
-                    before = " ".join(PLACEHOLDER.sub("⁇", b[: s.start()]).casefold().split()[-3:])
-                    after = " ".join(PLACEHOLDER.sub("⁇", b[s.end() :]).casefold().split()[:1])
-                    out.append(("slot", f"{before}|{after}", s.group().casefold()))
-                out.append(("size", str(len(spots)), str(len(rest))))
+            spots = [m.group().casefold() for m in PLACEHOLDER.finditer(b)]
+            rest = _template(b)
+            if spots and len(rest) - len(spots) <= 24:
+                out.append(("slot", " ".join(rest), "\n".join(spots)))
     return out
 
 
-_EVIDENCE = "kind string, context string, value string, spots int, words int"
+def _template(block: str) -> list[str]:
+    """The words of a block, with ``HOLE`` for every placeholder."""
+    return [w if w == HOLE else w.casefold() for w in _PIECES.findall(PLACEHOLDER.sub(f" {HOLE} ", block))]
+
+
+def _bare(spots: int, words: int) -> bool:
+    """Whether a block with so many placeholders and other words says nothing without the placeholders."""
+    return words <= 3 or spots >= 2 and words <= 4 * spots
+
+
+def _end(template: list[str]) -> tuple[str, list[str]] | None:
+    """The key by which filled records of a template are found: its longer end (the last backwards), else its first inner words."""
+    n = len(template)
+    first = template.index(HOLE)
+    back = template[::-1].index(HOLE)
+    if first or back:
+        return ("^", template[:first]) if first >= back else ("$", template[: n - back - 1 : -1])
+    runs = [r.split() for r in " ".join(template).split(HOLE) if r.strip()]
+    return ("~", max(runs, key=len)[:2]) if runs else None
+
+
+def _bit(kind: str, words: list[str]) -> int:
+    return zlib.crc32("".join([kind, *(f" {w}" for w in words)]).encode()) % BITS
+
+
+def _ends(words: list[str], bits: np.ndarray, sizes: dict[str, set[int]]) -> Iterator[str]:
+    """The keys of templates of which a block of these words may be a filled record, by their bits and numbers of words."""
+    n = len(words)
+    for kind, row in (("^", words), ("$", words[::-1])):
+        if sizes[kind]:
+            h = zlib.crc32(kind.encode())
+            for k, w in enumerate(row[: min(n - 1, max(sizes[kind]))], 1):
+                h = zlib.crc32(f" {w}".encode(), h)
+                if k in sizes[kind] and bits[h % BITS]:
+                    yield " ".join([kind, *row[:k]])
+    for k in sizes["~"]:
+        for i in range(1, n - k):
+            if bits[_bit("~", words[i : i + k])]:
+                yield " ".join(["~", *words[i : i + k]])
+
+
+def _blocks(text: str) -> list[str]:
+    return [b for b in (" ".join(skeleton(b).split()) for b in re.split(r"[\r\n\u2028\u2029\x0b\x0c\x85]+", text if text.isascii() else unicodedata.normalize("NFC", text))) if b]
+
+
+_EVIDENCE = "kind string, template string, value string"
 
 
 def find_residue(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, kind): documents with residue, by the kind of evidence; one row per document and kind.
 
     Null, empty and blank texts are no case. Copies are judged alike, each under its own id.
-    A slot counts as unfilled if the records of its template keep at least two different
-    placeholders in it, or, for a template seen once, if its block holds two placeholders
-    or more words in placeholders than beside them.
+    A slot counts as unfilled if another record of its template has it filled, if records of
+    its template keep different placeholders in it, or if its block says nothing without
+    its placeholders (at most three other words, or four for each of several placeholders).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,25 +257,49 @@ def find_residue(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") ->
                 got = known.get(t)
                 if got is None:
                     got = known[t] = judge(t)
-                sure = {k for k, c, _ in got if k not in ("slot", "size")}
-                rows += [(d, k, None, None, None, None) for k in sure]
-                if not sure:
-                    held: list[tuple[str, str]] = []
-                    for k, c, v in got:
-                        if k == "slot":
-                            held.append((c, v))
-                        else:
-                            rows += [(d, "slot", cc, vv, int(c), int(v)) for cc, vv in held]
-                            held = []
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [doc, "kind", "context", "value", "spots", "words"])
+                sure = {k for k, c, _ in got if k != "slot"}
+                rows += [(d, k, None, None) for k in sure]
+                for k, c, v in () if sure else got:
+                    spots = v.count("\n") + 1
+                    rows.append((d, "placeholder", None, None) if _bare(spots, len(c.split()) - spots) else (d, "slot", c, v))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            types = [pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [doc, "kind", "template", "value"])
 
     evidence = cut(docs.select(doc, text).mapInArrow(run, f"{doc} bigint, {_EVIDENCE}"))
-    slots = evidence.where("kind = 'slot'")
-    stats = slots.groupBy("context", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("context").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("n"))
-    stats = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    aligned = slots.withColumn("salt", F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int")).join(stats, ["context", "salt"])
-    unfilled = aligned.where((F.col("variants") >= 2) | ((F.col("n") < 3) & ((F.col("spots") >= 2) | (F.col("words") <= 3)) & (F.col("words") <= 12)))
+    slots = evidence.where("kind = 'slot'").select(doc, "template", "value")
+    templates = slots.groupBy("template").agg((F.min("value") != F.max("value")).alias("varied"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keyed = [(t, " ".join([e[0], *e[1]]), e[0], len(e[1]), _bit(*e), f"^{_HOLES.sub('.+', t)}$") for t in b.column(0).to_pylist() if (e := _end(t.split()))]
+            cols = list(zip(*keyed, strict=True)) if keyed else [[]] * 6
+            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["template", "end", "place", "size", "bit", "pattern"])
+
+    open_ = cut(templates.where("NOT varied").select("template").mapInArrow(ends, "template string, end string, place string, size int, bit int, pattern string"))
+    # at most BITS numbers, and one for each number of words that an end has
+    bits = np.zeros(BITS, bool)
+    sizes: dict[str, set[int]] = {"^": set(), "$": set(), "~": set()}
+    for place, size in open_.select("place", "size").distinct().collect():
+        sizes[place].add(size)
+    bits[[r[0] for r in open_.select("bit").distinct().collect()]] = True
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: set[tuple[str, str]] = set()
+            for t in set(b.column(0).to_pylist()):
+                for block in _blocks(t) if t and t.strip() else ():
+                    words = _template(block)
+                    if HOLE not in words:
+                        out.update((e, " ".join(words)) for e in _ends(words, bits, sizes))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["end", "record"])
+
+    aligned = templates.where("varied").select("template")
+    if bits.any():
+        records = docs.select(text).mapInArrow(filled, "end string, record string").distinct()
+        aligned = aligned.unionByName(open_.join(records, "end").where("record RLIKE pattern").select("template").distinct())
+    unfilled = slots.join(aligned, "template", "left_semi")
     found = evidence.where("kind <> 'slot'").select(doc, "kind").unionByName(unfilled.select(doc, F.lit("placeholder").alias("kind")))
     return found.distinct()

@@ -111,6 +111,32 @@ def test_slots_are_induced_from_records(spark):
     assert {r["doc_id"] for r in residue.find_residue(df).collect()} == {100, 101, 102, 103}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 40])
+def test_slots_do_not_depend_on_the_number_of_records(spark, n):
+    """A constant template is judged alike however often it is seen; talk stays talk beside other talk."""
+    rows = [(i, "Dear {{first_name}}, welcome to {{community}}.") for i in range(n)]
+    rows += [(100 + i, "Today I learned that {{ user }} is how they write a variable in the engine of my sister") for i in range(n)]
+    rows += [(200 + i, f"Today I learned that ${{price}} is not money, said number {i} of the many people here") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.find_residue(df).collect()} == set(range(n))
+
+
+def test_long_filled_records(spark):
+    df = spark.createDataFrame([(1, "word " * 200_000), (2, "word word word word ${x} word word word")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in residue.find_residue(df).collect()] == [2]
+
+
+def test_slots_are_aligned_with_filled_records(spark):
+    """One placeholder in a sentence: unfilled if the same sentence is filled elsewhere, at its start, middle or end."""
+    say = ["{} has not posted anything in this community since last month", "The summary that you asked for covers the time until {}", "Your weekly report about {} is ready for you to read now", "{} was seen with {} at the harbour market again and again because of the wind and the rain, said {}"]
+    rows = [(i, t.replace("{}", "{{ name }}")) for i, t in enumerate(say)] + [(10 + i, t.replace("{}", "Rosa of the mill")) for i, t in enumerate(say)]
+    other = [(20, "Your weekly rant about ${price} is ready for you to read now"), (21, "Your weekly rant about is ready for you to read")]
+    df = spark.createDataFrame(rows + other, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.find_residue(df).collect()} == {0, 1, 2, 3}
+    alone = spark.createDataFrame(rows[:3] + other, "doc_id bigint, text string")
+    assert residue.find_residue(alone).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 200_000])
 def test_long_text(spark, n):
     df = spark.createDataFrame([(1, "word " * n)], "doc_id bigint, text string")
