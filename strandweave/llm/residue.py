@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .abuse import _ANY, _EDGE, _spelled
 from .charforms import skeleton
+from .languages import plain
 
 BITS = 1 << 20
 HOLE = "⁇"
@@ -90,7 +93,13 @@ MESSAGE_WORDS = frozenset(
     "bitte aktivieren sie um diese seite zu sehen nicht gefunden angeforderte angeforderter inhalt existiert mehr fehler später versuchen verfügbar "
     "active en su navegador para continuar página encontrada vuelva intentarlo más tarde texto ejemplo sustituir antes publicar habilite "
     "hier steht blindtext mustertext er wird ersetzt ersetzen inhalt folgt bald "
-    "pagina niet gevonden gevraagde inhoud bestaat trovata riprova più tardi não encontrada tente novamente ative no seu ".split()
+    "pagina niet gevonden gevraagde inhoud bestaat trovata riprova più tardi não encontrada tente novamente ative no seu "
+    "страница страницу страницы не найдена найден найдено найдены ошибка сервер сервера сервис недоступен недоступна недоступно временно запрос доступ запрещен запрещён пожалуйста попробуйте повторите позже попытку снова раз обновите извините "
+    "удалена удален удалён удалено больше существует контент публикация запись автор включите скрипты браузере вашем просмотра просмотреть увидеть продолжить эту этой этого текст текста пример замените перед публикацией "
+    "сторінка сторінку сторінки знайдено знайдена помилка недоступний тимчасово запит заборонено будь ласка спробуйте пізніше ще оновіть вибачте видалено більше існує вміст допис публікація увімкніть скрипти браузері вашому перегляду переглянути побачити продовжити цю цієї приклад тексту замініть "
+    "strona strony stronę nie znaleziono znaleziona została błąd serwera serwer niedostępna niedostępny niedostępne tymczasowo żądanie dostęp zabroniony proszę spróbuj ponownie później odśwież przepraszamy usunięta usunięty już istnieje treść wpis włącz skrypty przeglądarce aby zobaczyć wyświetlić kontynuować tę tej jest tekst zastępczy przykładowy zastąp "
+    "sayfa sayfası sayfayı bulunamadı hata sunucu hizmet kullanılamıyor geçici olarak istek erişim engellendi lütfen tekrar deneyin daha sonra yenileyin üzgünüz silinmiş kaldırıldı artık mevcut değil içerik gönderi etkinleştirin etkin tarayıcınızda görmek görüntülemek devam etmek için bu örnek metin yerine "
+    "está disponível ".split()
 )
 # Words that say nothing about the kind of a block.
 NEUTRAL = frozenset("the a an of to in on at for by with from and or it its this that these is was be has have been will may must no your our my we us as so let if when then than de la le les des du et à el los las un una y o der die das den dem ein eine und zu im il lo di da em e do os het een van i w na ve bir".split())
@@ -106,21 +115,14 @@ _SENTENCES = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _CODE = re.compile(r"^(?:\d+|[0-9a-f]*\d[0-9a-f-]*)$")
 
 
-# Parts of words of which every strong phrase holds one.
-HINTS = (
-    "error erreur fehler erro errore fout błąd hata ошибк помилк found gateway timeout time-out time-outs unavailab forbid too|many rate|limit denied permission went|wrong no|longer not|available disponi introuvable gefunden verfügbar existiert encontrad "
-    "trovat gevonden beschikbaar znalezion niedostęp bulunama найден недоступ знайден 見つかり エラー 利用でき 찾을 오류 traceback exception stack|trace segmentation upstream connection timed checking verify are|you captcha maintenance session could|not "
-    "failed|to unable|to couldn't can't|be cannot|be status= try|again javascript js script スクリプト 스크립트 скрипт placeholder here sample|text dummy replace your|own lorem to|be texto|de sustituir remplacer d'exemple faux|texte platzhalter beispieltext "
-    "blindtext mustertext hier testo voorbeeld zastępcz przykładowy örnek|metin пример заполнитель приклад ダミー ここに サンプル 여기에 예시 service internal unauthori gone bad"
-).split()
-
-
 @lru_cache(maxsize=1)
 def _hints():
+    """Finds what every strong phrase (by all readings of its pattern) and every filler holds some of."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for h in {*(h.replace("|", " ") for h in HINTS), *FILL_WORDS, *(w for w in LATIN_FILLER if len(w) >= 4)}:
+    readings = set().union(*(_spelled(_parser.parse(p.pattern)) for p in STRONG.values()))
+    for h in {*(max(re.split(f"[{_ANY}{_EDGE}]", r), key=len) for r in readings), *FILL_WORDS, *(w for w in LATIN_FILLER if len(w) >= 4)}:
         a.add_word(h, h)
     a.make_automaton()
     return a
@@ -162,25 +164,36 @@ def _message(block: str) -> str | None:
     return None
 
 
+def _bodies(block: str) -> list[str]:
+    """A block without its label, and as it is."""
+    m = _LABEL.match(block)
+    return [block[m.end() :], block] if m else [block]
+
+
+def _said(body: str) -> str | None:
+    """The kind of message that a body is as a whole or in each of its sentences."""
+    parts = [_message(x) for x in _SENTENCES.split(body) if not FURNITURE.match(x)]
+    return _message(body) or (parts[0] if len(parts) > 1 and all(parts) else None)
+
+
 def judge(text: str) -> list[tuple[str, str | None, str | None]]:
     """(kind, template, placeholders) of every suspicious block: a null template needs no alignment."""
     out: list[tuple[str, str | None, str | None]] = []
-    blocks = _blocks(text)
-    for b in blocks:
+    for b, *forms in _forms(text):
         if FURNITURE.match(b):
             continue
-        m = _LABEL.match(b)
         marked = _MAYBE.search(b) is not None
-        for body in ([b[m.end() :], b] if m else [b]):
-            parts = [_message(x) for x in _SENTENCES.split(body) if not FURNITURE.match(x)]
-            kind = _message(body) or (parts[0] if len(parts) > 1 and all(parts) else None)
-            if kind:
+        for body in _bodies(b):
+            if kind := _said(body):
                 out.append((kind, None, None))
                 break
             if marked and len(body) <= 80 and not _WORDS.search(PLACEHOLDER.sub(" ", body)) and PLACEHOLDER.search(body):
                 out.append(("placeholder", None, None))
                 break
         else:
+            if kind := next((k for f in forms for x in _bodies(f) if (k := _said(x))), None):
+                out.append((kind, None, None))
+                continue
             if not marked:
                 continue
             spots = [m.group().casefold() for m in PLACEHOLDER.finditer(b)]
@@ -231,8 +244,22 @@ def _ends(words: list[str], bits: np.ndarray, sizes: dict[str, set[int]]) -> Ite
                 yield " ".join(["~", *words[i : i + k]])
 
 
+def _forms(text: str) -> list[list[str]]:
+    """The blocks of a text: the skeleton of each, and where they differ its plain form and the block as written.
+
+    A skeleton has Latin letters for look-alikes in every word, so words of other scripts can be read only in the other forms.
+    """
+    out = []
+    for block in re.split(r"[\r\n\u2028\u2029\x0b\x0c\x85]+", text if text.isascii() else unicodedata.normalize("NFC", text)):
+        forms = [block] if block.isascii() else [skeleton(block), plain(block), block]
+        forms = list(dict.fromkeys(" ".join(f.split()) for f in forms))
+        if forms[0]:
+            out.append(forms)
+    return out
+
+
 def _blocks(text: str) -> list[str]:
-    return [b for b in (" ".join(skeleton(b).split()) for b in re.split(r"[\r\n\u2028\u2029\x0b\x0c\x85]+", text if text.isascii() else unicodedata.normalize("NFC", text))) if b]
+    return [f[0] for f in _forms(text)]
 
 
 _EVIDENCE = "kind string, template string, value string"

@@ -103,6 +103,27 @@ def test_residue_cases(spark):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
+MESSAGES = [
+    "Страница не найдена", "Не найдено: страница не найдена", "Ошибка 404", "ОШИБКА 500", "Помилка 404", "Сторінку не знайдено", "Страница недоступна", "текст текст текст текст", "Пример текста", "Включите JavaScript", "Увімкніть JavaScript",
+    "Esta página não está disponível", "Bulunamadı", "Nie znaleziono", "Strona niedostępna",
+]
+
+
+@pytest.mark.parametrize("text", MESSAGES)
+def test_messages_of_all_scripts(text):
+    assert {k for k, *_ in residue.judge(text)} - {"slot"}, text
+
+
+def test_hints_are_necessary():
+    """Whatever a strong pattern finds holds a hint."""
+    for p in residue.STRONG.values():
+        for r in residue._spelled(residue._parser.parse(p.pattern)):
+            assert next(residue._hints().iter(r.replace("\0", "").replace("\n", "")), None), r
+    for t in MESSAGES + RESIDUE + [x or "" for x in CONTENT]:
+        low = t.casefold().replace("’", "'")
+        assert not any(p.search(low) for p in residue.STRONG.values()) or next(residue._hints().iter(low), None), t
+
+
 def test_slots_are_induced_from_records(spark):
     """The same placeholder in every record belongs to the template; different ones are slots never filled."""
     kept = [(i, f"Notes on {{{{ price }}}} written by number {i} of many good people here today") for i in range(8)]
