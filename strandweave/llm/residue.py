@@ -72,7 +72,7 @@ STRONG = {
         r"|under maintenance|scheduled maintenance|session (?:has )?expired|could not be (?:found|served|loaded|displayed)|failed to load|unable to load|couldn't load|can't be reached|cannot be displayed|status=[45]\d\d|an (?:unexpected )?error (?:has )?occurred|try again later|please try again"
     ),
     "script": re.compile(
-        r"(?:javascript|\bjs\b|\bscripts?\b|スクリプト|自바스크립트|스크립트|скрипт).{0,60}(?:enabl|activ|requir|need|must|disabl|block|allow|turn|switch|support|through|aktiv|nécessaire|einschalt|erforder|necess|activ|włącz|etkin|включ|увімк|有効|필요|활성)"
+        r"(?:javascript|\bjs\b|\bscripts?\b|スクリプト|自바스크립트|스크립트|скрипт).{0,60}(?:enabl|activ|requir|need|must|disabl|block|allow|turn|switch|support|through|aktiv|nécessaire|einschalt|erforder|necess|activ|włącz|etkin|включ|увімк|有効|無効|필요|활성)"
         r"|(?:enabl|activ|requir|need|must|disabl|block|allow|turn|switch|without|through|aktivier|active|habilit|attiv|ative|schakel|włącz|etkin|включ|увімк).{0,60}(?:javascript|\bjs\b|\bscripts?\b|スクリプト|скрипт)"
     ),
     "filler": re.compile(
@@ -112,6 +112,7 @@ _PIECES = re.compile(rf"{HOLE}|{_WORDS.pattern}")
 _HOLES = re.compile(f"{HOLE}(?: {HOLE})*")
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
 _SENTENCES = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
+_CLAUSES = re.compile(r"[、，,;；]\s*")
 _CODE = re.compile(r"^(?:\d+|[0-9a-f]*\d[0-9a-f-]*)$")
 
 
@@ -147,19 +148,20 @@ def _message(block: str) -> str | None:
         return "filler"
     covered = sum(w in MESSAGE_WORDS for w in telling) / len(telling)
     cjk = bool(_CJK.search(low))
-    if len(low) > 60 if cjk else covered < 0.6 and len(words) > 12:
-        return None
     for kind, strong in STRONG.items():
         if not strong.search(low):
             continue
         if cjk:
-            return kind
+            # in a long sentence the parts with the phrase must be most of it
+            parts = [x for x in _CLAUSES.split(low) if x.strip()]
+            if len(low) <= 60 or sum(len(x) for x in parts if strong.search(x)) >= 0.5 * sum(map(len, parts)):
+                return kind
         elif covered >= 0.6:
             return kind
         else:
-            # a language whose words are not listed: the message must be short and the phrase most of it
+            # a language whose words are not listed: the phrase must be most of the message
             said = sum(len(m.group()) for m in strong.finditer(low))
-            if len(words) <= 12 and said >= 0.6 * len(low.strip()):
+            if said >= 0.6 * len(low.strip()):
                 return kind
     return None
 
@@ -198,7 +200,7 @@ def judge(text: str) -> list[tuple[str, str | None, str | None]]:
                 continue
             spots = [m.group().casefold() for m in PLACEHOLDER.finditer(b)]
             rest = _template(b)
-            if spots and len(rest) - len(spots) <= 24:
+            if spots:
                 out.append(("slot", " ".join(rest), "\n".join(spots)))
     return out
 

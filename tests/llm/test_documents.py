@@ -114,6 +114,18 @@ def test_messages_of_all_scripts(text):
     assert {k for k, *_ in residue.judge(text)} - {"slot"}, text
 
 
+def test_length_is_no_limit(spark):
+    """A template in one paragraph, a long Japanese message, a message of more than 12 words that are not listed."""
+    many = "Dear {{first}}, " + "thank you for joining {{place}} on {{day}}; your host is {{host}} and the gate is {{gate}}, " * 6
+    long = "Dear reader, this is the letter that we send to everybody who has joined us since the spring, and which tells you where the next walk will start, namely at {}, as soon as the weather allows it"
+    ja = "お使いのブラウザではJavaScriptが無効になっているため、このページの内容をすべて表示するにはJavaScriptを有効にしてから、もう一度このページを再読み込みしてください"
+    es = "no encontrado, " * 8
+    talk = "昨日の夜はエラーについて友達と長い間話していたけれど、そのあと川沿いを散歩して、古い橋の近くでおいしいパンを買い、家に帰ってから家族みんなで食べた"
+    rows = [(1, many), (2, long.format("{{ place }}")), (3, ja), (4, es), (5, long.format("the old mill")), (6, talk)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.find_residue(df).collect()} == {1, 2, 3, 4}
+
+
 def test_hints_are_necessary():
     """Whatever a strong pattern finds holds a hint."""
     for p in residue.STRONG.values():
