@@ -4,8 +4,8 @@ Method. Text is brought to its plain form (see ``languages.plain``), letters spe
 with spaces or dots are joined, and every word is matched with a lexicon by a Levenshtein
 automaton run over the lexicon's trie: the rows of the automaton are carried down the trie,
 so all terms within the allowed distance come from one walk. Digits for letters, masks
-(``*``) and repeated letters cost nothing; other edits cost one and are allowed in longer
-words only. Words become lexicon terms with classes; the score of a sentence comes from
+(``*``) and repeated letters cost nothing; other edits (a swap of
+neighbours is one) cost one and are allowed in longer words only. Words become lexicon terms with classes; the score of a sentence comes from
 windows of terms (insult, address, threat, group, contempt, sexual request), lowered where
 the window around a term shows quotation or report, the writer's own person, or a thing.
 
@@ -30,6 +30,7 @@ from .languages import plain
 
 THRESHOLD = 0.5
 KEPT = 300_000
+CORE = frozenset({"insult", "slight", "sexual", "contempt", "group"})
 
 # The lexicon, by class, in natural order of language (en de es fr it pt nl pl ru uk tr).
 TERMS: dict[str, str] = {
@@ -200,10 +201,10 @@ def _free_reading(trie: Trie, word: str) -> list[tuple[int, str]]:
 
 @lru_cache(maxsize=1)
 def misspellable() -> tuple[Trie, dict[tuple[str, int], list[int]]]:
-    """The insults and slights long enough to be read from a misspelling, and their letters by first letter and length."""
+    """The terms of the windows' classes long enough to be read from a misspelling, and their letters by first letter and length."""
     trie, letters = Trie(), {}
     for w, c in lexicon()[1].items():
-        if len(w) >= 6 and c & {"insult", "slight"}:
+        if len(w) >= 6 and c & CORE:
             trie.add(w)
             for n in (len(w) - 1, len(w), len(w) + 1):
                 letters.setdefault((w[0], n), []).append(_mask(w))
@@ -246,10 +247,17 @@ def terms_of(word: str) -> tuple[str, ...]:
         if not got and len(squeezed) >= 6:
             got = [x for c in sorted(set(squeezed[0] + LEET.get(squeezed[0], ""))) for x in trie.within(squeezed, 1, first=c)]
         if got:
-            core = {"insult", "slight", "sexual", "contempt", "group"}
-            ranked = sorted(got, key=lambda x: (x[0], abs(len(x[1]) - len(word)), not (classes[x[1]] & core), x[1]))
+            ranked = sorted(got, key=lambda x: (x[0], abs(len(x[1]) - len(word)), not (classes[x[1]] & CORE), x[1]))
             return tuple(t for d, t in ranked if (d, abs(len(t) - len(word))) == (ranked[0][0], abs(len(ranked[0][1]) - len(word))))[:4]
         return (word,)
+    if len(word) >= 5 and word not in NOT_MISSPELLED and _PLAIN_WORD.match(word):
+        # a swap of two neighbouring letters is one edit
+        for i in range(len(word) - 1):
+            t = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
+            if classes.get(t, frozenset()) & CORE:
+                return (t,)
+        if len(squeezed) >= 5 and classes.get(squeezed, frozenset()) & CORE:
+            return (squeezed,)
     if len(word) >= 6 and word not in NOT_MISSPELLED and _PLAIN_WORD.match(word):
         near, letters = misspellable()
         mine = _mask(word)

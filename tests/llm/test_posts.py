@@ -94,6 +94,11 @@ def test_gates_let_every_alternative_pass():
     assert tried > 10_000
 
 
+def test_misspelled_terms_of_all_classes():
+    texts = ["Foreigers are vermin", "Refugees are vermni", "Refugees are cockroackes", "Send me nuddes", "You are an idoit", "You are a bastrad", "Immigrnats are parasites"]
+    assert [t for t in texts if abuse.score_text(t)[0] < abuse.THRESHOLD] == []
+
+
 def test_abuse_agrees_with_labels(spark, data):
     rows = [r for r in table(spark, data, "review_labels").collect() if r["label"]]
     right = sum((r["label"] != "clean") == (abuse.score_text(r["text"])[0] >= abuse.THRESHOLD) for r in rows)
