@@ -248,7 +248,7 @@ def terms_of(word: str) -> tuple[str, ...]:
             got = [x for c in sorted(set(squeezed[0] + LEET.get(squeezed[0], ""))) for x in trie.within(squeezed, 1, first=c)]
         if got:
             ranked = sorted(got, key=lambda x: (x[0], abs(len(x[1]) - len(word)), not (classes[x[1]] & CORE), x[1]))
-            return tuple(t for d, t in ranked if (d, abs(len(t) - len(word))) == (ranked[0][0], abs(len(ranked[0][1]) - len(word))))[:4]
+            return tuple(t for d, t in ranked if (d, abs(len(t) - len(word))) == (ranked[0][0], abs(len(ranked[0][1]) - len(word))))
         return (word,)
     if len(word) >= 5 and word not in NOT_MISSPELLED and _PLAIN_WORD.match(word):
         # a swap of two neighbouring letters is one edit
@@ -503,7 +503,7 @@ def score_text(text: str | None, known: dict[str, tuple[str, ...]] | None = None
     if _SPELLED.search(read):
         read = _SPELLED.sub(lambda m: _join(re.sub(r"[ .\-_]", "", m.group().casefold())), read)
     for part in _PARTS.split(read):
-        if not part or len(part) < 5:
+        if not part:
             continue
         got = sentences.get(part)
         if got is None:
@@ -527,8 +527,6 @@ _HAS_HANGUL = re.compile(r"[가-힣]")
 def _score_part(part: str, known: dict[str, tuple[str, ...]]) -> tuple[float, str]:
     best, kind = 0.0, "clean"
     for words in _sentences(part, known):
-        if len(words) == 1:
-            continue
         for terms in _readings(words):
             windows = _open(_present(terms))
             if windows:

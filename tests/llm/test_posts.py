@@ -99,6 +99,13 @@ def test_misspelled_terms_of_all_classes():
     assert [t for t in texts if abuse.score_text(t)[0] < abuse.THRESHOLD] == []
 
 
+def test_masked_and_single_words():
+    assert {"porno", "prick", "pussy"} & set(abuse.terms_of("p****")) >= {"porno", "prick", "pussy"}
+    texts = ["show me your p****", "Vaffanculo!", "Defol!", "Siktir!", "Kys!"]
+    assert [t for t in texts if abuse.score_text(t)[0] < abuse.THRESHOLD] == []
+    assert [t for t in ("Ok!", "Rats!", "You.", "P****") if abuse.score_text(t)[0] >= abuse.THRESHOLD] == []
+
+
 def test_abuse_agrees_with_labels(spark, data):
     rows = [r for r in table(spark, data, "review_labels").collect() if r["label"]]
     right = sum((r["label"] != "clean") == (abuse.score_text(r["text"])[0] >= abuse.THRESHOLD) for r in rows)
