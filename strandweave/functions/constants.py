@@ -14,8 +14,8 @@ TAU_PLUS, TAU_MINUS, DELTA, ABS_DELTA = 0.06, -0.02, 0.05, 0.10
 COMMERCIAL_RATIO = 0.4
 CONTEXT_TOKENS, COMPLETION_MARGIN, CHARS_PER_TOKEN = 4096, 64, 3.0
 BEHAVIOR_CHARS, HISTORY_CHARS, PROFILE_CHARS = 6000, 6000, 3500
-MAX_TOKENS_PROFILE, MAX_TOKENS_ACTION = 2048, 512
-TEMPERATURE_PROFILE, TEMPERATURE_ACTION = 0.8, 0.0
+MAX_TOKENS_PROFILE, MAX_TOKENS_ACTION, MAX_TOKENS_DECISION = 2048, 512, 128
+TEMPERATURE_PROFILE, TEMPERATURE_COMMERCIAL, TEMPERATURE_ACTION = 0.8, 0.7, 0.0
 ROUNDS = 2
 SFT_T, SFT_STEP, SFT_PROFILE_ACTIONS, SFT_ACTIONS, SFT_DECISION_SHARE = 10, 1, 100, 40, 0.3
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,11 +37,28 @@ def completion_budget(chars: Column, wanted: Column, context: int = C.CONTEXT_TO
     return F.greatest(F.lit(1), F.least(wanted, F.lit(context) - prompt_tokens(chars, per_token) - margin))
 
 
+def completion_room(message: str | None) -> int | None:
+    """Tokens that a context-limit message leaves for a completion (limit - input - 16, at least 1), else null.
+
+    The limit is the first number after "context length", the input the number before "input tokens".
+    """
+    low = (message or "").lower()
+    _, found, rest = low.partition("context length")
+    said, also, _ = rest.partition("input tokens")
+    numbers = [int(w) for w in said.replace(",", " ").replace(".", " ").split() if w.isdigit()]
+    if not (found and also) or len(numbers) < 2:
+        return None
+    return max(1, numbers[0] - numbers[-1] - 16)
+
+
 def allowed_tokens(error: Column) -> Column:
-    """Tokens that a context-limit error leaves (limit - input - 16, at least 1), else null."""
-    said = r"(?is)maximum context length is\s+(\d+)\s+tokens.*?your request has\s+(\d+)\s+input tokens"
-    limit, used = (F.regexp_extract(error, said, i).try_cast("int") for i in (1, 2))
-    return F.when(limit.isNotNull(), F.greatest(F.lit(1), limit - used - 16))
+    """``completion_room`` of a column of messages."""
+
+    @F.pandas_udf("int")
+    def read(messages: pd.Series) -> pd.Series:
+        return messages.map(completion_room).astype("Int32")
+
+    return read(error)
 
 
 def effective_rounds(windows: Column, requested: int = C.ROUNDS) -> Column:

@@ -29,7 +29,7 @@ def preference_pairs(
     df = rows.withColumn("pair_rule", F.when(rule_a, F.lit("tau_delta")).when(gap > abs_delta, F.lit("abs_delta"))).where("pair_rule is not null")
     n = F.lit(n_candidates)
     return df.select(
-        *keys, "chosen", "rejected", "pair_rule", F.round(gap, 9).alias("margin"),
+        *keys, "chosen", "rejected", "pair_rule", gap.alias("margin"),
         candidate_source(F.col("chosen"), n).alias("chosen_source"), candidate_source(F.col("rejected"), n).alias("rejected_source"),
     )
 

@@ -32,8 +32,10 @@ def first_step(steps: DataFrame, array: str, index: int, field: str = "target_wi
     return steps.withColumn("label", F.try_element_at(F.filter(array, lambda s: s["step_index"] == index), F.lit(1))[field])
 
 
-def run_summary(users: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: users, pairs, users with pairs."""
+def run_summary(users: DataFrame, pairs: DataFrame, elapsed_s: float | None = None) -> DataFrame:
+    """One row: users, pairs, users with pairs, and the seconds of the run in all and per user (null where not measured)."""
     per = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     total = users.select("user_id").distinct().join(per, "user_id", "left")
-    return total.agg(F.count(F.lit(1)).alias("total_users"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_pairs"), F.count_if(F.col("n") > 0).alias("users_with_pairs"))
+    took = F.lit(elapsed_s).cast("double")
+    one = total.agg(F.count(F.lit(1)).alias("total_users"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_pairs"), F.count_if(F.col("n") > 0).alias("users_with_pairs"))
+    return one.withColumn("elapsed_seconds", took).withColumn("avg_user_elapsed_seconds", F.try_divide(took, F.col("total_users")))

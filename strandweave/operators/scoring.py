@@ -37,14 +37,21 @@ def content_similarity(similarity: Column, pred: Column, actual_type: Column, ac
 
 
 def score(matched: DataFrame, keys: list[str], *, alpha: float = C.ALPHA, parser: str = "exact", unit: bool = False) -> DataFrame:
-    """(keys, n, f, l, q). ``parser`` reads labels: ``substring_ordered`` or ``exact``."""
+    """(keys, n, f, l, q) and, if ``matched`` has it, ``error``. ``parser`` reads labels: ``substring_ordered`` or ``exact``.
+
+    A key with an error in any of its rows has that error (the first in text order) and null scores.
+    """
     read = texts.parse_action_type if parser == "substring_ordered" else texts.exact_action_type
     df = matched.withColumn("_p", read(F.col("pred_type"))).withColumn("_a", texts.exact_action_type(F.col("action_type")))
+    failed = [F.min(F.nullif(F.col("error"), F.lit(""))).alias("error")] if "error" in matched.columns else []
     out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), decision_f1(F.col("_p"), F.col("_a")).alias("f"),
-        content_similarity(F.col("semantic_similarity"), F.col("pred_content"), F.col("_a"), F.col("action_text")).alias("l"),
+        content_similarity(F.col("semantic_similarity"), F.col("pred_content"), F.col("_a"), F.col("action_text")).alias("l"), *failed,
     )
-    return out.withColumn("q", quality(F.col("f"), F.col("l"), alpha, unit))
+    out = out.withColumn("q", quality(F.col("f"), F.col("l"), alpha, unit))
+    if failed:
+        out = out.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("f", "l", "q")})
+    return out
 
 
 def rewards(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,7 +65,7 @@ def rewards(scores: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.where(F.size(base) > 0).withColumns({f"_b{w}": of(F.lit(0), F.lit(w)) for w in range(3)})
     rows = rows.withColumn("_c", F.explode(F.array_distinct(F.transform(F.filter("_s", lambda x: x["cand"] > 0), lambda x: x["cand"]))))
     df = rows.select(*keys, (F.col("_c") - 1).alias("cand"), *[(of(F.col("_c"), F.lit(w)) - F.col(f"_b{w}")).alias(n) for w, n in enumerate(("r_pre", "r_cur", "r_fut"))])
-    return df.withColumn("r_all", F.round(F.col("r_pre") + F.col("r_cur") + F.col("r_fut"), 9))
+    return df.withColumn("r_all", F.col("r_pre") + F.col("r_cur") + F.col("r_fut"))
 
 
 def best_candidate(reward: DataFrame, keys: list[str]) -> DataFrame:

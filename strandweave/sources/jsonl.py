@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -40,15 +40,23 @@ def read_windowed(spark: SparkSession, paths: str | list[str], glob: str | None
 
 
 def long_actions(users: DataFrame) -> DataFrame:
-    """The long form with ``pos`` (place in the record), ``ingest_seq`` (unique, in input order of a record), action_ts and month_idx.
+    """The long form with ``pos`` (place in the record), ``ingest_seq`` (unique, in input order), action_ts and month_idx.
 
-    ``ingest_seq`` is the record's number (file, block, row, taken on the scan before any
-    shuffle) times a million plus the place; records are ordered among themselves by it only
-    within a file, which is all that the operators need.
+    ``ingest_seq`` is the running number of the record times the length of the longest record,
+    plus the place. Records are numbered exactly: those of each partition of the scan are
+    counted in a first pass, and a partition starts behind all before it. ``users`` must come
+    straight from a scan, whose partitions are the same in both passes; nothing is shuffled
+    but one count for each partition.
     """
-    rec = users.withColumn("_rec", F.monotonically_increasing_id())
-    rows = rec.select("community_id", "user_id", "source_file", "_rec", F.posexplode("actions").alias("pos", "a"))
-    out = rows.select("community_id", "user_id", "source_file", (F.pmod("_rec", F.lit(1 << 42)) * 1_000_000 + F.col("pos")).alias("ingest_seq"), "pos", "a.*")
+    row = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rec = users.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    counts = rec.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("actions")).alias("_m"))
+    everything = Window.orderBy("_part")
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.max("_m").over(Window.partitionBy(F.lit(0))).alias("_most"))
+    placed = rec.join(starts, "_part")
+    first = (F.col("_start") + row) * F.col("_most").cast("bigint")
+    rows = placed.select("community_id", "user_id", "source_file", first.alias("_first"), F.posexplode("actions").alias("pos", "a"))
+    out = rows.select("community_id", "user_id", "source_file", (F.col("_first") + F.col("pos")).alias("ingest_seq"), "pos", "a.*")
     return out.withColumn("action_ts", times.action_time(F.col("date"), F.col("timestamp"))).withColumn("month_idx", times.month_index(F.col("date"), F.col("timestamp")))
 
 

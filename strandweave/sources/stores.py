@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,49 +17,97 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+POINTER = "_CURRENT"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p, _ = _fs(spark, path)
     return fs.exists(p)
 
 
+def current(spark: SparkSession, path: str) -> str:
+    """Where the rows of a table are: the version that its pointer names, or the folder itself if it never was replaced."""
+    fs, p, jvm = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(p):
+        return path
+    stream = fs.open(p)
+    try:
+        return f"{path}/{jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+    finally:
+        stream.close()
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or no rows if it was never written."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(current(spark, path)) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, wait_s: float = 60.0) -> Iterator[None]:
+    """One writer of a table at a time, by a lock file beside it; raises if it is not free in time."""
+    fs, p, _ = _fs(spark, f"{path}.lock")
+    until = time.monotonic() + wait_s
+    while not fs.createNewFile(p):
+        if time.monotonic() > until:
+            raise TimeoutError(f"{path}.lock is held by another writer")
+        time.sleep(0.2)
+    try:
+        yield
+    finally:
+        fs.delete(p, False)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside and rename, so that readers never see half a table and a table can be made from itself."""
+    """Write a new version and switch the pointer to it in one atomic rename.
+
+    Readers always find a whole table, and a table can be made from itself. The version
+    before stays for those that still read it; older ones are removed.
+    """
     spark = df.sparkSession
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    fs, p, jvm = _fs(spark, path)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    if fs.exists(p):
-        fs.rename(p, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), p)
-    fs.delete(old, True)
+    before = current(spark, path)
+    version = f"_v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    fs, p, jvm = _fs(spark, f"{path}/{POINTER}")
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}.{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(p), how)
+    for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+        name = s.getPath().getName()
+        if name.startswith("_v-") and name not in (version, before.rsplit("/", 1)[-1]):
+            fs.delete(s.getPath(), True)
 
 
 def insert_if_absent(new: DataFrame, path: str, keys: list[str], schema: str) -> tuple[int, int]:
     """Append rows whose keys are not there yet; (inserted, skipped). Repeated keys of ``new`` count once."""
     spark = new.sparkSession
-    have = read_or_empty(spark, path, schema).select(*keys)
-    once = new.dropDuplicates(keys)
-    fresh = once.join(have, keys, "left_anti").select(*[c.name for c in read_or_empty(spark, path, schema).schema.fields])
-    total, inserted = once.count(), fresh.count()
-    if inserted:
-        fresh.write.mode("append").parquet(path)
+    with locked(spark, path):
+        have = read_or_empty(spark, path, schema).select(*keys)
+        once = new.dropDuplicates(keys)
+        fresh = once.join(have, keys, "left_anti").select(*[c.name for c in read_or_empty(spark, path, schema).schema.fields])
+        total, inserted = once.count(), fresh.count()
+        if inserted:
+            fresh.write.mode("append").parquet(current(spark, path))
     return inserted, total - inserted
 
 
 def upsert_latest(new: DataFrame, path: str, keys: list[str], schema: str, order: str | None = None) -> None:
     """Union with the table, the newest row of each key stays (new before old, then by ``order``)."""
+    spark = new.sparkSession
+    with locked(spark, path):
+        replace_table(_latest(new, path, keys, schema, order), path)
+
+
+def _latest(new: DataFrame, path: str, keys: list[str], schema: str, order: str | None) -> DataFrame:
     spark = new.sparkSession
     cols = [c.name for c in read_or_empty(spark, path, schema).schema.fields]
     both = read_or_empty(spark, path, schema).withColumn("_new", F.lit(0)).unionByName(new.select(*cols).withColumn("_new", F.lit(1)))
     by = [F.col("_new").desc(), *([F.col(order).desc_nulls_last()] if order else [F.xxhash64(*cols)])]
-    kept = both.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("_r = 1").select(*cols)
-    replace_table(kept, path)
+    return both.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("_r = 1").select(*cols)
 
 
 def merge_caches(first: DataFrame, second: DataFrame, keys: list[str], value: str) -> DataFrame:

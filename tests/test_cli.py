@@ -26,13 +26,18 @@ def test_pairs_and_resume(spark, windowed):
     assert n == 6
     cli.main([*args, "--resume"], spark)
     assert spark.read.parquet(str(windowed / "pairs" / "rounds")).count() == n
+    assert spark.read.json(str(windowed / "pairs" / "details")).count() == n
+    summary = spark.read.json(str(windowed / "pairs" / "summary_pairs")).first()
+    assert summary["total_users"] == 6 and summary["elapsed_seconds"] > 0
 
 
 def test_chain_and_slice(spark, windowed):
     cli.main(["chain", "--input", str(windowed / "w"), "--output-dir", str(windowed / "chain"), "--methods", "static_s0,online", "--num-windows", "3", "--max-users-per-community", "1"], spark)
     rows = spark.read.parquet(str(windowed / "chain" / "rows")).collect()
     assert {r["method"] for r in rows} == {"static_s0", "online"} and len({r["user_id"] for r in rows}) == 2
-    cli.main(["slice", "--input", str(windowed / "w"), "--output-dir", str(windowed / "slice"), "--variants", "incremental", "--slice-eval-mode", "w2_w3"], spark)
+    assert {r["method"] for r in spark.read.json(str(windowed / "chain" / "personas")).collect()} == {"static_s0", "online"}
+    assert spark.read.parquet(str(windowed / "chain" / "three_windows")).count() == 2 * 6
+    cli.main(["slice", "--input", str(windowed / "w"), "--output-dir", str(windowed / "slice"), "--variants", "incremental_persona", "--initial-p0", "shared", "--slice-eval-mode", "w2_w3"], spark)
     assert spark.read.parquet(str(windowed / "slice" / "rows")).count() == 6
     with pytest.raises(SystemExit):
         cli.main(["chain", "--input", str(windowed / "w"), "--output-dir", "x", "--methods", "nothing"], spark)

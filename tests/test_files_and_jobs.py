@@ -1,10 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandweave.operators import samples, windows
 from strandweave.plans import pipelines
-from strandweave.plans.models import Models
+from strandweave.plans.models import CallError, HttpClient, Models, StubClient
 from strandweave.sources import jsonl, schemas, sinks, stores, table
 
 
@@ -71,12 +72,111 @@ def test_rounds_chain_and_slice_with_stand_ins(spark, data):
     assert len({(r["user_id"], r["round_idx"], r["chosen"], r["rejected"]) for r in rows}) == len(rows)
     assert all(r["margin"] > 0 and r["chosen_profile"] and r["discrepancies"] for r in rows)
     assert log.where("round_idx = 1").count() == nested.select("user_id").distinct().count()
-    chain = pipelines.evaluate_chain(nested, pipelines.METHODS[0], Models(), steps=2).collect()
+    chain = pipelines.evaluate_chain(nested, pipelines.METHODS[0], Models(), steps=2).rows.collect()
     assert all(0 <= r["f"] <= 1 and abs(r["q"] - (0.6 * r["f"] + 0.4 * r["l"])) < 1e-9 for r in chain)
-    short = pipelines.evaluate_slice(nested.where("window_idx < 2"), "error", Models()).collect()
+    short = pipelines.evaluate_slice(nested.where("window_idx < 2"), "tuned", Models()).collect()
     assert {r["error"] for r in short} == {"need_W0_W1_W2"}
 
 
+def test_failed_calls_are_error_rows(spark, data):
+    nested = windows.nest(windows.contiguous_windows(table(spark, data, "actions"), size=3, number=4))
+    users = nested.select("user_id").distinct().count()
+    methods = (pipelines.METHODS[0], pipelines.METHODS[3], pipelines.METHODS[4])
+    # every call fails, or some do
+    for failing in (256, 6):
+        bad = StubClient(failing=failing)
+        models = Models(base=bad, commercial=bad, action=bad)
+        chain = pipelines.evaluate_chain(nested, methods, models, steps=3, three_windows=True).rows.collect()
+        assert len(chain) == users * len(methods) * 3 == len({(r["user_id"], r["method"], r["step_index"]) for r in chain})
+        assert all((r["error"] is None) == (r["q"] is not None) == (r["f"] is not None) for r in chain)
+        by = {}
+        for r in chain:
+            by.setdefault((r["user_id"], r["method"]), set()).add(r["error"])
+        assert all(len(e) == 1 for e in by.values()) and any(e != {None} for e in by.values())
+        rows = pipelines.evaluate_slice(nested, ("tuned", "commercial"), models).collect()
+        assert len(rows) == 2 * users and all((r["error"] is None) == (r["W1_Q"] is not None) == (r["W2_Q"] is not None) for r in rows)
+        found, log = pipelines.mine_pairs(nested, models, n=3)
+        failed = {r["user_id"] for r in log.where("error is not null").collect()}
+        assert failed and not failed & {r["user_id"] for r in found.collect()} and {r["user_id"] for r in stores.completed(log, ["user_id"]).collect()}.isdisjoint(failed)
+        assert log.where("round_idx = 1").select("user_id").distinct().count() == users
+        if failing == 256:
+            assert len(failed) == users and all(r["error"] for r in chain) and all(r["error"] for r in rows)
+
+
+def test_missing_windows_are_error_rows(spark, data):
+    nested = windows.nest(windows.contiguous_windows(table(spark, data, "actions"), size=3, number=3))
+    some = nested.where("window_idx < 2 OR user_id % 2 = 0")
+    rows = pipelines.evaluate_chain(some, pipelines.METHODS[0], Models(), steps=2).rows.collect()
+    assert len(rows) == 2 * nested.select("user_id").distinct().count()
+    assert all(r["error"] == (None if r["step_index"] == 0 or r["user_id"] % 2 == 0 else "no_window_W2") for r in rows)
+
+
+def test_shared_personas_are_stored(spark, data, tmp_path):
+    nested = windows.nest(windows.contiguous_windows(table(spark, data, "actions"), size=3, number=4))
+    store = str(tmp_path / "p0")
+    bad = pipelines.shared_personas(nested, Models(commercial=StubClient(failing=256)), store).collect()
+    assert all(r["error"] for r in bad) and stores.read_or_empty(spark, store, schemas.PERSONA_STORE).count() == 0
+    first = {tuple(r) for r in pipelines.shared_personas(nested, Models(), store).collect()}
+    again = {tuple(r) for r in pipelines.shared_personas(nested, Models(commercial=StubClient(failing=256)), store).collect()}
+    assert first == again and all(r[2] is None for r in first)
+
+
+def test_table_versions(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v string"
+    frame = lambda *r: spark.createDataFrame(r, schema)
+    stores.upsert_latest(frame((1, "a")), path, ["k"], schema)
+    old = stores.read_or_empty(spark, path, schema)
+    stores.upsert_latest(frame((1, "b"), (2, "c")), path, ["k"], schema)
+    # who reads the version before still finds it
+    assert [tuple(r) for r in old.collect()] == [(1, "a")]
+    assert {tuple(r) for r in stores.read_or_empty(spark, path, schema).collect()} == {(1, "b"), (2, "c")}
+    with stores.locked(spark, path), pytest.raises(TimeoutError), stores.locked(spark, path, wait_s=0.1):
+        pass
+
+
+def test_client_retries(monkeypatch):
+    said = []
+
+    def answers(*got):
+        left = list(got)
+
+        def post(self, base, body):
+            said.append((base, body["max_tokens"]))
+            g = left.pop(0)
+            if isinstance(g, Exception):
+                raise g
+            return g
+
+        monkeypatch.setattr(HttpClient, "_post", post)
+        said.clear()
+
+    client = HttpClient(("a", "b"), pause_s=0.0)
+    answers(CallError("maximum context length is 4096 tokens and your request has 4000 input tokens", 400), "ok")
+    assert client.complete("m", "s", "p", 512, 0.0) == "ok" and said == [("a", 512), ("b", 80)]
+    answers(CallError("busy", 503), CallError("", 0), "ok")
+    assert client.complete("m", "s", "p", 5, 0.0) == "ok" and len(said) == 3
+    answers(CallError("no such model", 404), "never")
+    with pytest.raises(CallError):
+        client.complete("m", "s", "p", 5, 0.0)
+    assert len(said) == 1
+    with pytest.raises(ValueError):
+        HttpClient(())
+
+
+def test_record_numbers_are_unique(spark):
+    from strandweave.sources.schemas import RAW_USER
+
+    act = ("post", "x", None, None, None, None)
+    users = spark.createDataFrame([(1, u, [act] * (u % 3)) for u in range(2000)], RAW_USER).repartition(600).withColumn("source_file", F.lit("f"))
+    users.write.mode("overwrite").parquet(f"/tmp/strandweave-test-{spark.sparkContext.applicationId}")
+    users = spark.read.parquet(f"/tmp/strandweave-test-{spark.sparkContext.applicationId}")
+    got = jsonl.long_actions(users)
+    n = sum(u % 3 for u in range(2000))
+    assert got.count() == n == got.select("ingest_seq").distinct().count()
+    two = [r["ingest_seq"] for r in got.where("user_id = 2").orderBy("pos").collect()]
+    assert two[1] == two[0] + 1
+
+
 def test_schemas_parse(spark):
     for s in (schemas.RAW_USER, schemas.WINDOWED_USER, schemas.PREDICTIONS, schemas.SCORES, schemas.PERSONA_CACHE, schemas.PERSONA_STORE, schemas.SAMPLE, schemas.ROW_ACTIONS):
         spark.createDataFrame([], s)
@@ -85,15 +185,15 @@ def test_schemas_parse(spark):
 def test_personas_are_generated_once(spark, data, tmp_path):
     args = (table(spark, data, "actions"), table(spark, data, "user_stats"), str(tmp_path / "cache"), Models())
     first = {(r["user_id"], r["profile"]) for r in pipelines.generate_personas(*args).collect()}
-    n = spark.read.parquet(str(tmp_path / "cache")).count()
+    n = stores.read_or_empty(spark, str(tmp_path / "cache"), schemas.PERSONA_CACHE).count()
     again = {(r["user_id"], r["profile"]) for r in pipelines.generate_personas(*args).collect()}
-    assert first == again and n == len(first) == spark.read.parquet(str(tmp_path / "cache")).count()
+    assert first == again and n == len(first) == stores.read_or_empty(spark, str(tmp_path / "cache"), schemas.PERSONA_CACHE).count()
 
 
 def test_shared_persona_serves_variants(spark, data):
     nested = windows.nest(windows.contiguous_windows(table(spark, data, "actions"), size=3, number=4))
     p0 = nested.select("user_id").distinct().withColumn("profile", F.lit("likes boats"))
-    a, b = (pipelines.evaluate_slice(nested, v, Models(), shared_p0=p0).select("user_id", "W1_Q").collect() for v in ("error", "incremental"))
+    a, b = (pipelines.evaluate_slice(nested, v, Models(), shared_p0=p0).select("user_id", "W1_Q").collect() for v in ("tuned", "incremental_persona"))
     assert sorted(a) == sorted(b) and a
 
 

@@ -43,11 +43,13 @@ def test_pair_distribution_and_first_step(spark):
 
 
 def test_details_and_pairs(spark, tmp_path):
-    d = spark.createDataFrame([(1, 5, [(0, 1, None), (2, 3, 2)]), (2, 5, [])], "user_id bigint, community_id bigint, pairs array<struct<chosen:int,rejected:int,round_idx:int>>")
-    sinks.write_details_and_pairs(d, str(tmp_path), "x")
-    got = spark.read.json(str(tmp_path / "pairs_x")).orderBy("chosen").collect()
+    rounds = spark.createDataFrame([(1, 5, 1, None, True), (1, 5, 2, None, False), (2, 5, 1, "boom", None)], "user_id bigint, community_id bigint, round_idx int, error string, improved boolean")
+    found = spark.createDataFrame([(1, 0, 1, None), (1, 2, 3, 2)], "user_id bigint, chosen int, rejected int, round_idx int")
+    sinks.write_details_and_pairs(rounds, found, str(tmp_path))
+    got = spark.read.json(str(tmp_path / "pairs")).orderBy("chosen").collect()
     assert [(r["user_id"], r["community_id"], r["round_idx"], r["round_tag"]) for r in got] == [(1, 5, 1, "round_1"), (1, 5, 2, "round_2")]
-    assert spark.read.json(str(tmp_path / "detail_x")).count() == 2
+    details = {r["user_id"]: r for r in spark.read.json(str(tmp_path / "details")).collect()}
+    assert (details[1]["num_pairs"], len(details[1]["rounds"])) == (2, 2) and (details[2]["num_pairs"], details[2]["error"]) == (0, "boom")
 
 
 def test_jdbc_round_trip(spark):

@@ -97,7 +97,7 @@ def test_month_with_unreadable_time_breaks_only_its_starts(spark):
 
 def test_pairs_and_best(spark):
     r = spark.createDataFrame([(1, i, x) for i, x in enumerate([0.08, -0.03, 0.04, -0.07, 0.01])], "user_id bigint, cand int, r_all double")
-    got = sorted((x["pair_rule"], x["chosen"], x["rejected"], x["margin"]) for x in pairs.preference_pairs(r, ["user_id"]).collect())
+    got = sorted((x["pair_rule"], x["chosen"], x["rejected"], round(x["margin"], 9)) for x in pairs.preference_pairs(r, ["user_id"]).collect())
     assert got == [("abs_delta", 2, 3, 0.11), ("tau_delta", 0, 1, 0.11), ("tau_delta", 0, 3, 0.15)]
     assert scoring.best_candidate(r, ["user_id"]).first()["best_cand"] == 0
     tie = spark.createDataFrame([(1, 1, 0.5), (1, 0, 0.5)], "user_id bigint, cand int, r_all double")
