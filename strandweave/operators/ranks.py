@@ -58,8 +58,12 @@ def cap_users(users: DataFrame, *, per_community: int | None = None, max_users:
 
 
 def sample_users(users: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` users without replacement in a seeded order (all if there are fewer); the order is by a hash, not that of another generator."""
-    return users.orderBy(F.xxhash64(F.col("user_id"), F.lit(seed)), F.col("user_id")).limit(n)
+    """``n`` users without replacement in a seeded order (all if there are fewer).
+
+    The order is by arithmetic on the id, repeatable anywhere, and not that of another generator.
+    """
+    mixed = F.pmod(F.pmod(F.col("user_id").cast("bigint"), F.lit(1_000_003)) * F.lit(7919 + 2 * seed) + F.lit(seed * 104_729), F.lit(1_000_003))
+    return users.orderBy(mixed, F.col("user_id")).limit(n)
 
 
 def seeded_below(keys: list[Column], share: float, seed: int = 0) -> Column:
@@ -70,14 +74,27 @@ def seeded_below(keys: list[Column], share: float, seed: int = 0) -> Column:
     return F.pmod(mixed, F.lit(1000)) < F.lit(int(round(share * 1000)))
 
 
-def trim_tails(rows: DataFrame, value: str, *, group: list[str] | None = None, tail: float = 0.05, sides: str = "both") -> DataFrame:
+def trim_tails(rows: DataFrame, value: str, *, group: list[str] | None = None, tail: float = 0.05, sides: str = "both", by: str = "value") -> DataFrame:
     """Rows whose ``value`` is not in the lowest or highest ``tail`` of its group (``sides``: both, lower, upper).
 
     ``floor(n * tail)`` rows are cut on each chosen side; null values are left out; equal values
-    are cut in the order of the other columns.
+    are cut in the order of the other columns. With ``by`` = ``deviation`` the rows farthest from
+    the mean of their group are cut: ``floor(n * tail)`` for each chosen side, counting only rows
+    on that side of the mean. A group by step gives the trim per step.
     """
     others = [F.col(c) for c in rows.columns if c != value and dict(rows.dtypes)[c] in ("bigint", "int", "string")]
-    df = group_ranks(rows.where(F.col(value).isNotNull()), group or [], [F.col(value), *others], rank="_r", total="_n")
+    known = rows.where(F.col(value).isNotNull())
+    group = group or []
+    if by == "deviation":
+        mean = known.groupBy(*group).agg(F.avg(value).alias("_mean"))
+        known = known.join(mean, group) if group else known.withColumn("_mean", F.lit(mean.first()[0]).cast("double"))
+        known = known.withColumn("_side", F.when(F.col(value) < F.col("_mean"), F.lit("lower")).otherwise(F.lit("upper"))).withColumn("_far", F.round(F.abs(F.col(value) - F.col("_mean")), 12))
+        sizes = known.groupBy(*group).agg(F.floor(F.count(F.lit(1)) * F.lit(tail)).alias("_k"))
+        ranked = group_ranks(known, [*group, "_side"], [F.col("_far").desc(), *others], rank="_r", total="_n")
+        ranked = ranked.join(sizes, group) if group else ranked.withColumn("_k", F.lit(sizes.first()[0]).cast("bigint"))
+        cut_side = F.lit(sides == "both") | (F.col("_side") == sides)
+        return ranked.where(~cut_side | (F.col("_r") > F.col("_k"))).drop("_mean", "_side", "_far", "_k", "_r", "_n")
+    df = group_ranks(known, group, [F.col(value), *others], rank="_r", total="_n")
     k = F.floor(F.col("_n") * F.lit(tail))
     keep = F.lit(True)
     if sides in ("both", "lower"):

@@ -19,8 +19,8 @@ def recent_actions(actions: DataFrame, stats: DataFrame, n: int = C.SFT_PROFILE_
     if communities:
         users = users.where(F.col("community_id").isin(*communities))
     users = users.select("user_id", F.col("community_id").cast("bigint").alias("community"))
-    rows = actions.join(users, "user_id")
-    last = first_per_key(rows, ["user_id"], [F.col("date").desc_nulls_last(), F.col("ingest_seq").desc()], n, salt_by=["ingest_seq"])
+    # salted cut first: the join then meets at most n rows of a user
+    last = first_per_key(actions, ["user_id"], [F.col("date").desc_nulls_last(), F.col("ingest_seq").desc()], n, salt_by=["ingest_seq"]).join(users, "user_id")
     size = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
     return last.withColumn("n_actions", size.cast("int")).withColumn("apos", (F.col("n_actions") - 1 - F.col("rn")).cast("int")).drop("rn")
 

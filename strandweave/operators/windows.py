@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import times
+from ..session import cut
 from .ranks import first_per_key, group_ranks
 
 USER = ["user_id"]
@@ -96,29 +97,33 @@ def _greedy(times_: list[int], targets: list[float]) -> list[int]:
     return sorted(out)
 
 
-def even_time_sample(rows: DataFrame, groups: list[str], n: int, *, order: str = "tpos", span: str = "t_us", direct: int = 20_000) -> DataFrame:
-    """``n`` rows of each group, nearest in time to ``n`` evenly spaced points, none twice (the earlier of equals).
+def even_time_sample(rows: DataFrame, groups: list[str], n: int, *, order: list[str], span: str = "t_us") -> DataFrame:
+    """``n`` rows of each group, nearest in time to ``n`` evenly spaced points, none twice (the earlier of equals in ``order``).
 
-    ``rows`` has ``span`` (microseconds) and ``order`` (place in time order, unique in a group).
-    Groups with fewer than ``n`` rows give none; if all times are equal, rows are taken evenly
-    by place. In groups of more than ``direct`` rows only the ``n`` nearest rows of each point
-    are gathered: the greedy choice can never need others, so the result is the same.
+    ``rows`` has ``span`` (microseconds) and the columns ``order`` (time order, unique in a
+    group). Groups with fewer than ``n`` rows give none; if all times are equal, rows are taken
+    evenly by place. Only the ``n`` nearest rows of each point are gathered: of these at most
+    n - 1 can be used up by other points, so the greedy choice never needs any other row, and
+    a task sees at most n * n rows of a group of any size. ``rows`` is read several times: cut it before.
     """
     stats = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_m"), F.min(span).alias("_lo"), F.max(span).alias("_hi")).where(F.col("_m") >= n)
-    df = rows.join(stats, groups)
-    flat = df.where("_lo = _hi")
-    by_place = group_ranks(flat, groups, [F.col(order)], rank="_at", total="_all").where(F.array_contains(even_indexes(F.col("_m"), n), (F.col("_at") - 1).cast("int"))).drop("_at", "_all")
-    spread = df.where("_lo < _hi").withColumn("_targets", times.even_targets(F.col("_lo"), F.col("_hi"), n))
-    near = spread.where(F.col("_m") > direct).withColumn("_t", F.explode("_targets")).withColumn("_d", F.abs(F.col(span).cast("double") - F.col("_t")))
-    near = first_per_key(near, [*groups, "_t"], [F.col("_d"), F.col(order)], n, salt_by=[order]).drop("rn", "_t", "_d").dropDuplicates([*groups, order])
-    few = spread.where(F.col("_m") <= direct).unionByName(near)
+    places = [F.col(c) for c in order]
+    spread = rows.join(stats.where("_lo < _hi"), groups)
+    near = spread.select("*", F.posexplode(times.even_targets(F.col("_lo"), F.col("_hi"), n)).alias("_i", "_t"))
+    near = near.withColumn("_d", F.abs(F.col(span).cast("double") - F.col("_t")))
+    near = first_per_key(near, [*groups, "_i"], [F.col("_d"), *places], n, salt_by=order).drop("rn", "_i", "_t", "_d").dropDuplicates([*groups, *order])
+    points = near.withColumn("_targets", times.even_targets(F.col("_lo"), F.col("_hi"), n)).drop("_m", "_lo", "_hi")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         return pdf.iloc[_greedy(pdf[span].tolist(), list(pdf["_targets"].iloc[0]))]
 
-    chosen = few.groupBy(*groups).applyInPandas(choose, few.schema)
-    return chosen.drop("_targets").unionByName(by_place).drop("_m", "_lo", "_hi")
+    chosen = points.groupBy(*groups).applyInPandas(choose, points.schema).drop("_targets")
+    flat = stats.where("_lo = _hi")
+    if flat.isEmpty():
+        return chosen
+    by_place = group_ranks(rows.join(flat, groups), groups, places, rank="_at", total="_all").where(F.array_contains(even_indexes(F.col("_m"), n), (F.col("_at") - 1).cast("int")))
+    return chosen.unionByName(by_place.drop("_at", "_all", "_m", "_lo", "_hi"))
 
 
 def month_chain_windows(actions: DataFrame, *, per_window: int = C.WINDOW_SIZE, months: int = C.CHAIN_MONTHS, per_month: int = 1) -> DataFrame:
@@ -128,10 +133,11 @@ def month_chain_windows(actions: DataFrame, *, per_window: int = C.WINDOW_SIZE,
     inside = rows.join(start, "user_id").where((F.col("month_idx") >= F.col("month_start")) & (F.col("month_idx") < F.col("month_start") + months))
     inside = half_months(inside) if per_month == 2 else inside.withColumn("half", F.lit(0))
     inside = inside.withColumn("window_idx", ((F.col("month_idx") - F.col("month_start")) * per_month + F.col("half")).cast("int"))
-    inside = inside.withColumn("t_us", times.micros(F.col("action_ts"))).withColumn("tpos", F.struct("t_us", F.coalesce("date", F.lit("")).alias("d"), F.coalesce("timestamp", F.lit("")).alias("t"), "ingest_seq"))
-    got = even_time_sample(inside, ["user_id", "window_idx"], per_window, order="ingest_seq")
-    place = Window.partitionBy("user_id", "window_idx").orderBy("t_us", "ingest_seq")
-    return got.withColumn("wpos", (F.row_number().over(place) - 1).cast("int")).drop("tpos", "half")
+    inside = inside.withColumns({"t_us": times.micros(F.col("action_ts")), "_by_date": F.coalesce("date", F.lit("")), "_by_stamp": F.coalesce("timestamp", F.lit(""))})
+    order = ["t_us", "_by_date", "_by_stamp", "ingest_seq"]
+    got = even_time_sample(cut(inside), ["user_id", "window_idx"], per_window, order=order)
+    place = Window.partitionBy("user_id", "window_idx").orderBy(*order)
+    return got.withColumn("wpos", (F.row_number().over(place) - 1).cast("int")).drop("_by_date", "_by_stamp", "half")
 
 
 ACTION_FIELDS = ("ingest_seq", "action_type", "action_text", "original_text", "target", "date", "timestamp")

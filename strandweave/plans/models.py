@@ -172,7 +172,7 @@ class StubEmbedder:
     counted: str = "aeinort0"
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.array([[t.lower().count(c) + 1 for c in self.counted] for t in texts], np.float64).reshape(len(texts), len(self.counted))
+        out = np.array([[t.count(c) + 1 for c in self.counted] for t in texts], np.float64).reshape(len(texts), len(self.counted))
         return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 

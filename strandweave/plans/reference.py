@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import numbers, texts, times
 from ..operators import discrepancies, pairs, ranks, reports, samples, scoring, windows
-from ..sources import table
+from ..sources import stores, table
+from . import twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,15 +77,30 @@ def r_action_times(spark, d):
     return df.select("ingest_seq", F.date_format("action_ts", "yyyy-MM-dd HH:mm:ss").alias("action_ts"), "month_idx", F.when(F.col("month_idx").isNotNull(), times.month_text(F.col("month_idx"))).alias("month"))
 
 
-def _chain_sql(per_window: int, months: int) -> str:
-    return f"""{_TS}, m AS (SELECT user_id, month_idx, count(*) AS n, count(action_ts) AS k FROM v WHERE month_idx IS NOT NULL GROUP BY ALL),
-        g AS (SELECT user_id, month_idx, month_idx - row_number() OVER (PARTITION BY user_id ORDER BY month_idx) AS island FROM m WHERE n >= {per_window} AND n = k),
+_HALF = """hs AS (SELECT user_id, month_idx, (min(epoch_us(action_ts)) + max(epoch_us(action_ts))) / 2.0 AS mid FROM v WHERE month_idx IS NOT NULL AND action_ts IS NOT NULL GROUP BY ALL),
+        hv AS (SELECT v.*, CASE WHEN epoch_us(action_ts) <= mid THEN 0 ELSE 1 END AS half FROM v JOIN hs USING (user_id, month_idx) WHERE action_ts IS NOT NULL)"""
+
+
+def _chain_sql(per_window: int, months: int, per_month: int = 1) -> str:
+    both = f"AND (user_id, month_idx) IN (SELECT (user_id, month_idx) FROM hv GROUP BY user_id, month_idx HAVING count(*) FILTER (half = 0) >= {per_window} AND count(*) FILTER (half = 1) >= {per_window})" if per_month == 2 else ""
+    return f"""{_TS}, {_HALF}, m AS (SELECT user_id, month_idx, count(*) AS n, count(action_ts) AS k FROM v WHERE month_idx IS NOT NULL GROUP BY ALL),
+        g AS (SELECT user_id, month_idx, month_idx - row_number() OVER (PARTITION BY user_id ORDER BY month_idx) AS island FROM m WHERE n >= {per_window * per_month} AND n = k {both}),
         e AS (SELECT user_id, month_idx, max(month_idx) OVER (PARTITION BY user_id, island) AS last FROM g),
         c AS (SELECT user_id, CAST(min(month_idx) AS INTEGER) AS month_start FROM e WHERE month_idx + {months} - 1 <= last GROUP BY user_id)"""
 
 
-@query(f"WITH {_chain_sql(5, 3)} SELECT * FROM c")
+@query(f"WITH {_chain_sql(C.WINDOW_SIZE, C.CHAIN_MONTHS)} SELECT * FROM c")
 def r_month_chain(spark, d):
+    return windows.month_chain(windows.timed(_actions(spark, d)))
+
+
+@query(f"WITH {_chain_sql(C.WINDOW_SIZE, C.CHAIN_MONTHS, 2)} SELECT * FROM c")
+def r_month_chain_halves(spark, d):
+    return windows.month_chain(windows.timed(_actions(spark, d)), per_month=2)
+
+
+@query(f"WITH {_chain_sql(5, 3)} SELECT * FROM c")
+def r_month_chain_short(spark, d):
     return windows.month_chain(windows.timed(_actions(spark, d)), per_window=5, months=3)
 
 
@@ -94,8 +110,37 @@ def r_half_months(spark, d):
     return windows.half_months(windows.timed(_actions(spark, d))).select("ingest_seq", "half")
 
 
-@query()
+def _even_sql(per_window: int, months: int, per_month: int) -> str:
+    """Even sampling with the greedy choice unrolled: one step for each point, without the rows chosen before."""
+    rows = "hv" if per_month == 2 else "(SELECT *, 0 AS half FROM v)"
+    picks = []
+    for i in range(per_window):
+        used = "".join(f" AND seq NOT IN (SELECT seq FROM k{j})" for j in range(i))
+        point = f"lo::DOUBLE + {i}::DOUBLE * (hi - lo)::DOUBLE / {float(max(per_window - 1, 1))}::DOUBLE"
+        picks.append(f"k{i} AS MATERIALIZED (SELECT seq FROM o WHERE lo < hi{used} QUALIFY row_number() OVER (PARTITION BY user_id, window_idx ORDER BY abs(t_us::DOUBLE - ({point})), place) = 1)")
+    chosen = " UNION ALL ".join(f"SELECT seq FROM k{i}" for i in range(per_window))
+    flat = f"SELECT seq FROM o WHERE lo = hi AND place - 1 IN (SELECT round_even(i * (o.m - 1) / {float(max(per_window - 1, 1))}, 0) FROM range({per_window}) r(i))"
+    return f"""WITH {_chain_sql(per_window, months, per_month)},
+        i AS (SELECT r.user_id, (r.month_idx - c.month_start) * {per_month} + r.half AS window_idx, r.ingest_seq AS seq, epoch_us(r.action_ts) AS t_us, coalesce(r.date, '') AS dt, coalesce(r.timestamp, '') AS st
+            FROM {rows} r JOIN c USING (user_id) WHERE r.month_idx >= c.month_start AND r.month_idx < c.month_start + {months}),
+        o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, window_idx ORDER BY t_us, dt, st, seq) AS place, count(*) OVER (PARTITION BY user_id, window_idx) AS m,
+            min(t_us) OVER (PARTITION BY user_id, window_idx) AS lo, max(t_us) OVER (PARTITION BY user_id, window_idx) AS hi FROM i QUALIFY m >= {per_window}),
+        {', '.join(picks)}
+        SELECT user_id, CAST(window_idx AS INTEGER) AS window_idx, CAST(row_number() OVER (PARTITION BY user_id, window_idx ORDER BY place) - 1 AS INTEGER) AS wpos, seq AS ingest_seq FROM o WHERE seq IN ({chosen} UNION ALL {flat})"""
+
+
+@query(_even_sql(C.WINDOW_SIZE, C.CHAIN_MONTHS, 1))
 def r_month_chain_windows(spark, d):
+    return windows.month_chain_windows(_actions(spark, d)).select("user_id", "window_idx", "wpos", "ingest_seq")
+
+
+@query(_even_sql(C.WINDOW_SIZE, C.CHAIN_MONTHS, 2))
+def r_month_chain_half_windows(spark, d):
+    return windows.month_chain_windows(_actions(spark, d), per_month=2).select("user_id", "window_idx", "wpos", "ingest_seq")
+
+
+@query(_even_sql(5, 3, 1))
+def r_month_chain_short_windows(spark, d):
     return windows.month_chain_windows(_actions(spark, d), per_window=5, months=3).select("user_id", "window_idx", "wpos", "ingest_seq")
 
 
@@ -177,7 +222,14 @@ def r_scenarios(spark, d):
     return _actions(spark, d).select("ingest_seq", texts.decision_scenario_short(a).alias("decision"), texts.content_scenario_short(a).alias("content"))
 
 
-@query()
+_STAND_IN = "coalesce(nullif(c.profile_text, ''), 'UserID ' || {u}.user_id || ', Community ' || {u}.community_id)"
+
+
+@query(f"""WITH {twins.windows(C.NUM_WINDOWS)}, x AS (SELECT w.*, h.block, {twins.strip(f"coalesce({_STAND_IN.format(u='u')}, '') || E'\n\n'")} AS profile
+             FROM w JOIN hist h ON h.user_id = w.user_id AND h.window_idx = w.window_idx JOIN (SELECT user_id, window_idx, min(community_id) AS community_id FROM w GROUP BY ALL) u ON u.user_id = w.user_id AND u.window_idx = w.window_idx
+             LEFT JOIN user_profile_cache c ON c.user_id = u.user_id AND c.community_id = u.community_id),
+           y AS (SELECT user_id, window_idx, wpos, {twins.decision_prompt('profile', 'block')} AS decision, CASE WHEN action_type IN ('post', 'reply') THEN {twins.content_prompt('profile', 'block')} END AS content FROM x)
+           SELECT *, CAST(greatest(1, least(128, {C.CONTEXT_TOKENS} - greatest(1, length(decision) // {int(C.CHARS_PER_TOKEN)}) - {C.COMPLETION_MARGIN})) AS INTEGER) AS max_tokens FROM y""")
 def r_prompts(spark, d):
     """Decision and content prompts of every windowed action, with the completion budget."""
     rows = windows.fixed_history(windows.nest(_windows(spark, d))).select("user_id", F.col("community_id").alias("community"), "window_idx", "history", F.posexplode("actions").alias("wpos", "a"))
@@ -203,16 +255,21 @@ def r_triplets(spark, d):
     return windows.triplets(windows.nest(_windows(spark, d)))
 
 
-@query(f"WITH {_W} SELECT user_id, window_idx, CAST(sum(k) OVER (PARTITION BY user_id ORDER BY window_idx) AS INTEGER) AS so_far FROM (SELECT user_id, window_idx, count(*) AS k FROM w GROUP BY ALL)")
+@query(f"""WITH {_W}, k AS (SELECT user_id, window_idx, list(ingest_seq ORDER BY wpos) AS seqs FROM w GROUP BY ALL)
+           SELECT user_id, window_idx, flatten(list(seqs) OVER (PARTITION BY user_id ORDER BY window_idx)) AS so_far FROM k""")
 def r_cumulative(spark, d):
-    return windows.cumulative(windows.nest(_windows(spark, d))).select("user_id", "window_idx", F.size("so_far").alias("so_far"))
+    return windows.cumulative(windows.nest(_windows(spark, d))).select("user_id", "window_idx", F.transform("so_far", lambda a: a["ingest_seq"]).alias("so_far"))
 
 
-@query()
+@query(f"""WITH {_W} SELECT user_id, community_id, window_idx, list(ingest_seq ORDER BY wpos) AS seqs, list(action_text ORDER BY wpos) AS said, CAST({C.WINDOW_SIZE * C.NUM_WINDOWS} AS INTEGER) AS used_actions
+           FROM (SELECT w.* EXCLUDE (community_id), min(community_id) OVER (PARTITION BY user_id) AS community_id FROM w) GROUP BY ALL""")
 def r_windowed_records(spark, d):
-    """The nested form of windowed files, one row per user."""
+    """The nested form of windowed files as JSON and back: one row per user, then one per window."""
     m = windows.window_map(windows.nest(_windows(spark, d)))
-    return m.select("user_id", "community_id", F.to_json("windows").alias("windows"), "used_actions")
+    text = m.select("user_id", "community_id", "used_actions", F.to_json("windows").alias("j"))
+    back = text.withColumn("windows", F.from_json("j", m.schema["windows"].dataType))
+    long = windows.unmap(back).join(back.select("user_id", "used_actions"), "user_id")
+    return long.select("user_id", "community_id", "window_idx", F.transform("actions", lambda a: a["ingest_seq"]).alias("seqs"), F.transform("actions", lambda a: a["action_text"]).alias("said"), "used_actions")
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
@@ -239,47 +296,52 @@ def r_scores(spark, d):
     return s.select("user_id", "method", "persona_id", "window_idx", "n", *[F.round(c, 10).alias(c) for c in ("f", "l", "q")])
 
 
-@query()
+@query(f"""WITH {_W}, x AS (SELECT p.user_id, p.method, p.persona_id, p.window_idx, p.wpos, p.pred_type AS pred, p.pred_content AS said, p.semantic_similarity AS sim, w.action_type, w.action_text, w.target
+             FROM ({_PRED}) p JOIN w ON p.user_id = w.user_id AND p.window_idx = w.window_idx AND p.wpos = w.wpos), {twins.discrepancies('t', 'x', 'user_id, method, persona_id, window_idx')}
+           SELECT * RENAME (block AS discrepancies) FROM t""")
 def r_discrepancies(spark, d):
     return discrepancies.discrepancy_blocks(_matched(spark, d), ["user_id", "method", "persona_id", "window_idx"])
 
 
 def _candidate_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Quality of a baseline and ten candidates in three windows for every user, by fixed arithmetic."""
-    u = _actions(spark, d).select("user_id").distinct()
-    grid = u.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(C.CANDIDATES)))).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    mixed = F.pmod(F.col("user_id") * 7919 + F.col("cand").cast("bigint") * 104729 + F.col("w").cast("bigint") * 1299709, F.lit(1000))
-    return grid.withColumn("q", 0.4 + mixed / 10000.0)
-
-
-_CAND = f"""s AS (SELECT user_id, cand, w, 0.4 + ((user_id * 7919 + cand * 104729 + w * 1299709) % 1000) / 10000.0 AS q FROM (SELECT DISTINCT user_id FROM actions), range({C.CANDIDATES + 1}) a(cand), range(3) b(w)),
-r AS (SELECT s.user_id, CAST(s.cand - 1 AS INTEGER) AS cand, round(sum(s.q - b.q), 6) AS r_all FROM s JOIN s b ON s.user_id = b.user_id AND b.cand = 0 AND s.w = b.w WHERE s.cand > 0 GROUP BY ALL)"""
+    """Mean quality of every persona of a community in three windows as candidates, and of all personas as the baseline (candidate 0)."""
+    s = table(spark, d, "scores").where(F.col("community_id").isNotNull() & F.col("window_idx").between(0, 2) & F.col("q").isNotNull())
+    of = lambda cand: s.groupBy("community_id", cand.alias("cand"), F.col("window_idx").alias("w")).agg(F.avg("q").alias("q"))
+    return of(F.col("persona_id").cast("int")).unionByName(of(F.lit(0)))
+
+
+_CAND = """b AS (SELECT community_id, 0 AS cand, window_idx AS w, avg(q) AS q FROM scores WHERE community_id IS NOT NULL AND window_idx BETWEEN 0 AND 2 AND q IS NOT NULL GROUP BY ALL),
+s AS (SELECT community_id, CAST(persona_id AS INTEGER) AS cand, window_idx AS w, avg(q) AS q FROM scores WHERE community_id IS NOT NULL AND window_idx BETWEEN 0 AND 2 AND q IS NOT NULL GROUP BY ALL UNION ALL SELECT * FROM b),
+c AS (SELECT DISTINCT community_id, cand FROM s WHERE cand > 0),
+rr AS (SELECT c.community_id, CAST(c.cand - 1 AS INTEGER) AS cand, {}),
+r AS (SELECT *, r_pre + r_cur + r_fut AS r_all FROM rr)""".format(
+    ", ".join(f"coalesce((SELECT q FROM s WHERE s.community_id = c.community_id AND s.cand = c.cand AND s.w = {w}), 0) - coalesce((SELECT q FROM b WHERE b.community_id = c.community_id AND b.w = {w}), 0) AS {n}" for w, n in enumerate(("r_pre", "r_cur", "r_fut"))) + " FROM c"
+)
 
 
-@query(f"WITH {_CAND} SELECT * FROM r")
+@query(f"WITH {_CAND} SELECT community_id, cand, round(r_pre, 10) AS r_pre, round(r_cur, 10) AS r_cur, round(r_fut, 10) AS r_fut, round(r_all, 10) AS r_all FROM r")
 def r_rewards(spark, d):
-    return scoring.rewards(_candidate_scores(spark, d), ["user_id"]).select("user_id", "cand", F.round("r_all", 6).alias("r_all"))
+    return scoring.rewards(_candidate_scores(spark, d), ["community_id"]).select("community_id", "cand", *[F.round(c, 10).alias(c) for c in ("r_pre", "r_cur", "r_fut", "r_all")])
 
 
-@query(f"""WITH {_CAND} SELECT h.user_id, h.cand AS chosen, l.cand AS rejected, round(h.r_all - l.r_all, 6) AS margin,
-             CASE WHEN h.r_all > {C.TAU_PLUS} AND l.r_all < {C.TAU_MINUS} AND round(h.r_all - l.r_all, 6) > {C.DELTA} THEN 'tau_delta' ELSE 'abs_delta' END AS pair_rule,
+@query(f"""WITH {_CAND} SELECT h.community_id, h.cand AS chosen, l.cand AS rejected, round(h.r_all - l.r_all, 10) AS margin,
+             CASE WHEN h.r_all > {C.TAU_PLUS} AND l.r_all < {C.TAU_MINUS} AND h.r_all - l.r_all > {C.DELTA} THEN 'tau_delta' ELSE 'abs_delta' END AS pair_rule,
              CASE WHEN h.cand >= 6 THEN 'commercial' ELSE 'base' END AS chosen_source, CASE WHEN l.cand >= 6 THEN 'commercial' ELSE 'base' END AS rejected_source
-           FROM r h JOIN r l ON h.user_id = l.user_id AND h.r_all > 0 AND l.r_all < 0
-           WHERE (h.r_all > {C.TAU_PLUS} AND l.r_all < {C.TAU_MINUS} AND round(h.r_all - l.r_all, 6) > {C.DELTA}) OR round(h.r_all - l.r_all, 6) > {C.ABS_DELTA}""")
+           FROM r h JOIN r l ON h.community_id = l.community_id AND h.r_all > 0 AND l.r_all < 0
+           WHERE (h.r_all > {C.TAU_PLUS} AND l.r_all < {C.TAU_MINUS} AND h.r_all - l.r_all > {C.DELTA}) OR h.r_all - l.r_all > {C.ABS_DELTA}""")
 def r_pairs(spark, d):
-    reward = scoring.rewards(_candidate_scores(spark, d), ["user_id"]).withColumn("r_all", F.round("r_all", 6))
-    return pairs.preference_pairs(reward, ["user_id"]).withColumn("margin", F.round("margin", 6))
+    found = pairs.preference_pairs(scoring.rewards(_candidate_scores(spark, d), ["community_id"]), ["community_id"])
+    return found.withColumn("margin", F.round("margin", 10))
 
 
-@query(f"WITH {_CAND} SELECT user_id, cand AS best_cand, r_all AS best_r_all FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r_all DESC, cand) = 1")
+@query(f"WITH {_CAND} SELECT community_id, cand AS best_cand, round(r_all, 10) AS best_r_all FROM r QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY r_all DESC, cand) = 1")
 def r_best_candidates(spark, d):
-    reward = scoring.rewards(_candidate_scores(spark, d), ["user_id"]).withColumn("r_all", F.round("r_all", 6))
-    return scoring.best_candidate(reward, ["user_id"])
+    return scoring.best_candidate(scoring.rewards(_candidate_scores(spark, d), ["community_id"]), ["community_id"]).withColumn("best_r_all", F.round("best_r_all", 10))
 
 
-@query(f"WITH {_CAND} SELECT user_id, max(q) FILTER (cand > 0) > max(q) FILTER (cand = 0) AS improved FROM s WHERE w = 1 GROUP BY user_id")
+@query(f"WITH {_CAND} SELECT community_id, max(q) FILTER (cand > 0) > max(q) FILTER (cand = 0) AS improved FROM s WHERE w = 1 GROUP BY community_id")
 def r_gate(spark, d):
-    return scoring.gate(_candidate_scores(spark, d), ["user_id"])
+    return scoring.gate(_candidate_scores(spark, d), ["community_id"])
 
 
 @query("SELECT community_id, method, window_idx, count(*) AS n, round(avg(q) FILTER (NOT isnan(q)), 10) AS mean_q FROM scores GROUP BY ALL")
@@ -298,11 +360,31 @@ def r_step_report(spark, d):
     return reports.by_step(table(spark, d, "scores")).select("method", "step_index", "n", *[F.round(c, 10).alias(c) for c in ("f", "l", "q")])
 
 
-@query("""WITH o AS (SELECT method, q, row_number() OVER (PARTITION BY method ORDER BY q, user_id, community_id, persona_id, window_idx) AS r, count(*) OVER (PARTITION BY method) AS n FROM scores WHERE q IS NOT NULL)
-          SELECT method, count(*) AS kept, round(avg(q), 10) AS q FROM o WHERE r > floor(n * 0.05) AND r <= n - floor(n * 0.05) GROUP BY method""")
+def _trim_sql(side: str) -> str:
+    low, high = side in ("both", "lower"), side in ("both", "upper")
+    return f"SELECT '{side}' AS sides, method, count(*) AS kept, round(avg(q), 10) AS q FROM o WHERE {'r > floor(n * 0.05)' if low else 'true'} AND {'r <= n - floor(n * 0.05)' if high else 'true'} GROUP BY method"
+
+
+_BY = "user_id, community_id, method, persona_id, window_idx"
+
+
+@query(f"""WITH o AS (SELECT method, q, row_number() OVER (PARTITION BY method ORDER BY q, {_BY}) AS r, count(*) OVER (PARTITION BY method) AS n FROM scores WHERE q IS NOT NULL)
+           {" UNION ALL ".join(_trim_sql(x) for x in ("both", "lower", "upper"))}""")
 def r_trimmed_report(spark, d):
-    kept = ranks.trim_tails(table(spark, d, "scores"), "q", group=["method"])
-    return kept.groupBy("method").agg(F.count(F.lit(1)).alias("kept"), F.round(F.avg("q"), 10).alias("q"))
+    out = None
+    for sides in ("both", "lower", "upper"):
+        kept = ranks.trim_tails(table(spark, d, "scores"), "q", group=["method"], sides=sides)
+        part = kept.groupBy(F.lit(sides).alias("sides"), "method").agg(F.count(F.lit(1)).alias("kept"), F.round(F.avg("q"), 10).alias("q"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH m AS (SELECT *, avg(q) OVER (PARTITION BY method, window_idx) AS mean, count(*) OVER (PARTITION BY method, window_idx) AS n FROM scores WHERE q IS NOT NULL),
+             o AS (SELECT *, row_number() OVER (PARTITION BY method, window_idx, q < mean ORDER BY round(abs(q - mean), 12) DESC, {_BY}) AS r FROM m)
+           SELECT method, window_idx, count(*) AS kept, round(avg(q), 10) AS q FROM o WHERE r > floor(n * 0.05) GROUP BY ALL""")
+def r_trimmed_steps(spark, d):
+    kept = ranks.trim_tails(table(spark, d, "scores"), "q", group=["method", "window_idx"], by="deviation")
+    return kept.groupBy("method", "window_idx").agg(F.count(F.lit(1)).alias("kept"), F.round(F.avg("q"), 10).alias("q"))
 
 
 _RECENT = f"""r AS (SELECT a.user_id, s.community_id AS community, a.ingest_seq, a.action_type, row_number() OVER (PARTITION BY a.user_id ORDER BY a.date DESC NULLS LAST, a.ingest_seq DESC) AS k,
@@ -316,12 +398,41 @@ def r_samples(spark, d):
     return samples.sft_samples(_actions(spark, d), table(spark, d, "user_stats"), table(spark, d, "user_profile_cache")).select("user_id", "community", "ingest_seq", "sample_kind")
 
 
-@query()
+def _sample_line(a: str) -> str:
+    kind, target, body, orig = (f"coalesce({a}.{c}, '')" for c in ("action_type", "target", "action_text", "original_text"))
+    c = lambda x: f"substring({x}, 1, {C.TEXT_LONG})"
+    return f"""'[' || coalesce({a}.timestamp, '') || '] ' || CASE WHEN {kind} = 'reply' THEN 'User commented on "' || {twins.first_of(c(orig), c(target))} || '": "' || {c(body)} || '"'
+        WHEN {kind} = 'post' THEN 'User posted: "' || {twins.first_of(c(body), c(target))} || '"' WHEN {kind} = 'like' THEN 'User liked: "' || {c(target)} || '..."'
+        WHEN {kind} = 'repost' THEN 'User reposted: "' || {c(target)} || '..."' ELSE 'User performed ' || {kind} || ' on: "' || {c(target)} || '..."' END"""
+
+
+def _samples_sql() -> str:
+    """Samples as text: the last actions of each user, their derived targets, ten lines of history and the scenario."""
+    own, orig = f"substring(coalesce(action_text, ''), 1, {C.TEXT_LONG})", f"substring(coalesce(original_text, ''), 1, {C.TEXT_LONG})"
+    derived = f"CASE WHEN action_type = 'reply' THEN coalesce(nullif({orig}, ''), nullif({own}, ''), 'post_' || ingest_seq) ELSE coalesce(nullif({own}, ''), nullif({orig}, ''), 'post_' || ingest_seq) END"
+    longer = lambda c: f"(CASE WHEN length({c}) > {C.TEXT_LONG} THEN substring({c}, 1, {C.TEXT_LONG}) || '...' ELSE {c} END)"
+    given = lambda c: f"'Given that the user''s behavior contains the following content: ' || {c} || E'\\nWhich type of user behavior is this most likely generated from?'"
+    t, o = "coalesce(target, '')", "coalesce(original_text, '')"
+    say = f"CASE WHEN action_type = 'post' THEN 'Write a post, what content?' ELSE 'Comment on \"' || {twins.first_of(twins.cut(o), twins.cut(t))} || '...\", what is the comment content?' END"
+    choose = f"CASE WHEN action_type = 'post' THEN {given(longer(t))} WHEN action_type IN ('reply', 'repost', 'like') THEN {given(twins.first_of(longer(o), longer(t)))} ELSE 'What action to take' END"
+    return f"""{_RECENT}, z AS (SELECT a.* EXCLUDE (target), {derived} AS target, q.apos, q.community FROM (SELECT ingest_seq AS seq, apos, community FROM q) q JOIN actions a ON a.ingest_seq = q.seq),
+        l AS (SELECT *, {_sample_line('z')} AS line, action_type IN ('post', 'reply') AND NOT (((user_id % 1000003) * 7919 + (ingest_seq % 1000003) * 104729) % 1000 < 300) AS is_content FROM z),
+        h AS (SELECT *, string_agg(line, E'\\n') OVER (PARTITION BY user_id ORDER BY apos ROWS BETWEEN {C.SFT_T} PRECEDING AND 1 PRECEDING) AS history FROM l),
+        t AS (SELECT h.user_id, CAST(h.community AS BIGINT) AS community, h.ingest_seq, CASE WHEN coalesce(is_content, false) THEN 'content' ELSE 'decision' END AS sample_kind,
+            CASE WHEN coalesce(is_content, false) THEN {twins.lit(C.SFT_CONTENT_INSTRUCTION)} ELSE {twins.lit(C.SFT_DECISION_INSTRUCTION)} END AS "Instruction",
+            'Target user profile: ' || coalesce(nullif(c.profile_text, ''), 'UserID ' || h.user_id || ', Community ' || h.community) || E'\\nUser historical behavior sequence: ' || history
+                || E'\\nCurrent scenario: After completing the above historical behaviors, ' || CASE WHEN coalesce(is_content, false) THEN {say} ELSE {choose} || E'\\nAvailable actions: {C.SFT_AVAILABLE}' END AS "input",
+            CASE WHEN coalesce(is_content, false) AND action_type = 'post' THEN {twins.first_of('action_text', 'target')} WHEN coalesce(is_content, false) THEN coalesce(action_text, '') ELSE coalesce(action_type, '') END AS "output"
+            FROM h LEFT JOIN user_profile_cache c ON c.user_id = h.user_id AND c.community_id = h.community WHERE apos >= {C.SFT_T})"""
+
+
+@query(f"WITH {_samples_sql()} SELECT * FROM t")
 def r_sample_texts(spark, d):
     return samples.sft_samples(_actions(spark, d), table(spark, d, "user_stats"), table(spark, d, "user_profile_cache"))
 
 
-@query()
+@query(f"""WITH {_samples_sql()} SELECT count(*) AS samples, count(*) FILTER (sample_kind = 'content') AS content, count(*) FILTER (sample_kind = 'decision') AS decision,
+           count(*) FILTER (contains("input", 'Write a post') OR contains("input", 'Comment on')) AS content_by_text FROM t""")
 def r_sample_counts(spark, d):
     return samples.sample_counts(r_sample_texts(spark, d))
 
@@ -339,12 +450,16 @@ def _users(spark: SparkSession, d: str) -> DataFrame:
 _USERS = "u AS (SELECT user_id, min(community_id) AS community_id, min(ingest_seq) AS first_seq FROM actions WHERE community_id IS NOT NULL GROUP BY user_id)"
 
 
-@query(f"WITH {_USERS} SELECT user_id, community_id FROM u QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY first_seq, user_id) <= 3")
+@query(f"""WITH {_USERS}, c AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY first_seq, user_id) AS k FROM u), t AS (SELECT * FROM u ORDER BY first_seq, user_id LIMIT 30)
+           SELECT 'community_first' AS cap_order, user_id, community_id FROM (SELECT * FROM c WHERE k <= 3 ORDER BY first_seq, user_id LIMIT 30)
+           UNION ALL SELECT 'total_first', user_id, community_id FROM t QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY first_seq, user_id) <= 3""")
 def r_capped_users(spark, d):
-    return ranks.cap_users(_users(spark, d), per_community=3).select("user_id", "community_id")
+    """Three users of a community and thirty in all, in both orders of the caps."""
+    capped = [ranks.cap_users(_users(spark, d), per_community=3, max_users=30, cap_order=o).select(F.lit(o).alias("cap_order"), "user_id", "community_id") for o in ("community_first", "total_first")]
+    return capped[0].unionByName(capped[1])
 
 
-@query()
+@query(f"WITH {_USERS} SELECT user_id, community_id FROM u ORDER BY ((user_id % 1000003) * (7919 + 14) + 7 * 104729) % 1000003, user_id LIMIT 20")
 def r_sampled_users(spark, d):
     return ranks.sample_users(_users(spark, d), 20, seed=7).select("user_id", "community_id")
 
@@ -364,17 +479,20 @@ def r_missing_personas(spark, d):
 @query("""WITH m AS (SELECT DISTINCT method FROM scores), u AS (SELECT DISTINCT user_id FROM user_stats)
           SELECT user_id, method FROM u, m WHERE (user_id, method) NOT IN (SELECT DISTINCT user_id, method FROM scores WHERE q IS NOT NULL)""")
 def r_open_work(spark, d):
-    """User and method pairs without a finished row: expansion, then an anti-join on the sink."""
-    methods = [r[0] for r in table(spark, d, "scores").select("method").distinct().orderBy("method").limit(1000).collect()]
-    todo = table(spark, d, "user_stats").select("user_id").distinct().withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])) if methods else F.lit(None).cast("string"))
-    done = table(spark, d, "scores").where("q is not null").select("user_id", "method").distinct()
-    return todo.join(done, ["user_id", "method"], "left_anti")
+    """User and method pairs without a finished row: expansion by the methods of the sink, then an anti-join on it."""
+    rows = table(spark, d, "scores").withColumn("error", F.when(F.col("q").isNull(), F.lit("no score")))
+    methods = rows.groupBy(F.lit(1).alias("one")).agg(F.collect_set("method").alias("methods"))
+    users = table(spark, d, "user_stats").select("user_id").distinct().withColumn("one", F.lit(1))
+    todo = users.join(methods, "one").select("user_id", F.explode("methods").alias("method"))
+    return stores.open_work(todo, stores.completed(rows, ["user_id", "method"]), ["user_id", "method"])
 
 
-@query("SELECT vec_id, round(list_dot_product(embedding, embedding)::DOUBLE, 4) AS self FROM embeddings")
+@query("SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS next FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def r_cosine(spark, d):
+    """Each vector with the next one."""
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.round(numbers.cosine(F.col("embedding"), F.col("embedding")), 4).alias("self"))
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(following, "vec_id").select("vec_id", F.round(numbers.cosine(F.col("embedding"), F.col("b")), 5).alias("next"))
 
 
 @query("""SELECT s_.l_suppkey AS user_id, CAST(min(m) AS INTEGER) AS month_start FROM (
@@ -394,30 +512,3 @@ def r_customers_with_orders(spark, d):
     o = table(spark, d, "orders")
     big = o.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total")).where("n_orders > 10")
     return big.join(o.where("o_orderstatus = 'X'").select("o_custkey").distinct(), "o_custkey", "left_anti")
-
-
-def _stub_nested(spark: SparkSession, d: str) -> DataFrame:
-    return windows.nest(_windows(spark, d))
-
-
-@query()
-def r_pair_rounds(spark, d):
-    """Rolling rounds of pair mining with the deterministic stand-in models."""
-    from . import models, pipelines
-
-    found, _ = pipelines.mine_pairs(_stub_nested(spark, d), models.Models(), n=4)
-    return found.select("user_id", "round_idx", "chosen", "rejected", "margin", "pair_rule", "chosen_source", "rejected_source")
-
-
-@query()
-def r_chain_evaluation(spark, d):
-    from . import models, pipelines
-
-    return pipelines.evaluate_chain(_stub_nested(spark, d), pipelines.METHODS[4], models.Models(), steps=3)
-
-
-@query()
-def r_slice_evaluation(spark, d):
-    from . import models, pipelines
-
-    return pipelines.evaluate_slice(_stub_nested(spark, d), "error", models.Models())

@@ -47,10 +47,9 @@ def test_even_indexes(spark, m, n, want):
 
 
 @pytest.mark.parametrize("t,n,want", [([0, 1, 2, 10], 3, [0, 2, 3]), ([0, 4, 6, 10], 3, [0, 1, 3]), ([0, 1, 2, 3, 100], 4, [0, 2, 3, 4]), ([0, 50, 51, 100], 1, [0])])
-@pytest.mark.parametrize("direct", [20_000, 1])
-def test_greedy_time_sample(spark, t, n, want, direct):
+def test_greedy_time_sample(spark, t, n, want):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(t)], "g int, tpos bigint, t_us bigint")
-    got = windows.even_time_sample(df, ["g"], n, direct=direct).collect()
+    got = windows.even_time_sample(df, ["g"], n, order=["tpos"]).collect()
     assert sorted(r["tpos"] for r in got) == want
 
 
@@ -60,8 +59,13 @@ def test_greedy_same_for_large_groups(spark):
     rng = random.Random(1)
     rows = [(g, i, rng.randrange(0, 200)) for g in range(4) for i in range(60)]
     df = spark.createDataFrame(rows, "g int, tpos bigint, t_us bigint")
-    a, b = ({(r["g"], r["tpos"]) for r in windows.even_time_sample(df, ["g"], 7, direct=d).collect()} for d in (1000, 1))
-    assert a == b and len(a) == 28
+    got = {(r["g"], r["tpos"]) for r in windows.even_time_sample(df, ["g"], 7, order=["t_us", "tpos"]).collect()}
+    want = set()
+    for g in range(4):
+        mine = sorted((t, i) for h, i, t in rows if h == g)
+        lo, hi = mine[0][0], mine[-1][0]
+        want |= {(g, mine[k][1]) for k in windows._greedy([t for t, _ in mine], [lo + i * (hi - lo) / 6.0 for i in range(7)])}
+    assert got == want and len(got) == 28
 
 
 def test_contiguous_windows(spark):
@@ -187,7 +191,7 @@ def test_group_ranks_of_a_large_group(spark):
 
 def test_even_sample_of_equal_times(spark):
     df = spark.createDataFrame([(1, i, 5) for i in range(6)] + [(2, i, 5) for i in range(2)], "g int, tpos bigint, t_us bigint")
-    assert sorted((r["g"], r["tpos"]) for r in windows.even_time_sample(df, ["g"], 3).collect()) == [(1, 0), (1, 2), (1, 5)]
+    assert sorted((r["g"], r["tpos"]) for r in windows.even_time_sample(df, ["g"], 3, order=["tpos"]).collect()) == [(1, 0), (1, 2), (1, 5)]
 
 
 def test_cap_orders(spark):
