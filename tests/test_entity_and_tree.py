@@ -63,6 +63,42 @@ def test_tree_matches_brute_force(spark, chunk, fan_in):
     assert len(totals) == len(seen["user_id"]) + 3
 
 
+def test_features_of_text_ids_and_hot_entities(spark, monkeypatch):
+    from strandweave.operators import entity_features as ef
+
+    monkeypatch.setattr(ef, "HELD", 50)
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", f"e{rng.randrange(2000)}"]), f"t{rng.randrange(9)}", rng.randrange(100)) for _ in range(9000)]
+    df = spark.createDataFrame(rows, "u string, k string, m bigint").repartition(40)
+    got = {r["u"]: r for r in ef.entity_features(df, entity="u", type_="k", moment="m").collect()}
+    n = Counter((u, k) for u, k, _ in rows)
+    assert set(got) == {u for u, _, _ in rows}
+    assert all(r["n"] == [n[u, f"t{i}"] for i in range(9)] for u, r in got.items())
+    places = [tuple(r) for r in ef.vocabulary_table(df, "k").orderBy("place").collect()]
+    assert places == [(i, f"t{i}") for i in range(9)]
+
+
+@pytest.mark.parametrize("orders", ["null", "repeated", "sparse"])
+def test_tree_with_odd_orders(spark, orders):
+    """Rows with null, repeated or far-apart orders all count, and no chunk has more rows than asked for."""
+    n = 500
+    at = {"null": lambda i: None if i % 3 else i, "repeated": lambda i: i // 250, "sparse": lambda i: i * 10**15}[orders]
+    rows = [(at(i), i % 2 if i % 7 else 9, None if i % 11 == 0 else 1) for i in range(n)]
+    df = spark.createDataFrame(rows, "ingest_seq bigint, user_id bigint, community_id bigint").repartition(5)
+    totals = {(r["kind"], r["key"]): (r["n"], r["first_seq"]) for r in key_totals(df, ["user_id", "community_id"], chunk=16, fan_in=4).collect()}
+    for kind, col in (("user_id", 1), ("community_id", 2)):
+        for key, count in Counter(r[col] for r in rows if r[col] is not None).items():
+            known = [r[0] for r in rows if r[col] == key and r[0] is not None]
+            assert totals[kind, key] == (count, min(known))
+    got = key_positions(df, ["user_id", "community_id"], chunk=16, fan_in=4).collect()
+    assert len(got) == n
+    low = lambda x: -1 if x is None else x
+    for key in {r[1] for r in rows}:
+        mine = sorted((r["user_id_pos"], low(r["ingest_seq"])) for r in got if r["user_id"] == key)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [o for _, o in mine] == sorted(o for _, o in mine)
+        assert all(r["user_id_n"] == len(mine) for r in got if r["user_id"] == key)
+
+
 def test_tree_empty(spark):
     df = spark.createDataFrame([], "ingest_seq bigint, user_id bigint, community_id bigint")
     assert key_totals(df, ["user_id", "community_id"]).count() == 0
