@@ -77,6 +77,7 @@ CASCADE: tuple[tuple[str, str, str], ...] = (
 #: Numbers counting from 1970, by digits: seconds, milli-, micro-, nanoseconds.
 EPOCH = ((r"^\d{9,10}$", 1), (r"^\d{12,13}$", 1_000), (r"^\d{15,16}$", 1_000_000), (r"^\d{18,19}$", 1_000_000_000))
 YEARS = (1990, 2099)
+REGION = r"^(?:[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+|UTC)$"
 OPEN = -(1 << 40)  # stands for "not determined" between two steps
 
 
@@ -126,16 +127,44 @@ def _regular(zone: Column) -> Column:
     return F.when(zone.contains("/") & ~zone.contains("["), zone).when(zone.contains("["), F.lit(None))
 
 
+_BLANK = " \t\n\x0b\f\r\u00a0\u3000"
+
+
 def _fields(df: DataFrame, source: str, out: str) -> DataFrame:
-    """Add ``out``: the eight fields of ``source`` by the first matching pattern, and its name."""
-    s = F.regexp_replace(F.col(source), r"^[\s 　]+|[\s 　]+$", "")
-    df = df.withColumn(f"_{out}_s", s)
+    """Add ``out``: the eight fields of ``source`` by the first matching pattern of the cascade, and its name.
+
+    A few characters at fixed places leave one pattern (two where a month's name stands) that
+    can match at all, so a value is matched once and its fields are taken by the same match.
+    No pattern allows a bar, and every replacement has one: a value that matches is changed.
+    """
+    df = df.withColumn(f"_{out}_s", F.btrim(F.col(source), F.lit(_BLANK)))
     s = F.col(f"_{out}_s")
-    kind = F.coalesce(*[F.when(s.rlike(p), F.lit(n)) for n, p, _ in CASCADE])
-    df = df.withColumn(f"_{out}_k", kind)
-    k = F.col(f"_{out}_k")
-    fields = F.coalesce(*[F.when(k == n, F.regexp_replace(s, p, r)) for n, p, r in CASCADE])
-    return df.withColumn(f"_{out}_f", F.split(fields, r"\|", -1))
+    at = lambda i: F.substring(s, i, 1)
+    digit = lambda c: c.between("0", "9")
+    one = lambda i, *cs: at(i).isin(*cs)
+    n, clock, year_first = F.length(s), s.contains(":"), digit(at(3))
+    packed = digit(at(5)) & year_first
+    only = (
+        F.when(year_first & (at(5) == "-"), F.when(clock, F.lit("iso")).otherwise(F.lit("day")))
+        .when(year_first & (at(5) == "/"), F.when(clock, F.lit("slashed")).otherwise(F.lit("day")))
+        .when(one(2, "/", "-") | one(3, "/", "-"), F.lit("either"))
+        .when(one(2, ".") | one(3, "."), F.when(clock, F.lit("dotted")).otherwise(F.lit("day_dotted")))
+        .when(at(5) == "年", F.when(s.endswith("日"), F.lit("day_cjk")).otherwise(F.lit("cjk")))
+        .when(packed & one(9, "T", "t"), F.lit("compact_t"))
+        .when(packed & n.isin(12, 14), F.lit("compact"))
+        .when(packed & (n == 10), F.lit("hour"))
+        .when((packed & n.isin(8, 9)) | (year_first & (at(5) == ".")), F.lit("day"))
+        .when(clock, F.lit("mail")).otherwise(F.lit("day_mail"))
+    )
+    df = df.withColumn(f"_{out}_g", only)
+    g = F.col(f"_{out}_g")
+    taken = F.coalesce(*[F.when(g == name, F.regexp_replace(s, p, r)) for name, p, r in CASCADE if name != "month_first"])
+    df = df.withColumn(f"_{out}_r", taken)
+    month_first = next((p, r) for name, p, r in CASCADE if name == "month_first")
+    df = df.withColumn(f"_{out}_r2", F.when((g == "mail") & (F.col(f"_{out}_r") == s), F.regexp_replace(s, *month_first)))
+    text = F.coalesce(F.col(f"_{out}_r2"), F.col(f"_{out}_r"))
+    df = df.withColumn(f"_{out}_k", F.when(text != s, F.when(F.col(f"_{out}_r2").isNotNull(), F.lit("month_first")).otherwise(g)))
+    return df.withColumn(f"_{out}_f", F.when(F.col(f"_{out}_k").isNotNull(), F.split(text, r"\|", -1)))
 
 
 def _parse(df: DataFrame, out: str, home: str, like: str | None = None) -> DataFrame:
@@ -163,12 +192,12 @@ def _parse(df: DataFrame, out: str, home: str, like: str | None = None) -> DataF
         f"_{out}_d1": wall, f"_{out}_d2": swapped, f"_{out}_m": minute,
         f"_{out}_off": F.when(c("z").isNotNull(), _offset_minutes(c("z"), home_c)).cast("long"),
     })
-    zoned = F.coalesce(F.when(c("z").isNotNull() & c("off").isNull(), _regular(c("z"))), F.when(c("z").isNull(), home_c))
-    # A zone text that is neither an offset, a known abbreviation nor a region leaves the moment open.
-    zoned = F.when(F.col(f"_{out}_k").isNotNull() & zoned.rlike(r"^(?:[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+|UTC)$"), zoned)
-    epoch = F.coalesce(*[
-        F.when(s.rlike(p) & (k.isNull() | ~k.isin("hour", "compact")), F.floor(s.try_cast("decimal(20,0)") / div / 60).cast("long")) for p, div in EPOCH
-    ])
+    # A zone text that is neither an offset, a known abbreviation nor a region leaves the moment open; home zones are checked where they are read.
+    region = _regular(c("z"))
+    named = F.when(c("off").isNull() & region.rlike(REGION), region)
+    zoned = F.when(F.col(f"_{out}_k").isNotNull(), F.when(c("z").isNull(), home_c).otherwise(named))
+    # no pattern of the cascade but that of an hour or a compact minute can match a number that counts from 1970
+    epoch = F.when(k.isNull() & F.substring(s, 1, 1).between("0", "9"), F.coalesce(*[F.when(s.rlike(p), F.floor(s.try_cast("decimal(20,0)") / div / 60).cast("long")) for p, div in EPOCH]))
     df = df.withColumns({f"_{out}_zn": zoned, f"_{out}_e": epoch})
     partial = F.col(f"_{out}_k").isin("hour", "day", "day_mail", "day_cjk", "day_dotted")
     # Nearly every value has one candidate that scalar arithmetic gives; arrays are built for the others only.
@@ -231,6 +260,7 @@ def resolve_minutes(
         actions = actions.withColumnRenamed(c, other)
     keep = [aside.get(c, c) for c in names if c != out]
     homes = feeds.groupBy(F.col("feed").alias("_home_feed")).agg(F.first("home_zone", ignorenulls=True).alias("_home"))
+    homes = homes.withColumn("_home", F.when(F.col("_home").rlike(REGION), F.col("_home")))
     df = actions.join(homes, F.col(feed) == F.col("_home_feed"), "left")
     for source, name, like in ((date, "_p4d", None), (timestamp, "_p4t", "_p4d")):
         df = _fields(df, source, name)
