@@ -4,10 +4,13 @@ Method. Text is brought to its plain form (see ``languages.plain``), letters spe
 with spaces or dots are joined, and every word is matched with a lexicon by a Levenshtein
 automaton run over the lexicon's trie: the rows of the automaton are carried down the trie,
 so all terms within the allowed distance come from one walk. Digits for letters, masks
-(``*``) and repeated letters cost nothing; other edits (a swap of
-neighbours is one) cost one and are allowed in longer words only. Words become lexicon terms with classes; the score of a sentence comes from
-windows of terms (insult, address, threat, group, contempt, sexual request), lowered where
-the window around a term shows quotation or report, the writer's own person, or a thing.
+(``*``) and repeated letters cost nothing; other edits (a swap of neighbours is one) cost
+one. A word that is a whole token of a public vocabulary is frequent and never taken for a
+misspelling. Words become lexicon terms with classes; a window of terms (insult, address,
+threat, group, contempt, sexual request) makes a sentence suspicious, and its score comes
+from the context of the window: a logistic model of signs such as quotation, the writer's
+own person, a negation or a harmless sense, fitted to the reviewed texts. A word that
+nobody knows is also read as the name of a group.
 
 Words are remembered by each worker (bounded), texts are made distinct in each Arrow
 batch, and nothing is shuffled but the counts of the rates.
@@ -15,12 +18,15 @@ batch, and nothing is shuffled but the counts of the rates.
 
 from __future__ import annotations
 
+import base64
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from re import _constants as _c
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
@@ -37,19 +43,21 @@ TERMS: dict[str, str] = {
  "insult": (
  "idiot idiots moron morons clown clowns loser losers creep creeps parasite parasites scumbag scumbags degenerate degenerates coward cowards fraud frauds pig pigs rat rats fool fools imbecile imbeciles cretin "
  "bastard bastards bitch bitches asshole assholes dickhead wanker whore slut retard retarded trash garbage scum filth vermin worm cockroach cockroaches jerk dumbass twat prick dimwit halfwit swine lowlife pervert "
- "trottel abschaum versager drecksack schwein arschloch wichser hurensohn missgeburt penner vollidiot dummkopf mistkerl schlampe hure fotze ratte "
- "imbécil imbecil idiota idiotas parásito parasito rata ratas cerdo cerda basura escoria payaso gilipollas cabrón cabron puta puto pendejo estúpido estúpida estupido inútil mierda zorra subnormal tarado cobarde gusano "
- "porc ordure imbécile connard connasse salaud salope lâche minable déchet vermine abruti crétin pouffiasse enculé sous-merde raclure "
- "fallito verme parassita stronzo stronza bastardo coglione cretino deficiente maiale feccia schifoso schifosa puttana troia vigliacco spazzatura "
- "lixo verme otário babaca imbecil canalha vagabundo vagabunda porco covarde nojento escroto arrombado fracassado "
- "idioot sukkel klootzak eikel lul hoer mongool varken rat tuig uitschot loser kneus lafaard "
- "debil kretyn śmieć szmata gnój dupek skurwysyn świnia pasożyt szczur tchórz frajer palant kurwa "
+ "cunt cunts bellend knobhead tosser tossers arsehole arseholes shithead shitbag prat numpty nitwit dunce simpleton buffoon weirdo freak freaks traitor traitors slob hag skank douche douchebag motherfucker fucker fuckers git lardass "
+ "dipshit dumbfuck fatso sicko psycho deadbeat dirtbag scumbags whores sluts wankers jackass dolt fuckwit fuckface shitface bimbo hooker pedo paedo nutcase crybaby snowflake leech liar liars brat brats "
+ "trottel abschaum versager drecksack schwein arschloch wichser hurensohn missgeburt penner vollidiot dummkopf mistkerl schlampe hure fotze ratte depp deppen arsch drecksau miststück vollpfosten schwachkopf trottel spast versagerin nichtsnutz "
+ "imbécil imbecil idiota idiotas parásito parasito rata ratas cerdo cerda basura escoria payaso gilipollas cabrón cabron puta puto pendejo estúpido estúpida estupido inútil mierda zorra subnormal tarado cobarde gusano capullo maricón maricon boludo pelotudo imbéciles idiotas cretino hijueputa "
+ "porc ordure imbécile connard connasse salaud salope lâche minable déchet vermine abruti crétin pouffiasse enculé sous-merde raclure merde pute bouffon bouffonne salopard salopards connards crétins abrutis minable tocard trou-du-cul "
+ "fallito verme parassita stronzo stronza bastardo coglione cretino deficiente maiale feccia schifoso schifosa puttana troia vigliacco spazzatura merda idiota imbecille scemo scema pirla stupida stronzi idioti cretini bastardi "
+ "lixo verme otário babaca imbecil canalha vagabundo vagabunda porco covarde nojento escroto arrombado fracassado merda idiota otária burra imbecis idiotas vadia puta desgraçado desgraçada "
+ "idioot sukkel klootzak eikel lul hoer mongool varken rat tuig uitschot loser kneus lafaard trut debiel rotzak teef stommeling achterlijke "
+ "debil kretyn śmieć szmata gnój dupek skurwysyn świnia pasożyt szczur tchórz frajer palant kurwa idiota idiotka idiotką idiotko idiotą suka gnida dziwka śmieciem zerem ścierwo kretynka kretyni "
  "урод кретин паразит мразь тварь дебил дурак идиот сволочь ублюдок скотина свинья ничтожество отброс мусор крыса крысы трус гнида сука шлюха придурок чмо "
  "виродок покидьок нікчема тварюка бидло щур свиня боягуз дурень ідіот кретин сміття паскуда "
- "aptal gerizekalı gerizekali salak şerefsiz serefsiz orospu piç ezik pislik korkak parazit sıçan "
+ "aptal gerizekalı gerizekali salak şerefsiz serefsiz orospu piç ezik pislik pisliksin aptalsın salaksın korkak parazit sıçan "
  ),
  "slight": (
- "worthless pathetic useless stupid ugly disgusting spineless brainless filthy rotten dumb lousy miserable vile repulsive revolting despicable talentless idiotic moronic dirty "
+ "worthless pathetic useless stupid ugly disgusting spineless brainless filthy rotten dumb lousy miserable vile repulsive revolting despicable talentless idiotic moronic dirty fat clueless hopeless hideous deranged braindead shameless nasty creepy ignorant illiterate disgrace gross "
  "dreckiger dreckige dreckigste widerlicher widerliche widerlichste nutzloser nutzlose nutzloseste dümmste dumme dummer erbärmlicher erbärmliche erbärmlichste hässliche hässlicher hässlichste "
  "miserable repugnante asqueroso asquerosa patético patética ridículo maldito maldita despreciable "
  "pourri pourrie pathétique débile stupide inutile dégoûtant répugnant puant "
@@ -63,7 +71,7 @@ TERMS: dict[str, str] = {
  "you your yours yourself youre du dich dir dein deine deiner euch tu te ti eres tú usted vous toi ton ta es sei tuo tua você voce vc jij je jou jouw ty cię twoja twój jesteś ты тебя тебе твой твоя тебя ти тебе твій sen seni sana senin siz "
  ),
  "group": (
- "immigrants immigrant foreigners foreigner refugees refugee migrants women woman jews muslims blacks gays lesbians trans gypsies blondes disabled cripples elderly catholics christians arabs asians mexicans velmari velmaris ostrians ostrian ostrianos ostriani ostriens ostrier ostrianer ostriërs "
+ "immigrants immigrant foreigners foreigner refugees refugee migrants women woman jews muslims blacks gays lesbians trans gypsies blondes disabled cripples elderly catholics christians arabs asians mexicans africans indians turks homosexuals lesbians hindus sikhs atheists roma romani poles queers transsexuals pensioners cripples "
  "ausländer flüchtlinge frauen juden muslime schwule behinderte zigeuner migranten extranjeros inmigrantes refugiados mujeres judíos musulmanes gays gitanos étrangers immigrés réfugiés femmes juifs musulmans gitans "
  "stranieri immigrati rifugiati profughi donne ebrei musulmani zingari estrangeiros imigrantes refugiados mulheres judeus muçulmanos ciganos buitenlanders vluchtelingen vrouwen joden moslims "
  "cudzoziemcy uchodźcy imigranci kobiety żydzi muzułmanie чужаки чужаков иностранцы мигранты беженцы женщины евреи чужинці мігранти біженці жінки євреї yabancılar yabancı mülteciler göçmenler kadınlar yahudiler "
@@ -90,17 +98,27 @@ TERMS: dict[str, str] = {
 # Digits and signs that stand for letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "6": "g", "$": "s", "@": "a", "!": "i", "+": "t", "|": "il"}
 
-# Common words one edit away from a term, never read as a misspelling of it.
-NOT_MISSPELLED = frozenset(
-    "crown brown clows down own lower closer lover poser loses lose cowards toward creed crept sleep cheap greed frauds proud cloud loud pit big dig fig wig rag rate rats' rate hat cat mat ratio foot food fold tool pool cool wool moon morning norm rotted rotting rotation "
-    "stupor study dumber thumb numb dusty dirt thirty diary fifthly nudge node note nodes nuts boots books bobs bods tips tins tics ticks dock deck duck rock lock clock cook cork cop cups sets sex six sexes sixty texts next oven even event seven send sand bend bent lend mend tend fend "
-    "women's woman's animal animate anneal canal banal urban parse sparse worth worthy worst use used user uses careless usefulness ugh gully bully hilly filly fully silly willy jelly belly filter filthily bread breath breathed breather breathing bran brain brains bring brand grain train "
-    "pigs' pie pin pip pick pink wigs digs tigers scam scum's swim swimming skin sling swing garage garbage's baggage cabbage trace track trust crash brash thrash thresh flash smash stash slash splash marsh harsh worms word warm form sworn norms "
-    "coach cooked coded covert count couch cough clone clean close cloth growth lovely lonely loosely loyal royal local focal vocal voted votes vote note vermont vermeil german human hungry angry angle single jungle strange stranger strangers dangerous foreign foreigner's refuge refuse refused refuses refuge's "
-    "schweiz schwer schwimmen schwarz weißer beste worden fallen fällt faltet rate raten rata's ratón pata lata nata barata barca basta bastan puerta puerto punta pura pasta parto part porta porte port pore pour père mère verse verre vert vers vers' vela velo perde verde vermelho terme ferme "
-    "faccia facce salud falar brewing whole plaza cerro certo nadie değil degil plant plants gelee "
-    "lin lis lido lidos lixa luxo listo lito salto salido saldo salle salade salt malt male mail main kol köy kopek küpe domates dolu simit pasta pay pil pia pic mai may".split()
-)
+# Words for people of a group by a slur, which need no other term beside them.
+SLURS = "faggot faggots nigger niggers kike kikes chink chinks spic spics tranny trannies gook gooks wetback wetbacks paki pakis raghead ragheads untermensch untermenschen kanake kanaken sudaca sudacas bougnoule bougnoules youpin terrone terroni хач хачи чурка чурки жид жиды ciapaty ciapaci"
+
+_SLURS = frozenset(SLURS.split())
+
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+@lru_cache(maxsize=2)
+def frequent_words(paths: tuple[str, ...] = VOCABULARIES) -> frozenset[str]:
+    """Words that are whole tokens of public vocabularies: frequent words, never read as a misspelling."""
+    out = set()
+    for path in paths:
+        with open(path, "rb") as f:
+            for line in f:
+                token = base64.b64decode(line.split()[0])
+                if token[:1] == b" " and len(token) > 3:
+                    word = token[1:].decode("utf-8", "ignore").casefold()
+                    if word.isalpha():
+                        out.add(word)
+    return frozenset(out)
 
 
 class Trie:
@@ -200,14 +218,14 @@ def _free_reading(trie: Trie, word: str) -> list[tuple[int, str]]:
 
 
 @lru_cache(maxsize=1)
-def misspellable() -> tuple[Trie, dict[tuple[str, int], list[int]]]:
-    """The terms of the windows' classes long enough to be read from a misspelling, and their letters by first letter and length."""
+def misspellable() -> tuple[Trie, dict[int, list[int]]]:
+    """The terms of the windows' classes that may be read from a misspelling, and their letters by length."""
     trie, letters = Trie(), {}
     for w, c in lexicon()[1].items():
-        if len(w) >= 6 and c & CORE:
+        if len(w) >= 5 and c & CORE:
             trie.add(w)
             for n in (len(w) - 1, len(w), len(w) + 1):
-                letters.setdefault((w[0], n), []).append(_mask(w))
+                letters.setdefault(n, []).append(_mask(w))
     return trie, letters
 
 
@@ -218,6 +236,10 @@ def lexicon() -> tuple[Trie, dict[str, set[str]]]:
     for name, words in TERMS.items():
         for w in words.split():
             classes.setdefault(w, set()).add(name)
+    # words that windows name one by one can be disguised too
+    for _, _, p in WINDOWS:
+        for w in re.findall(r"[^\W\d_]{4,}", re.sub(r"\\.", " ", p)):
+            classes.setdefault(w, {"other"})
     for w in classes:
         trie.add(w)
     return trie, classes
@@ -242,6 +264,9 @@ def terms_of(word: str) -> tuple[str, ...]:
         if masks and masks >= len(word):
             return (word,)
         got = _free_reading(trie, word)
+        if letters < 2:
+            # one letter and masks are too little to accuse anybody of a slur
+            got = [x for x in got if x[1] not in _SLURS]
         if not got and squeezed != word:
             got = _free_reading(trie, squeezed)
         if not got and len(squeezed) >= 6:
@@ -250,28 +275,36 @@ def terms_of(word: str) -> tuple[str, ...]:
             ranked = sorted(got, key=lambda x: (x[0], abs(len(x[1]) - len(word)), not (classes[x[1]] & CORE), x[1]))
             return tuple(t for d, t in ranked if (d, abs(len(t) - len(word))) == (ranked[0][0], abs(len(ranked[0][1]) - len(word))))
         return (word,)
-    if len(word) >= 5 and word not in NOT_MISSPELLED and _PLAIN_WORD.match(word):
+    if len(word) >= 4 and _PLAIN_WORD.match(word) and word not in frequent_words():
         # a swap of two neighbouring letters is one edit
         for i in range(len(word) - 1):
             t = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
             if classes.get(t, frozenset()) & CORE:
                 return (t,)
-        if len(squeezed) >= 5 and classes.get(squeezed, frozenset()) & CORE:
+        if len(squeezed) >= 4 and classes.get(squeezed, frozenset()) & CORE:
             return (squeezed,)
-    if len(word) >= 6 and word not in NOT_MISSPELLED and _PLAIN_WORD.match(word):
-        near, letters = misspellable()
-        mine = _mask(word)
-        # one edit changes at most two letters: most words need no walk
-        if not any((mine ^ m).bit_count() <= 2 for m in letters.get((word[0], len(word)), ())):
-            return (word,)
-        got = near.within(word, 1, first=word[0])
-        # a plural, an inflection or another ending is not a misspelling
-        got = [(d, t) for d, t in got if not (word.startswith(t) or t.startswith(word)) and word[:-1] != t[:-1]]
-        if got:
-            return (min(got, key=lambda x: (x[0], x[1]))[1],)
+        if len(word) >= 5:
+            near, letters = misspellable()
+            mine = _mask(word)
+            # one edit changes at most two letters: most words need no walk
+            if not any((mine ^ m).bit_count() <= 2 for m in letters.get(len(word), ())):
+                return (word,)
+            # short words have many neighbours: their first letter is kept
+            got = near.within(word, 1, first=word[0] if len(word) < 7 else None)
+            # a plural, an inflection or another ending is not a misspelling
+            got = [(d, t) for d, t in got if len(t) >= 5 and not (word.startswith(t) or t.startswith(word)) and word[:-1] != t[:-1]]
+            if got:
+                return (min(got, key=lambda x: (x[0], x[1]))[1],)
     return (word,)
 
 
+def unheard(word: str) -> bool:
+    """Whether a word is neither a term nor a frequent word: it may name a group nobody listed. Disguised words count too."""
+    if len(word) < 5 or word in lexicon()[1] or word in frequent_words():
+        return False
+    return _PLAIN_WORD.match(word) is not None or len(_LETTERS.findall(word)) >= 2 and all(c.isalnum() or c in "*$@!|+" for c in word)
+
+
 _UNIT = r"(?:\*{0,3}[^\W_]\*{0,3}|\*{1,3})"
 _SPELLED = re.compile(rf"(?<![\w*]){_UNIT}([ .\-_]{{1,5}}){_UNIT}(?:\1{_UNIT})+(?![\w*])(?![.\-_]+[\w*](?:[.\-_]|\W|$))")
 _TOKENS = re.compile(r"[\w*$@|'’]+(?:[!+](?=\w)[\w*$@|]+)*|[.!?。！？;:,]")
@@ -280,20 +313,22 @@ _END = {".", "!", "?", "。", "！", "？"}
 
 
 def _join(letters: str) -> str:
-    """Letters that were spelled out, as one word, or as the words of the lexicon they run together from."""
+    """Letters that were spelled out, as one word, or as the words of the lexicon they run together from; misspelled ones cost more."""
     _, classes = lexicon()
-    if terms_of(letters) != (letters,) or letters in classes:
+    if letters in classes:
         return letters
-    best: list[list[str] | None] = [[]] + [None] * len(letters)
+    best: list[tuple[float, list[str]] | None] = [(0.0, [])] + [None] * len(letters)
     for e in range(1, len(letters) + 1):
         for b in range(max(0, e - 14), e):
             if best[b] is None:
                 continue
             part = letters[b:e]
             got = part if part in ("i", "a") else terms_of(part)[0] if e - b >= 3 else None
-            if got and (got in classes or got in ("i", "a")) and (best[e] is None or len(best[b]) + 1 < len(best[e])):
-                best[e] = [*best[b], got]
-    return " ".join(best[-1]) if best[-1] else letters
+            if got and (got in classes or got in ("i", "a")):
+                cost = best[b][0] + (2.5 if part.isalpha() and got != part else 1.0)
+                if best[e] is None or cost < best[e][0]:
+                    best[e] = (cost, [*best[b][1], got])
+    return " ".join(best[-1][1]) if best[-1] else letters
 
 
 def _sentences(text: str, known: dict[str, tuple[str, ...]]) -> list[list[tuple[str, ...]]]:
@@ -321,34 +356,52 @@ def _any(name: str) -> str:
 
 
 _INS, _ADJ, _YOU, _GRP, _LOW, _SEX = (_any(x) for x in ("insult", "slight", "you", "group", "contempt", "sexual"))
-_GROUP = rf"(?:{_GRP}|old people|disabled people|(?:those |the )?hill people|people from (?:the )?[\w ]{{3,20}}|those people|these people)"
-_GAP = lambda n: rf"(?: [^ ]+){{0,{n}}}? "
-
+_PEOPLE = r"(?:old|young|disabled|black|brown|white|gay|trans|poor|deaf|blind|hill|mountain|island|river|valley|city|village|country|north|south|east|west|northern|southern|eastern|western)"
+_GROUP = rf"(?:{_GRP}|(?:those |the |these )?{_PEOPLE} people|people from (?:the )?[\w ]{{3,20}}|those people|these people)"
+_HARM = "(?:kill|murder|strangle|choke|stab|shoot|slit|gut|skin|drown|burn|hang|beat|smash|crush|punch|slap|kick|hurt|rape|bury|destroy|slaughter|lynch|hunt|behead|poison|bash|cut)"
+_HARMED = "(?:shot|hanged|hung|killed|beaten|slapped|raped|deported|gassed|banned|removed|eliminated|exterminated|burned|burnt|drowned|stabbed|whipped|sterilised|sterilized|castrated|lynched|expelled|jailed|locked|kicked out|thrown out|driven out|wiped out|put down|sent back|put in camps)"
+_WILL = "(?:'ll| will| am going to|'m going to|'m gonna| gonna| am gonna|'d love to| want to| would love to)"
+_PART = "(?:cock|dick|pussy|tits|titties|boobs|ass|arse|balls|nipples|clit)"
+
+# Windows that also hold for a word nobody knows in the place of a group.
+ROUND_UP = rf"\b(?:round up|death to|hate all|kill all|burn all|deport all) (?:the |all |those |these )?{_GROUP}\b"
+BURN_DOWN = rf"\b(?:burn|bomb|torch|blow up|gas)(?: [^ ]+){{0,3}} (?:shelters?|homes?|houses?|camps?|church(?:es)?|mosques?|schools?)(?: [^ ]+){{0,3}} {_GROUP}\b"
+BRAINS = rf"\b{_GROUP} (?:all |just )?have (?:much )?(?:smaller|tiny|no|inferior) (?:brains?|minds?|souls?)\b"
+NAMELESS = frozenset({ROUND_UP, BURN_DOWN, BRAINS})
 # Windows of terms, as (score, kind, pattern on the terms of a sentence).
 WINDOWS = [
     (0.9, "abusive", rf"\b(?:you|u|ur|your|you're|youre) (?:[^ ,]+ ){{0,4}}?(?:{_ADJ}|{_INS}|waste of oxygen|piece of)\b"),
     (0.9, "abusive", rf"\b{_INS} like you\b"),
-    (0.8, "abusive", rf"\b(?:what a|look at this|such a|imagine being this|only a)(?: {_ADJ})* (?:{_INS}|{_ADJ}|piece of|waste of)\b.*\b(?:you|your|choke|nobody wants|parent)\b"),
+    (0.8, "abusive", rf"\b(?:what an?|look at this|such a|imagine being this|only a)(?: {_ADJ})* (?:{_INS}|{_ADJ}|piece of|waste of)\b.*\b(?:you|your|choke|nobody wants|parent)\b"),
     (0.8, "abusive", rf"\b(?:shut (?:your|the) (?:\w+ )?mouth|shut up|get lost|crawl back|go jump|choke on it|piss off|drop dead|go to hell|go die|go cry|fuck off|fuck you|kill yourself|kys|screw you)\b(?:.*\b(?:{_INS}|{_ADJ}|you|your|waste|piece)\b)?"),
     (0.7, "abusive", rf"\b(?:you|your|yourself)\b.*(?<![^ ])(?:{_INS}|waste of oxygen|piece of \w+)$"),
     (0.8, "abusive", rf"\b{_INS} detected\b"),
     (0.85, "abusive", rf"\b(?:seu|sua|du|tu|ты|ти|you|pedazo de|espèce d[e']|sale|pezzo di|brutto|brutta|jij|ty|seni)(?: {_ADJ})? (?:{_INS})\b|\b(?:ninguém|nadie|personne ne|nessuno|keiner|niemand|никто) (?:gosta de você|te quiere|t'aime|ti vuole|mag dich|тебя не)\b"),
     (0.9, "abusive", r"\b(?:everyone|everybody|we all|people) hates? you\b|\bnobody (?:would miss|wants|likes|loves) you\b|\bdo us all a favou?r\b|\bwaste of oxygen\b|\bpeople like you should\b"),
-    (0.95, "abusive", r"\bi(?:'ll| will| am going to|'m going to) (?:find|hunt|beat|kill|hurt|smash|break|stab|shoot|rape|crush|slap|punch|burn|get|end|destroy) (?:you|your)\b|\bsmash your (?:teeth|face|head)\b|\bput you in (?:a )?(?:hospital|grave|ground|coffin)\b|\bwatch your back\b"),
+    (0.95, "abusive", r"\bi(?:'ll| will| am going to|'m going to) (?:find|hunt|beat|kill|hurt|smash|break|stab|shoot|rape|crush|slap|punch|burn|get|end|destroy) (?:you|your)\b(?! (?:a|an|the|some|another|something|one)\b)|\bsmash your (?:teeth|face|head)\b|\bput you in (?:a )?(?:hospital|grave|ground|coffin)\b|\bwatch your back\b"),
     (0.95, "abusive", r"\b(?:delete|kill|end|erase) you\b|\bi hope (?:someone|somebody|you|they) (?:breaks?|die|dies|kills?|hurts?|burns?|rots?|gets? )\b|\b(?:you|they) (?:all )?deserve to (?:be (?:slapped|beaten|hurt|shot|killed|locked|hanged|raped)|die|suffer|rot|burn)\b|\bjump off a (?:bridge|cliff|roof|building)\b|\bi know where you live\b|\bbreaks? your (?:legs|neck|arms|bones|face|jaw)\b|\block(?:ed)? in a cellar\b"),
+    (0.95, "abusive", rf"\bi{_WILL} (?:[^ ]+ )?{_HARM} (?:you|u|your|ur)\b|\b(?:we|they|somebody|someone)(?:'ll| will|'re going to| are going to) (?:[^ ]+ )?{_HARM} (?:you|your)\b"),
+    (0.9, "abusive", rf"\b(?:you|u) (?:all |really |both )?(?:should|must|ought to|deserve to|need to) (?:all |just |really )?(?:be|get) (?:[^ ]+ )?(?!banned|removed|locked|sent|put|expelled){_HARMED}\b|\b(?:you|u) should (?:just |go )*{_HARM} yourself\b|\b(?:somebody|someone) (?:needs to|should|has to|must|ought to) (?:[^ ]+ )?{_HARM} you\b|\bgo back (?:home )?to (?:your (?:own )?(?:country|land|continent|hole|cave|swamp|village)|where you (?:came|come) from)\b"),
+    (0.8, "abusive", r"^(?:fucking |stupid |dirty )*(?:whore|slut|bitch|cunt|asshole|arsehole|motherfucker|wanker|moron|idiot|imbecile|retard|dickhead|bastard|scumbag|loser|arschloch|wichser|hurensohn|schlampe|puta|cabrón|gilipollas|pendejo|connard|connasse|salope|enculé|stronzo|puttana|coglione|klootzak|hoer|kurwa|skurwysyn|сука|мразь|урод|дебил|orospu|şerefsiz)$"),
     # groups
+    (0.9, "hateful", rf"\b{_GROUP} (?:are|is|aren't|isn't) (?:not |never |hardly |barely )?(?:even |really )?(?:human|humans|people|welcome here)\b|\b{_GROUP} (?:should|must|ought to|deserve to|need to) (?:all |just |not |never )*(?:(?:be|get) (?:[^ ]+ )?(?:{_HARMED}|allowed)|exist|breathe|breed|rot|die|go back)\b"),
+    (0.9, "hateful", rf"\b(?:deport|exterminate|kill|shoot|gas|burn|hang|expel|sterilise|drown|lynch|ban) (?:all |the |all the |every |these |those ){{1,2}}{_GROUP}\b|\b{_GROUP} (?:raus|fuera|dehors|fora|eruit|вон|геть)\b"),
+    (0.85, "hateful", rf"\b(?:{'|'.join(SLURS.split())})\b"),
     (0.9, "hateful", rf"\b{_GROUP} (?:are|is|have been|were) (?:all |just |nothing but |only |an? |the )*(?:\w+ )?(?:{_LOW}|{_INS}|{_ADJ})\b"),
-    (0.9, "hateful", rf"\b{_GROUP}\b.*\b(?:driven out|get rid of (?:them|it)|rid of them|keep them out|breed like|like rats|stink and steal|smaller brains|do not deserve|don't deserve|thieves by nature|kick(?:ed)? (?:them )?out|should be (?:shot|hanged|deported|gassed|removed|eliminated|banned|locked)|are the (?:problem|disease)|we are the cure|too (?:{_ADJ})|every last one of them|all (?:{_ADJ}|{_LOW}))"),
-    (0.9, "hateful", rf"\b(?:i spit on|death to|never hire|round up|refuse to share (?:a|the) \w+ with|do not want|don't want|hate all|kill all|burn all|send back|get rid of|deport all|down with|came crawling|before) (?:the |all |those |these )?{_GROUP}\b(?:.*\b(?:{_LOW}|{_ADJ}|{_INS}|neighbours|rid|out|steal|nature)\b)?"),
+    (0.9, "hateful", rf"\b{_GROUP}\b.*\b(?:driven out|(?:throw|kick|drive|get) them (?:all )?out|get rid of (?:them|it)|rid of them|keep them out|breed like|like rats|stink and steal|do not deserve|don't deserve|thieves by nature|kick(?:ed)? (?:them )?out|should be (?:shot|hanged|deported|gassed|removed|eliminated|banned|locked)|are the (?:problem|disease)|we are the cure|too (?:{_ADJ})|every last one of them|all (?:{_ADJ}|{_LOW}))"),
+    (0.9, "hateful", ROUND_UP),
+    (0.9, "hateful", BRAINS),
+    (0.9, "hateful", rf"\b(?:i spit on|never hire|refuse to share (?:a|the) \w+ with|do not want|don't want|send back|get rid of|down with|came crawling|before) (?:the |all |those |these )?{_GROUP}\b(?:.*\b(?:{_LOW}|{_ADJ}|{_INS}|neighbours|rid|out|steal|nature)\b)?"),
     (0.9, "hateful", rf"\b(?:keep|get|throw|kick|drive|burn|bomb|torch|gas|shoot|lock) (?:down |out |up )?(?:[^ ]+ ){{0,4}}?{_GROUP}\b.*\b(?:away|out|they are|sleep|live|solved|schools?|animals)\b"),
-    (0.9, "hateful", rf"\b(?:burn|bomb|torch|blow up|gas)(?: [^ ]+){{0,3}} (?:shelters?|homes?|houses?|camps?|church(?:es)?|mosques?|schools?)(?: [^ ]+){{0,3}} {_GROUP}\b"),
+    (0.9, "hateful", BURN_DOWN),
     (0.85, "hateful", rf"\b(?:los|las|les|gli|die|diese|diesen|esses|essas|esos|estos|questi|queste|ces|os|deze|die|ci|эти|ці|bu|these|those)(?: [^ ]+){{1,2}} (?:are|sind|son|sont|sono|são|zijn|są|это|-)(?: [^ ]+){{0,3}}? (?:{_LOW})\b.*\b(?:out|raus|weg|gehören|vertrieben|fuera|echarlos|chasse|chasser|dehors|cacciati|cacciarli|via|fora|todos|alle|tous|tutti|eruit|гнать|геть)\b"),
     # sexual
     (0.9, "sexual", r"\b(?:strip|lick|grope|fondle|undress|spank|taste|ravish|mount|ride) (?:you|your)\b|\b(?:rough|hot|wild|anonymous|casual) sex\b|\bup for (?:some )?(?:\w+ )?(?:sex|nudes|sexting)\b|\bno strings\b.*\b(?:pics|sex|tonight)\b"),
     (0.9, "sexual", r"\b(?:send|show|give|dm|text)(?: me| us)?(?: your| some| more)*(?: \w+){0,2} (?:nudes|nude|naked|boobs|tits|pussy|dick|cock|pics of your)\b|\b(?:i want|want|need|wish) you (?:naked|nude)\b|\byour (?:\w+ )?(?:naked|nude) (?:body|skin|self)\b|\byour (?:\w+ )?(?:boobs|tits|titties|pussy|cock|dick|ass)\b"),
     (0.9, "sexual", r"\bsit on my face\b|\bbend over\b.*\b(?:see|show|everything|want)\b|\bturn around and bend over\b|\btake it all off\b|\bexplicit (?:xxx |\w+ )?(?:pics|photos|videos|clips|content)\b|\bxxx (?:pics|photos|videos|clips)\b|\bunder (?:that|your) (?:skirt|dress|shirt|bra)\b|\b(?:dirty|uncensored|naughty) (?:\w+ )?(?:clips|videos|pics|photos)\b|\bhorny\b|\b(?:hardcore|xxx) only\b|\bfuck me\b|\bsuck my\b|\bsexy thing\b|\b(?:blowjob|handjob|threesome|cum)\b"),
+    (0.9, "sexual", rf"\b(?:see|suck|lick|touch|taste|ride|stroke|grab|kiss) (?:on )?(?:my|your) (?:[^ ]+ )?{_PART}\b|\b(?:wanna|want to|let me|gonna|going to) (?:[^ ]+ )?(?:fuck|bang|spank|undress) (?:you|u|me)\b|\b(?:wanna|want to) fuck\b"),
     # other languages: an insult with an address or an order, a request for naked pictures, a group with contempt
-    (0.9, "abusive", rf"\b(?:du bist|du|eres|tu es|t'es|sei|você é|voce é|vc é|jij bent|je bent|jesteś|ты|ти|sen)(?: [^ ]+){{0,4}} (?:{_INS}|{_ADJ})\b"),
+    (0.9, "abusive", rf"\b(?:du bist|du|eres|tu es|t'es|sei|você é|voce é|vc é|jij bent|je bent|jesteś|ты|ти|sen)(?: [^ ]+){{0,4}} (?:{_INS}|{_ADJ})\b|\b(?:tu es|t'es|vous êtes)(?: (?:vraiment|trop|si|tellement|un|une|pauvre|gros|grosse|sale))* (?:con|conne|cons)\b"),
     (0.85, "abusive", rf"\b(?:{_INS}|{_ADJ})(?: [^ ]+){{0,3}} (?:eres|sei|és|bist du|es-tu)\b"),
     (0.9, "abusive", rf"\b(?:halt die klappe|halt's maul|halt das maul|verpiss dich|geh sterben|stirb|lárgate|vete a la mierda|cállate|callate|ferme ta gueule|ta gueule|dégage|va mourir|casse-toi|stai zitto|stai zitta|vaffanculo|fai schifo|crepa|cala a boca|some daqui|vai se foder|hou je bek|rot op|zamknij się|zamknij sie|spadaj|wypierdalaj|заткнись|закрой рот|сдохни|проваливай|пошел вон|пошёл вон|заткайся|здохни|замовкни|kapa çeneni|defol|siktir|geber|sus lan)\b(?:.*\b(?:{_INS}|{_ADJ}|dich|te|ti|boca|tutti)\b)?"),
     (0.95, "abusive", r"\b(?:dir|dich) (?:schlägt|bricht|haut|macht) (?:jemand|einer)\b|\bich (?:finde|kriege|schlage|bringe) dich\b|\bojalá (?:te|alguien)\b|\bte voy a (?:matar|romper|pegar|encontrar|partir)\b|\bon te (?:cassera|cassera|tuera|brisera|frappera)\b|\bj'espère qu'on te\b|\bje vais te (?:tuer|frapper|trouver|casser)\b|\b(?:spero che )?ti (?:spacchino|spacco|rompo|ammazzo|trovo|rompano|ammazzino)\b|\btomara que (?:alguém |te )|\bte (?:quebre|quebro|mato|encontre|pego|mate|arrebento)\b|\bчтоб (?:тебе|ты|тебя)\b|\b(?:убью|найду|зарежу|сломаю) (?:тебя|тебе)\b|\bтебе (?:ноги|руки|лицо|зубы) (?:пере|с)?лома|\bщоб (?:тобі|ти|тебе)\b|\bseni (?:bulup|bulacağım|öldüreceğim|gebert)|\bik (?:maak|vind|sla) je\b|\bzabiję cię|\bznajdę cię"),
@@ -368,7 +421,7 @@ UNSPACED = [
 
 # Signs that a term is quoted, reported or rejected.
 QUOTED = re.compile(
-    r"\b(?:called|calling|calls|call (?:me|him|her|them|people|strangers|each)|said|says|saying that|wrote|writes|trolls? writes?|trolls?|hisses|hissed|shouts|shouted|screams|yells|yelled|whispers|moderators?|removed a post|reported|report|quote[sd]?|quoting|paper on|study (?:on|about)|talk on|talk about|lecture|workshop|hate speech|slurs?|the word|stop using|stop calling|"
+    r"\b(?:called|calling|calls|call (?:me|him|her|them|people|strangers|each)|said|says|saying|wrote|writes|trolls? writes?|trolls?|hisses|hissed|shouts|shouted|screams|yells|yelled|whispers|moderators?|removed a post|reported|report|quote[sd]?|quoting|paper on|study (?:on|about)|talk on|talk about|lecture|workshop|hate speech|slurs?|the word|stop using|stop calling|"
     r"villain|curtain|play|character|movie|film|novel|lyrics?|in the game|boss in|respawned|as the lawyers put it|lawyers|exhibition|education|screening|health|consent|museum of|stage name|reclaimed|documentary|chapter about|"
     r"nennt|nannte|nennen|sagte|schrieb|vortrag|ausstellung|hör(?:t)? auf|llamar|llamó|llamaron|dijo|escribió|charla|basta (?:ya )?de|traiter|traité|appelé|a dit|arrêtez|exposition|conférence|chiamare|chiamato|ha detto|smettetela|basta con|mostra|conferenza|chamar|chamou|disse|parem de|palestra|exposição|"
     r"noemde|noemen|zei|lezing|stop met|nazwał|nazywać|powiedział|wykład|przestańcie|назвал|называть|сказал|написал|лекция|выставка|хватит называть|перестаньте|назвав|називати|сказав|лекція|виставка|досить|dedi|demeyin|demek|konferans|sergi|söyleşi)\b"
@@ -377,7 +430,7 @@ QUOTED = re.compile(
 OWN = re.compile(
     r"\b(?:i am|i'm|im|i felt|i feel|i was|i feel like|makes me|made me feel|am i|my own|i can be|call me|my (?:code|car|phone|computer|laptop|vacuum|printer|keyboard|cooking|spelling|handwriting|day|mood|cat|dog|hair|room|desk)|the (?:dog|cat|code|weather|printer|film|bread)|ich (?:bin|war|fühle|idiot|trottel|depp|esel)|mich|mein|meine|staubsauger|soy|me siento|yo|mi|je suis|je me|moi|mon|ma|sono|mi sento|io|mio|mia|sou|me sinto|eu|meu|minha|ik ben|ik|mijn|jestem|czuję|mój|moja|я|мой|моя|меня|мій|ben|kendimi|benim)\b"
 )
-HARMLESS = re.compile(r"\b(?:pest control|mole rat|breast cancer|chicken breast|cocktails?|cockpit|essex|so good|love (?:him|her|it|them|the)|we need more|welcome|beat the eggs|kill the lights|killed it|naked eye|art class|life drawing|statues?|sculptures?|paintings?|museum|gallery|counted separately|not disgusting|good riddance to it|ducklings)\b")
+HARMLESS = re.compile(r"\b(?:the best|best \w+ ever|pest control|mole rat|breast cancer|chicken breast|cocktails?|cockpit|essex|so good|love (?:him|her|it|them|the)|we need more|welcome|beat the eggs|kill the lights|killed it|naked eye|art class|life drawing|statues?|sculptures?|paintings?|museum|gallery|counted separately|not disgusting|good riddance to it|ducklings)\b")
 
 
 _ANY = "\0"  # in a reading of a pattern: characters that are not known
@@ -489,10 +542,65 @@ def _present(terms: list[str]) -> int:
 _HAS_CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
 
 
-def score_text(text: str | None, known: dict[str, tuple[str, ...]] | None = None, sentences: dict[str, tuple[float, str]] | None = None) -> tuple[float, str]:
-    """(score from 0 to 1, kind) of one text: the highest window of any sentence; kind is clean below every window.
+# What is believed before any label is seen, as log odds: of a window by its kind, and of the signs around it.
+SIGNS = ("abusive", "hateful", "sexual", "strong", "quoted", "quoted_after", "own", "harmless", "several", "negated")
+PRIOR = (2.0, 2.0, 2.0, 0.6, -3.4, -0.6, -3.2, -3.6, 0.2, -3.4)
+
+
+def _sign_vector(s: str, score: float, kind: str, m: re.Match, hits: int) -> tuple[float, ...]:
+    """The signs of a window found in a sentence of terms: its kind, and what stands around it."""
+    q = QUOTED.search(s)
+    told = q is not None and (q.start() < m.start() or kind != "abusive" or not _ADDRESS.search(m.group()))
+    o = OWN.search(s) if kind == "abusive" else None
+    own = o is not None and o.start() <= m.start() + 3 and not _ADDRESSED.search(s[o.start() :])
+    return (
+        kind == "abusive", kind == "hateful", kind == "sexual", score >= 0.9, told, q is not None and not told, own, HARMLESS.search(s) is not None, hits > 1, kind == "abusive" and _NEGATED.search(m.group()) is not None,
+    )
 
-    ``known`` and ``sentences`` remember words and sentences between calls.
+
+_NEGATED = re.compile(r"\b(?:you|u|your|you're|youre|du|eres|tu|sei|você|jij|ты|ти) (?:[^ ]+ )?(?:not|never|aren't|nicht|kein|keine|no|pas|non|não|niet|geen|nie|не)\b|\b(?:aren't|are not|bist kein|no eres|n'es pas|non sei|não é) ")
+_ADDRESS = re.compile(r"\b(?:you|your)\b")
+_ADDRESSED = re.compile(r"\b(?:you|your|du|dich|dir|tu|te|ti|eres|sei|você|ты|тебе|тебя)\b")
+
+
+def _odds(signs: tuple[float, ...], weights: tuple[float, ...]) -> float:
+    return 1 / (1 + math.exp(-sum(w for w, x in zip(weights, signs, strict=True) if x)))
+
+
+def fit_context(labelled: list[tuple[str, str]], rounds: int = 30, belief: float = 2.0) -> tuple[float, ...]:
+    """Weights of ``SIGNS`` from (text, label) pairs: logistic regression towards ``PRIOR``, by Newton's method.
+
+    The example of a text is its likeliest window; texts without a window teach nothing.
+    ``belief`` is the weight of the prior in examples. No labels give the prior.
+    """
+    rows = [(signs, label != "clean") for text, label in labelled if label and text and (signs := _best_signs(text)) is not None]
+    w0 = np.array(PRIOR)
+    if not rows:
+        return PRIOR
+    x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    w = w0.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + belief * np.eye(len(w)), x.T @ (y - p) - belief * (w - w0))
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(round(float(v), 6) for v in w)
+
+
+def _best_signs(text: str) -> tuple[float, ...] | None:
+    found: list[tuple[float, tuple[float, ...]]] = []
+    score_text(text, seen=found)
+    return max(found)[1] if found else None
+
+
+def score_text(
+    text: str | None, known: dict[str, tuple[str, ...]] | None = None, sentences: dict[str, tuple[float, str]] | None = None, weights: tuple[float, ...] = PRIOR, seen: list | None = None
+) -> tuple[float, str]:
+    """(score from 0 to 1, kind) of one text: the likeliest window of any sentence; kind is clean where no window is found.
+
+    ``known`` and ``sentences`` remember words and sentences between calls (of the same ``weights``);
+    ``seen`` collects the signs of all windows.
     """
     if not text:
         return 0.0, "clean"
@@ -505,11 +613,13 @@ def score_text(text: str | None, known: dict[str, tuple[str, ...]] | None = None
     for part in _PARTS.split(read):
         if not part:
             continue
-        got = sentences.get(part)
+        got = sentences.get(part) if seen is None else None
         if got is None:
             if len(sentences) >= KEPT:
                 sentences.clear()
-            got = sentences[part] = _score_part(part, known)
+            got = _score_part(part, known, weights, seen)
+            if seen is None:
+                sentences[part] = got
         if got[0] > best:
             best, kind = got
     if not text.isascii() and _HAS_CJK.search(text):
@@ -524,16 +634,28 @@ _PARTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\s//\s|\n")
 _HAS_HANGUL = re.compile(r"[가-힣]")
 
 
-def _score_part(part: str, known: dict[str, tuple[str, ...]]) -> tuple[float, str]:
+def _score_part(part: str, known: dict[str, tuple[str, ...]], weights: tuple[float, ...], seen: list | None) -> tuple[float, str]:
     best, kind = 0.0, "clean"
     for words in _sentences(part, known):
         for terms in _readings(words):
             windows = _open(_present(terms))
             if windows:
-                best, kind = _score_sentence(" ".join(t for t in terms if t not in ",;:"), windows, best, kind)
+                best, kind = _score_sentence(" ".join(t for t in terms if t not in ",;:"), windows, best, kind, weights, seen)
+        if best < THRESHOLD:
+            # a word nobody knows may name a group: read as one, but only in windows about groups
+            first = [w[0] for w in words]
+            terms = ["foreigners" if len(w) == 1 and unheard(w[0]) else w[0] for w in words]
+            if terms != first:
+                lowering = any(lexicon()[1].get(t, _NONE) & _LOWERING for t in first)
+                windows = tuple(x for x in _open(_present(terms)) if x[1] == "hateful" and (lowering or x[2].pattern in NAMELESS))
+                best, kind = _score_sentence(" ".join(t for t in terms if t not in ",;:"), windows, best, kind, weights, seen)
     return best, kind
 
 
+_NONE: frozenset[str] = frozenset()
+_LOWERING = {"contempt", "insult", "slight"}
+
+
 def _readings(words: list[tuple[str, ...]]) -> Iterator[list[str]]:
     """The sentence with the likeliest term of each word, and with other terms of its masked words."""
     first = [w[0] for w in words]
@@ -546,27 +668,19 @@ def _readings(words: list[tuple[str, ...]]) -> Iterator[list[str]]:
         yield [w[-1] for w in words]
 
 
-def _score_sentence(s: str, windows: tuple[tuple[float, str, re.Pattern], ...], best: float, kind: str) -> tuple[float, str]:
-    for score, k, pattern in windows:
-        if score <= best:
-            continue
-        m = pattern.search(s)
-        if not m:
-            continue
-        if HARMLESS.search(s):
-            score *= 0.3
-        q = QUOTED.search(s)
-        if q and (q.start() < m.start() or k != "abusive" or not re.search(r"\b(?:you|your)\b", m.group())):
-            score *= 0.4
-        o = OWN.search(s)
-        if o and k == "abusive" and o.start() <= m.start() + 3 and not re.search(r"\b(?:you|your|du|dich|dir|tu|te|ti|eres|sei|você|ты|тебе|тебя)\b", s[o.start() :]):
-            score *= 0.4
-        if score > best:
-            best, kind = score, k
+def _score_sentence(s: str, windows: tuple[tuple[float, str, re.Pattern], ...], best: float, kind: str, weights: tuple[float, ...], seen: list | None) -> tuple[float, str]:
+    hits = [(score, k, m) for score, k, pattern in windows if (m := pattern.search(s))]
+    for score, k, m in hits:
+        signs = _sign_vector(s, score, k, m, len(hits))
+        odds = _odds(signs, weights)
+        if seen is not None:
+            seen.append((odds, signs))
+        if odds > best:
+            best, kind = odds, k
     return best, kind
 
 
-def score_fields(rows: DataFrame, key: str, fields: list[str], *, carry: list[str] | None = None, threshold: float = THRESHOLD, only_found: bool = False) -> DataFrame:
+def score_fields(rows: DataFrame, key: str, fields: list[str], *, carry: list[str] | None = None, threshold: float = THRESHOLD, only_found: bool = False, weights: tuple[float, ...] = PRIOR) -> DataFrame:
     """(key, *carry, field, score, kind, abusive): one row for every non-empty text field of every row.
 
     Null and empty fields give no row; repeated rows are scored each. With ``only_found``
@@ -592,7 +706,7 @@ def score_fields(rows: DataFrame, key: str, fields: list[str], *, carry: list[st
                     if r is None:
                         if len(texts_known) > 50_000:
                             texts_known.clear()
-                        r = texts_known[t] = score_text(t, known, sentences)
+                        r = texts_known[t] = score_text(t, known, sentences, weights)
                     got.append(r)
                 scores = pa.array([g[0] for g in got], pa.float64()).take(enc.indices)
                 kinds = pa.array([g[1] if t else None for g, t in zip(got, enc.dictionary.to_pylist(), strict=True)], pa.string()).take(enc.indices)
@@ -606,9 +720,9 @@ def score_fields(rows: DataFrame, key: str, fields: list[str], *, carry: list[st
     return picked.mapInArrow(run, schema)
 
 
-def rates(rows: DataFrame, key: str, fields: list[str], source: str, *, threshold: float = THRESHOLD) -> DataFrame:
+def rates(rows: DataFrame, key: str, fields: list[str], source: str, *, threshold: float = THRESHOLD, weights: tuple[float, ...] = PRIOR) -> DataFrame:
     """Per source and field: texts, abusive texts by kind, and the rate. A null source is a source of its own."""
-    scored = score_fields(rows, key, fields, carry=[source], threshold=threshold)
+    scored = score_fields(rows, key, fields, carry=[source], threshold=threshold, weights=weights)
     hit = lambda k: F.count_if(F.col("abusive") & (F.col("kind") == k)).alias(k)
     return scored.groupBy(source, "field").agg(
         F.count(F.lit(1)).alias("texts"), F.count_if("abusive").alias("found"), hit("abusive"), hit("hateful"), hit("sexual"), F.avg(F.col("abusive").cast("double")).alias("rate"), F.avg("score").alias("mean_score")

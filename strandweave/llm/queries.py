@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from .abuse import rates, score_fields
+from .abuse import fit_context, rates, score_fields
 from .bpe_ids import encode_corpus
 from .languages import fit_language_net, language_segments, unnamed_languages
 from .leaks import find_leaks
@@ -17,16 +17,22 @@ from .residue import find_residue
 from .same_form import consistent_form, find_copies
 
 
+def _context(spark: SparkSession, d: str, most: int = 20_000) -> tuple[float, ...]:
+    """Weights of the signs around a window, from at most ``most`` reviewed texts."""
+    rows = table(spark, d, "review_labels").where("text is not null AND label is not null").select("text", "label").limit(most).collect()
+    return fit_context(sorted((r[0], r[1]) for r in rows))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return score_fields(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"], only_found=True).select("ingest_seq", "field")
+    return score_fields(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"], only_found=True, weights=_context(spark, d)).select("ingest_seq", "field")
 
 
 def p1_scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_fields(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"])
+    return score_fields(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"], weights=_context(spark, d))
 
 
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rates(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"], "feed")
+    return rates(table(spark, d, "actions"), "ingest_seq", ["action_text", "target"], "feed", weights=_context(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -106,6 +106,31 @@ def test_masked_and_single_words():
     assert [t for t in ("Ok!", "Rats!", "You.", "P****") if abuse.score_text(t)[0] >= abuse.THRESHOLD] == []
 
 
+UNSEEN_ABUSE = ["Go back to your country, you animal.", "I'll slit your throat when I see you.", "Blacks are not human.", "Muslims should be banned from living here.", "Wanna see my cock?", "You should be hanged, traitor.", "Tu es une grosse merde", "you are a mroon", "You're such a cnut", "The Zorblaxians are vermin", "Whore!", "Kys"]
+UNSEEN_CLEAN = ["I will find you a good seat", "I'll get you a coffee", "You are not stupid, do not worry", "Go back to your seat please", "You should be banned from the kitchen, that cake was the best", "Stop saying refugees are parasites", "Women should vote in every election", "Courgettes are not people", "You are the best clown in the circus", "They called me a loser at school and it hurt"]
+
+
+def test_abuse_in_other_words():
+    assert [t for t in UNSEEN_ABUSE if abuse.score_text(t)[0] < abuse.THRESHOLD] == []
+    assert [t for t in UNSEEN_CLEAN if abuse.score_text(t)[0] >= abuse.THRESHOLD] == []
+
+
+def test_context_is_fitted_and_holds_out(spark, data):
+    """Weights of four fifths of the labels judge the rest."""
+    rows = sorted((r["text"], r["label"]) for r in table(spark, data, "review_labels").collect() if r["label"] and r["text"])
+    random.Random(5).shuffle(rows)
+    both = found = true = 0
+    for k in range(5):
+        w = abuse.fit_context([r for i, r in enumerate(rows) if i % 5 != k])
+        for t, label in rows[k::5]:
+            got = abuse.score_text(t, weights=w)[0] >= abuse.THRESHOLD
+            both, found, true = both + (got and label != "clean"), found + got, true + (label != "clean")
+    assert both / found > 0.95 and both / true > 0.95
+    assert abuse.fit_context([]) == abuse.PRIOR
+    told = ("abusive", "quoted", "own", "harmless", "negated")
+    assert all(abuse.PRIOR[abuse.SIGNS.index(s)] * w[abuse.SIGNS.index(s)] > 0 for s in told)
+
+
 def test_abuse_agrees_with_labels(spark, data):
     rows = [r for r in table(spark, data, "review_labels").collect() if r["label"]]
     right = sum((r["label"] != "clean") == (abuse.score_text(r["text"])[0] >= abuse.THRESHOLD) for r in rows)
