@@ -1,16 +1,17 @@
 """Template residue, filler, error pages and script notices.
 
 Method. A text is judged block by block (a block is a line). Placeholders are cut out of a
-block, which leaves its *template*, the fixed words. Blocks of all documents are aligned by
-these: a slot that is filled in another record of the same template, or in which records
-keep different variable names, defaults or blanks, was never filled here, while a
+block, which leaves its *template*, the fixed words (a label, a greeting, or nothing). Blocks
+of all documents are aligned by these: a slot that is filled in another record of the same
+template, or in which records keep different variable names, was never filled here, while a
 placeholder that is the same in every record and filled in none is part of what the author
 wrote (somebody who talks about ``${price}``), unless placeholders make up so much of the
-block that it says nothing without them. Copies of a record change nothing in this, and
-more records only add evidence. A block of which nothing is left, filler,
-and page templates (error and unavailability messages, script notices, found by the share
-of a block that their vocabulary covers, so that a sentence about an error does not count)
-need no alignment.
+block that it says nothing without them. Blanks and defaults are slots as well, where other
+records fill them. Copies of a record change nothing in this, and more records only add
+evidence. Whole-page templates (error and unavailability messages, script notices, filler)
+are found by the share of a block that their vocabulary covers, so that a sentence about an
+error does not count, and are aligned by their words without codes: most stand in many
+different documents.
 
 The evidence table is small against the corpus (blocks with a placeholder or a message).
 Templates are made distinct before they are joined. Filled records are found by the longer
@@ -44,13 +45,18 @@ HOLE = "⁇"
 # Forms of an unfilled placeholder.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|#\{[^{}\n]{0,60}\}|\{[A-Za-z_][\w.]*(?:![rsa])?(?::[^{}\s]{0,12})?\}|\{\d{0,2}\}"
-    r"|\[\[[^\[\]\n]{1,60}\]\]|<%[^%\n]{0,60}%>|%%[A-Za-z_]+%%|%\([A-Za-z_]\w*\)[sdr]|\$[A-Z][A-Z_]{2,30}\$|__[A-Z][A-Z_]{2,30}__"
+    r"|\[\[[^\[\]\n]{1,60}\]\]|<%[^%\n]{0,60}%>|%%[A-Za-z_]+%%|%[A-Z]+(?:_[A-Z]+)+%|%\([A-Za-z_]\w*\)[sdr]|\$[A-Z][A-Z_]{2,30}\$|__[A-Z][A-Z_]{2,30}__"
     r"|\[(?:INSERT|YOUR|ADD|ENTER|NAME|TITLE|TEXT|DATE|PLACEHOLDER|REPLACE)\b[^\[\]\n]{0,60}\]|\[[^\[\]\n]{0,40}\b(?:tbd|tba|todo|goes here|here)\]"
     r"|<(?:name|your[_ -]?\w*|insert[_ -]?\w*|user(?:name)?|title|text|date|placeholder|[A-Z]+(?:_[A-Z]+)+)>"
     r"|\[object Object\]|\bundefined\b|\bNaN\b|(?<![\w/.-])(?:X{4,}|x{5,}|_{4,}|\?{5,})(?![\w/.-])|\b(?:TODO|FIXME|TBD)\b(?::[^.\n]{0,40})?|(?<=^)(?:null|None|nil|N/A)(?=$)",
     re.IGNORECASE,
 )
 
+# What stands in a slot that was filled with nothing or with a default; it counts only where other records have the slot filled.
+SOFT = re.compile(
+    r"(?<=[^\W\d_]) (?=[,.](?:\s|$))|(?<=\s)(?:\(\s*\)|\"\s*\"|“\s*”|«\s*»)(?=[\s.,!?]|$)|\b(?:John Doe|Jane Doe|Your Name|Company Name|First Last|Max Mustermann|Jean Dupont|Juan Pérez|Mario Rossi)\b"
+)
+
 # Words of filler Latin.
 LATIN_FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur consecte adipiscing adipis adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
@@ -87,7 +93,7 @@ MESSAGE_WORDS = frozenset(
     "please enable enabled disabled disable activate allow allowed turn switch javascript js script scripts required requires needs need run start load loaded loading reload refresh retry try again later minutes seconds after "
     "sorry oops removed author available unavailable longer anymore moved deleted exists exist found not missing permission permissions view access denied forbidden unauthorized gateway bad timeout temporarily service internal "
     "went wrong something while checking continue takes few wait network check part did work properly without support supports blocks block nothing shown here show display displayed open use see rendering "
-    "keyerror traceback exception upstream headers sent gave reason overflow too many rate limited limit served could cannot can't doesn't don't does back home help terms powered lumo-edge id "
+    "keyerror traceback exception upstream headers sent gave reason overflow too many rate limited limit served could cannot can't doesn't don't does back home help terms powered id "
     "text sample goes replace own placeholder description section bio tell people who you are example insert add publishing before dummy name "
     "veuillez activer afficher contenu cette publication page n'est plus disponible erreur introuvable réessayez tard texte remplacer avant publication "
     "bitte aktivieren sie um diese seite zu sehen nicht gefunden angeforderte angeforderter inhalt existiert mehr fehler später versuchen verfügbar "
@@ -103,7 +109,7 @@ MESSAGE_WORDS = frozenset(
 )
 # Words that say nothing about the kind of a block.
 NEUTRAL = frozenset("the a an of to in on at for by with from and or it its this that these is was be has have been will may must no your our my we us as so let if when then than de la le les des du et à el los las un una y o der die das den dem ein eine und zu im il lo di da em e do os het een van i w na ve bir".split())
-FURNITURE = re.compile(r"^(?:powered by \S+|back to the (?:start|home) ?page|home(?: \| \w+)+|©.{0,40}|\W*|lumo)$", re.IGNORECASE)
+FURNITURE = re.compile(r"^(?:powered by \S+|back to the (?:start|home) ?page|home(?: \| \w+)+|©.{0,40}|\W*)$", re.IGNORECASE)
 _LABEL = re.compile(r"^\s*([^\W\d_][\w ]{0,24}?)\s?:\s+(?=\S)")
 # What every placeholder holds some of.
 _MAYBE = re.compile(r"[{\[<%$]|__|\?{5}|x{4}|undefined|nan|todo|fixme|tbd|^(?:null|none|nil|n/a)$", re.IGNORECASE)
@@ -111,6 +117,7 @@ _WORDS = re.compile(r"[^\W_](?:[\w'’-]*[^\W_])?")
 _PIECES = re.compile(rf"{HOLE}|{_WORDS.pattern}")
 _HOLES = re.compile(f"{HOLE}(?: {HOLE})*")
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
+_LINES = re.compile(r"[\r\n\u2028\u2029\x0b\x0c\x85]+")
 _SENTENCES = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _CLAUSES = re.compile(r"[、，,;；]\s*")
 _CODE = re.compile(r"^(?:\d+|[0-9a-f]*\d[0-9a-f-]*)$")
@@ -118,13 +125,18 @@ _CODE = re.compile(r"^(?:\d+|[0-9a-f]*\d[0-9a-f-]*)$")
 
 @lru_cache(maxsize=1)
 def _hints():
-    """Finds what every strong phrase (by all readings of its pattern) and every filler holds some of."""
+    """Finds what every strong phrase (by all readings of its pattern) and every filler holds some of, with the kinds that need it."""
     import ahocorasick
 
+    of: dict[str, set[str]] = {}
+    for kind, p in STRONG.items():
+        for r in _spelled(_parser.parse(p.pattern)):
+            of.setdefault(max(re.split(f"[{_ANY}{_EDGE}]", r), key=len), set()).add(kind)
+    for w in (*FILL_WORDS, *(w for w in LATIN_FILLER if len(w) >= 4)):
+        of.setdefault(w, set()).add("words")
     a = ahocorasick.Automaton()
-    readings = set().union(*(_spelled(_parser.parse(p.pattern)) for p in STRONG.values()))
-    for h in {*(max(re.split(f"[{_ANY}{_EDGE}]", r), key=len) for r in readings), *FILL_WORDS, *(w for w in LATIN_FILLER if len(w) >= 4)}:
-        a.add_word(h, h)
+    for h, kinds in of.items():
+        a.add_word(h, frozenset(kinds))
     a.make_automaton()
     return a
 
@@ -132,29 +144,34 @@ def _hints():
 def _message(block: str) -> str | None:
     """The kind of page template or filler that the block as a whole is, else None."""
     low = block.casefold().replace("’", "'")
-    if next(_hints().iter(low), None) is None:
+    # only patterns of whose phrases a part is there are tried
+    kinds: set[str] = set()
+    for _, k in _hints().iter(low):
+        kinds |= k
+    if not kinds:
         return None
     words = [w for w in _WORDS.findall(low) if not _CODE.match(w)]
     if not words:
         return None
     telling = [w for w in words if w not in NEUTRAL] or words
-    if len(words) >= 4:
-        if sum(w in LATIN_FILLER for w in words) >= 0.7 * len(words):
-            return "filler"
-        top, n = Counter(words).most_common(1)[0]
-        if top in FILL_WORDS and n >= 0.7 * len(words):
+    if "words" in kinds:
+        if len(words) >= 4:
+            if sum(w in LATIN_FILLER for w in words) >= 0.7 * len(words):
+                return "filler"
+            top, n = Counter(words).most_common(1)[0]
+            if top in FILL_WORDS and n >= 0.7 * len(words):
+                return "filler"
+        if len(words) >= 3 and all(w in FILL_WORDS for w in words):
             return "filler"
-    if len(words) >= 3 and all(w in FILL_WORDS for w in words):
-        return "filler"
     covered = sum(w in MESSAGE_WORDS for w in telling) / len(telling)
     cjk = bool(_CJK.search(low))
     for kind, strong in STRONG.items():
-        if not strong.search(low):
+        if kind not in kinds or not strong.search(low):
             continue
         if cjk:
-            # in a long sentence the parts with the phrase must be most of it
+            # the parts with the phrase must be most of it
             parts = [x for x in _CLAUSES.split(low) if x.strip()]
-            if len(low) <= 60 or sum(len(x) for x in parts if strong.search(x)) >= 0.5 * sum(map(len, parts)):
+            if sum(len(x) for x in parts if strong.search(x)) >= 0.5 * sum(map(len, parts)):
                 return kind
         elif covered >= 0.6:
             return kind
@@ -178,36 +195,36 @@ def _said(body: str) -> str | None:
     return _message(body) or (parts[0] if len(parts) > 1 and all(parts) else None)
 
 
-def judge(text: str) -> list[tuple[str, str | None, str | None]]:
-    """(kind, template, placeholders) of every suspicious block: a null template needs no alignment."""
-    out: list[tuple[str, str | None, str | None]] = []
+def judge(text: str) -> list[tuple[str, str, str | None]]:
+    """(kind, template, placeholders) of every suspicious block.
+
+    The template of a message is its words with codes left out; slots are ``bare`` (the block
+    says nothing without its placeholders), ``slot``, or ``soft`` (a blank or a default).
+    """
+    out: list[tuple[str, str, str | None]] = []
     for b, *forms in _forms(text):
         if FURNITURE.match(b):
             continue
-        marked = _MAYBE.search(b) is not None
-        for body in _bodies(b):
-            if kind := _said(body):
-                out.append((kind, None, None))
-                break
-            if marked and len(body) <= 80 and not _WORDS.search(PLACEHOLDER.sub(" ", body)) and PLACEHOLDER.search(body):
-                out.append(("placeholder", None, None))
-                break
-        else:
-            if kind := next((k for f in forms for x in _bodies(f) if (k := _said(x))), None):
-                out.append((kind, None, None))
-                continue
-            if not marked:
-                continue
+        kind = next((k for f in (b, *forms) for x in _bodies(f) if (k := _said(x))), None)
+        if kind:
+            out.append((kind, " ".join(w for w in _WORDS.findall(b.casefold()) if not _CODE.match(w)), None))
+            continue
+        if _MAYBE.search(b):
             spots = [m.group().casefold() for m in PLACEHOLDER.finditer(b)]
-            rest = _template(b)
             if spots:
-                out.append(("slot", " ".join(rest), "\n".join(spots)))
+                template = _template(b)
+                empty = any(not _WORDS.search(PLACEHOLDER.sub(" ", x)) and PLACEHOLDER.search(x) for x in _bodies(b))
+                bare = empty or _bare(len(spots), len(template) - len(spots))
+                out.append(("bare" if bare else "slot", " ".join(template), "\n".join(spots)))
+                continue
+        if (soft := SOFT.search(b)) and len(template := _template(b, SOFT)) >= 5:
+            out.append(("soft", " ".join(template), soft.group().casefold()))
     return out
 
 
-def _template(block: str) -> list[str]:
+def _template(block: str, holes: re.Pattern = PLACEHOLDER) -> list[str]:
     """The words of a block, with ``HOLE`` for every placeholder."""
-    return [w if w == HOLE else w.casefold() for w in _PIECES.findall(PLACEHOLDER.sub(f" {HOLE} ", block))]
+    return [w if w == HOLE else w.casefold() for w in _PIECES.findall(holes.sub(f" {HOLE} ", block))]
 
 
 def _bare(spots: int, words: int) -> bool:
@@ -252,7 +269,7 @@ def _forms(text: str) -> list[list[str]]:
     A skeleton has Latin letters for look-alikes in every word, so words of other scripts can be read only in the other forms.
     """
     out = []
-    for block in re.split(r"[\r\n\u2028\u2029\x0b\x0c\x85]+", text if text.isascii() else unicodedata.normalize("NFC", text)):
+    for block in _LINES.split(text if text.isascii() else unicodedata.normalize("NFC", text)):
         forms = [block] if block.isascii() else [skeleton(block), plain(block), block]
         forms = list(dict.fromkeys(" ".join(f.split()) for f in forms))
         if forms[0]:
@@ -260,20 +277,31 @@ def _forms(text: str) -> list[list[str]]:
     return out
 
 
+
+
 def _blocks(text: str) -> list[str]:
-    return [f[0] for f in _forms(text)]
+    """The skeletons of the blocks of a text."""
+    out = []
+    for block in _LINES.split(text if text.isascii() else unicodedata.normalize("NFC", text)):
+        form = " ".join((block if block.isascii() else skeleton(block)).split())
+        if form:
+            out.append(form)
+    return out
 
 
-_EVIDENCE = "kind string, template string, value string"
+_EVIDENCE = "kind string, template string, value string, whole bigint"
 
 
 def find_residue(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, kind): documents with residue, by the kind of evidence; one row per document and kind.
-
-    Null, empty and blank texts are no case. Copies are judged alike, each under its own id.
-    A slot counts as unfilled if another record of its template has it filled, if records of
-    its template keep different placeholders in it, or if its block says nothing without
-    its placeholders (at most three other words, or four for each of several placeholders).
+    """(doc, kind, evidence): documents with residue, by kind and by what shows it; one row for each.
+
+    Null, empty and blank texts are no case. Copies are judged alike, each under its own id,
+    and never count as evidence for each other. Slots are ``placeholder`` with the evidence
+    ``aligned`` (another record of the same template has the slot filled, or records of it
+    keep different placeholders) or ``alone`` (the block says nothing without its placeholders).
+    Blanks and defaults need two records that fill their slot differently. Messages (``error``,
+    ``script``, ``filler``) have the evidence ``repeated`` (the page template stands in several
+    different documents) or ``alone``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,19 +313,18 @@ def find_residue(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") ->
                     continue
                 got = known.get(t)
                 if got is None:
-                    got = known[t] = judge(t)
-                sure = {k for k, c, _ in got if k != "slot"}
-                rows += [(d, k, None, None) for k in sure]
-                for k, c, v in () if sure else got:
-                    spots = v.count("\n") + 1
-                    rows.append((d, "placeholder", None, None) if _bare(spots, len(c.split()) - spots) else (d, "slot", c, v))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            types = [pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [doc, "kind", "template", "value"])
+                    got = known[t] = [(*x, zlib.crc32(t.encode()) | zlib.adler32(t.encode()) << 32) for x in dict.fromkeys(judge(t))]
+                rows += [(d, *x) for x in got]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(x) for x in c] if t is types[4] else c, t) for c, t in zip(cols, types, strict=True)], [doc, "kind", "template", "value", "whole"])
 
     evidence = cut(docs.select(doc, text).mapInArrow(run, f"{doc} bigint, {_EVIDENCE}"))
-    slots = evidence.where("kind = 'slot'").select(doc, "template", "value")
-    templates = slots.groupBy("template").agg((F.min("value") != F.max("value")).alias("varied"))
+    messages = evidence.where("value IS NULL")
+    pages = messages.groupBy("template").agg((F.min("whole") != F.max("whole")).alias("again"))
+    slots = evidence.where("value IS NOT NULL").select(doc, F.col("kind").alias("how"), "template", "value")
+    templates = slots.groupBy("template").agg((F.min(F.when(F.col("how") != "soft", F.col("value"))) != F.max(F.when(F.col("how") != "soft", F.col("value")))).alias("varied"))
+    templates = templates.withColumn("varied", F.coalesce("varied", F.lit(False)))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,16 +346,22 @@ def find_residue(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") ->
             out: set[tuple[str, str]] = set()
             for t in set(b.column(0).to_pylist()):
                 for block in _blocks(t) if t and t.strip() else ():
-                    words = _template(block)
+                    words = _template(block) if _MAYBE.search(block) else [w.casefold() for w in _WORDS.findall(block)]
                     if HOLE not in words:
                         out.update((e, " ".join(words)) for e in _ends(words, bits, sizes))
             cols = list(zip(*out, strict=True)) if out else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["end", "record"])
 
-    aligned = templates.where("varied").select("template")
+    aligned = templates.where("varied").select("template", F.lit(2).alias("fillings"))
     if bits.any():
         records = docs.select(text).mapInArrow(filled, "end string, record string").distinct()
-        aligned = aligned.unionByName(open_.join(records, "end").where("record RLIKE pattern").select("template").distinct())
-    unfilled = slots.join(aligned, "template", "left_semi")
-    found = evidence.where("kind <> 'slot'").select(doc, "kind").unionByName(unfilled.select(doc, F.lit("placeholder").alias("kind")))
-    return found.distinct()
+        fits = open_.join(records, "end").where("record RLIKE pattern")
+        aligned = aligned.unionByName(fits.groupBy("template").agg(F.when(F.min("record") != F.max("record"), 2).otherwise(1).alias("fillings")))
+    judged = slots.join(aligned, "template", "left").where("how = 'bare' OR (how = 'slot' AND fillings >= 1) OR fillings >= 2")
+    shown = judged.select(doc, F.lit("placeholder").alias("kind"), F.when(F.col("fillings").isNotNull(), F.lit("aligned")).otherwise(F.lit("alone")).alias("evidence"))
+    told = messages.join(pages, "template").select(doc, "kind", F.when(F.col("again"), F.lit("repeated")).otherwise(F.lit("alone")).alias("evidence"))
+    return told.unionByName(shown).distinct()
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x

@@ -174,3 +174,27 @@ def test_slots_are_aligned_with_filled_records(spark):
 def test_long_text(spark, n):
     df = spark.createDataFrame([(1, "word " * n)], "doc_id bigint, text string")
     assert residue.find_residue(df).count() == 0
+
+
+def test_every_kind_passes_its_own_hint():
+    for kind, p in residue.STRONG.items():
+        for r in residue._spelled(residue._parser.parse(p.pattern)):
+            plain = r.replace("\0", "").replace("\n", "")
+            assert any(kind in k for _, k in residue._hints().iter(plain)), (kind, r)
+
+
+def test_slots_that_were_left_blank(spark):
+    """A blank counts where other records of its template are filled in different ways, in blocks of any length."""
+    tail = "we have received your order and will send it as soon as the ferry goes again " + "and again " * 60
+    rows = [(1, f"Dear Anna, {tail}"), (2, f"Dear Boris, {tail}"), (3, f"Dear , {tail}"), (4, "I like plums , pears and the sea very much"), (5, f"Hello %FIRST_NAME%, {tail}"), (6, f"Hello Carla, {tail}"), (7, "Hello %FIRST_NAME%")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["evidence"]) for r in residue.find_residue(df).collect()}
+    assert got == {(3, "aligned"), (5, "aligned"), (7, "aligned")}
+
+
+def test_pages_that_repeat(spark):
+    page = "Page not found. Error 404"
+    rows = [(1, f"one\n{page}"), (2, f"two\n{page.replace('404', '500')}"), (3, "Please enable JavaScript to continue."), (4, "Please enable JavaScript to continue.")]
+    got = {(r["doc_id"], r["kind"], r["evidence"]) for r in residue.find_residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # copies of a document are no repetition
+    assert got == {(1, "error", "repeated"), (2, "error", "repeated"), (3, "script", "alone"), (4, "script", "alone")}
