@@ -2,16 +2,18 @@
 
 Method. Texts become sequences of words in their consistent form (case, punctuation, quote
 marks, spacing and look-alike characters folded). Documents that hold a seed of an item are
-aligned with it around the seed by Smith-Waterman over words, which scores edited copies;
-the exact test for the longest run of consecutive words follows on the same table. Where
-edited copies are asked for, every ``n``-gram of an item is a seed, since an edit can destroy
-any of them. For exact copies the rarest ``n``-gram of every run of ``run`` words, by its
-count over all documents, is enough: each passage of at least ``run`` words holds it. There
-is no cap and no stop list.
-
-The items are a small fixed table; they are collected up to ``max_items`` and a larger
-table raises. Documents are read once (edited copies) or twice (counts, search) and never
-shuffled; only the counts of the items' own n-grams are.
+aligned with it around the seed by Smith-Waterman over words. The score decides: a passage
+of ``run`` words that was copied, or edited here and there, reaches a share of what an exact
+copy of ``run`` words scores; the exact test for the longest run of consecutive words follows
+on the same table. Where edited copies are asked for, every ``n``-gram of an item is a seed,
+since an edit can destroy any of them. For exact copies the rarest ``n``-gram of every run of
+``run`` words, by its count over all documents, is enough: each passage of at least ``run``
+words holds it. There is no cap and no stop list.
+
+Items go to the tasks in blocks of bounded size (``BLOCK_ITEMS``, ``BLOCK_CHARS``); more items
+mean more passes over the documents, one block at a time, with the same rows. Documents are
+read once (edited copies) or twice (counts, search) for a block and never shuffled; only the
+counts of the items' own n-grams are. Jobs run while the query is built.
 """
 
 from __future__ import annotations
@@ -24,15 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .charforms import skeleton
 
+BLOCK_ITEMS = 50_000
+BLOCK_CHARS = 16_000_000
+EDITED = 1.0  # share of the score of an exact copy of ``run`` words that a passage must reach
+
 _WORD = re.compile(r"[^\W_]+")
-_JOINED = str.maketrans("", "", "'’‘`´ʼ＇­")
+_JOINED = "'’‘`´ʼ＇\u00ad"
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text in their consistent form; apostrophes join, all other marks separate."""
-    return _WORD.findall(skeleton(text).translate(_JOINED).casefold())
+    plain = skeleton(text)
+    for mark in _JOINED if not plain.isascii() else "'`":
+        plain = plain.replace(mark, "")
+    return _WORD.findall(plain.casefold())
 
 
 class Items:
@@ -116,39 +126,63 @@ def align(docs: list[np.ndarray], items: list[np.ndarray], match: int = 2, miss:
     return out
 
 
-def _numbers(text: str, number: dict[str, int]) -> np.ndarray:
-    get = number.get
-    return np.array([get(w, 0) for w in words_of(text)], np.int64)
+def _numbers(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The word numbers of all texts, each followed by a 0, and where each text begins."""
+    get, flat, starts = number.get, [], []
+    for t in texts:
+        starts.append(len(flat))
+        if t:
+            flat += [get(w, 0) for w in words_of(t)]
+        flat.append(0)
+    return np.array(flat, np.int64), np.array(starts, np.int64)
+
+
+def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size, one after another; the driver holds one."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for r in items.select(item, text).where(F.col(text).isNotNull()).toLocalIterator():
+        if block and (len(block) >= BLOCK_ITEMS or size + len(r[1]) > BLOCK_CHARS):
+            yield block
+            block, size = [], 0
+        block.append((r[0], r[1]))
+        size += len(r[1])
+    yield block
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text",
-    n: int = 5, run: int = 15, max_items: int = 50_000, edited: bool = True,
+    n: int = 5, run: int = 15, share: float = EDITED, edited: bool = True,
 ) -> DataFrame:
-    """(doc, item, score, longest_run): every pair whose document holds a seed of the item.
+    """(doc, item, score, longest_run, leaked): every pair whose document holds a seed of the item.
 
-    ``longest_run >= run`` is the exact test for a leaked passage of ``run`` words; ``score``
-    (2 a word, -1 a change or gap) ranks edited copies: all that keep ``n`` consecutive words.
+    ``score`` is that of the best alignment (2 a word, -1 a change or gap); ``leaked`` says that
+    it reaches ``share`` of 2 * ``run``: a passage of ``run`` words, whole or edited, that keeps
+    ``n`` consecutive words. ``longest_run >= run`` is the exact test for a copied passage.
     Without ``edited`` only pairs with a run of ``run`` words are sure to have a row, for less
     work. Null and empty texts and items of fewer than ``run`` words give no row; copies of a
     document are each reported.
     """
-    got = [(r[0], r[1]) for r in items.select(item, item_text).where(F.col(item_text).isNotNull()).limit(max_items + 1).collect()]
-    if len(got) > max_items:
-        raise ValueError(f"more than {max_items} items")
-    known = Items(sorted(got), n, run)
+    out = None
+    for k, block in enumerate(_blocks(items, item, item_text)):
+        if k == 1:
+            out = cut(out)
+        part = _find_block(docs, Items(sorted(block), n, run), doc, text, item, run, edited)
+        out = part if out is None else out.unionByName(cut(part))
+    return out.withColumn("leaked", F.col("score") >= F.lit(share * 2 * run))
+
+
+def _find_block(docs: DataFrame, known: Items, doc: str, text: str, item: str, run: int, edited: bool) -> DataFrame:
     grams = known.all_grams()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(grams), np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    g = known.grams(_numbers(t, known.number))
-                    g = g[g > 0]
-                    if len(g) and len(grams):
-                        at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-                        np.add.at(total, at[grams[at] == g], 1)
+            g = known.grams(_numbers(b.column(0).to_pylist(), known.number)[0])
+            g = g[g > 0]
+            if len(g) and len(grams):
+                at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+                total += np.bincount(at[grams[at] == g], minlength=len(grams))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["gram", "n"])
 
@@ -156,7 +190,7 @@ def find_leaks(
         seeds = known.seeds(None)
     else:
         counted = docs.select(text).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-        # at most one row for each n-gram of the items
+        # at most one row for each n-gram of the items of a block
         seeds = known.seeds({int(grams[r[0]]): r[1] for r in counted.collect()})
     codes = np.array(sorted(seeds), np.uint64)
 
@@ -166,28 +200,27 @@ def find_leaks(
             where: list[tuple[int, int]] = []
             parts: list[np.ndarray] = []
             ids = b.column(0).to_pylist()
-            for d, t in enumerate(b.column(1).to_pylist()):
-                if not t or not len(codes):
-                    continue
-                ws = _numbers(t, known.number)
-                g = known.grams(ws)
-                if not len(g):
-                    continue
+            words, starts = _numbers(b.column(1).to_pylist(), known.number)
+            g = known.grams(words)
+            hits = np.zeros(0, np.int64)
+            if len(g) and len(codes):
                 at = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
-                spots: dict[int, list[tuple[int, int]]] = {}
-                for p in np.flatnonzero(codes[at] == g):
-                    for i, q in seeds[int(g[p])]:
-                        spots.setdefault(i, []).append((max(0, int(p) - q - run), int(p) - q + len(known.words[i]) + run))
-                for i, spans in spots.items():
-                    spans.sort()
-                    lo, hi = spans[0]
-                    for a, z in [*spans[1:], (1 << 60, 0)]:
-                        if a > hi:
-                            where.append((d, i))
-                            parts.append(ws[lo:hi])
-                            lo, hi = a, z
-                        else:
-                            hi = max(hi, z)
+                hits = np.flatnonzero(codes[at] == g)
+            spots: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            ends = np.append(starts[1:], len(words)) - 1
+            for p, d in zip(hits.tolist(), (np.searchsorted(starts, hits, side="right") - 1).tolist(), strict=True):
+                for i, q in seeds[int(g[p])]:
+                    spots.setdefault((d, i), []).append((max(int(starts[d]), p - q - run), min(int(ends[d]), p - q + len(known.words[i]) + run)))
+            for pair, spans in spots.items():
+                spans.sort()
+                lo, hi = spans[0]
+                for a, z in [*spans[1:], (1 << 60, 0)]:
+                    if a > hi:
+                        where.append(pair)
+                        parts.append(words[lo:hi])
+                        lo, hi = a, z
+                    else:
+                        hi = max(hi, z)
             out: dict[tuple[int, int], tuple[int, int]] = {}
             for k, (score, longest) in zip(where, align(parts, [known.words[i] for _, i in where]), strict=True):
                 old = out.get(k, (0, 0))

@@ -53,7 +53,7 @@ def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), edited=False)
-    return found.where("longest_run >= 15").select("doc_id", "item_id")
+    return found.where("leaked AND longest_run >= 15").select("doc_id", "item_id")
 
 
 def p10_kinds(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -198,3 +200,36 @@ def test_pages_that_repeat(spark):
     got = {(r["doc_id"], r["kind"], r["evidence"]) for r in residue.find_residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     # copies of a document are no repetition
     assert got == {(1, "error", "repeated"), (2, "error", "repeated"), (3, "script", "alone"), (4, "script", "alone")}
+
+
+def test_edited_copies_are_found(spark):
+    """Copies of 30 words with a word changed, dropped or added in every ten: measured recall of the score."""
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(60)]
+    docs = []
+    for i, t in items:
+        words = t.split()[5:35]
+        for at in range(4, 30, 10):
+            edit = rng.randrange(3)
+            words[at : at + 1] = [[rng.choice(vocabulary)], [], [words[at], rng.choice(vocabulary)]][edit]
+        docs.append((i, " ".join([*(rng.choice(vocabulary) for _ in range(50)), *words, *(rng.choice(vocabulary) for _ in range(50))])))
+    docs += [(1000 + i, " ".join(rng.choice(vocabulary) for _ in range(150))) for i in range(60)]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, it).where("leaked").collect()}
+    assert got == {(i, i) for i in range(60)}
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    """More items than a block holds give the same rows in several passes."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(20))) for i in range(30)]
+    docs = [(i, "so " + items[i % 30][1] + " and so on") for i in range(50)]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    rows = lambda e: {tuple(r) for r in leaks.find_leaks(df, it, edited=e).collect()}
+    whole = rows(False), rows(True)
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 7)
+    parts = rows(False), rows(True)
+    exact = lambda x: {r for r in x if r[3] >= 15}
+    assert exact(parts[0]) == exact(whole[0]) and parts[1] == whole[1] and len(exact(parts[0])) >= 50
