@@ -2,11 +2,12 @@
 
 Method: anchor expansion. One Aho-Corasick automaton finds at-signs, schemes, digit pairs,
 identifier and address cues and given names in a text. Around each anchor a deterministic
-local parser expands to the boundaries of an e-mail address, telephone number, identity
-number, street address or person's name and validates it (top-level domain, numbering
-plan, digits and check of the words before it). A parser only looks at a window of fixed
-width around its anchor, so long texts cost in proportion to their length. Spans found
-earlier in the order address, identity number, e-mail, telephone, name are not reused.
+local parser expands by whole words, however long they are, to the boundaries of an e-mail
+address, telephone number, identity number, account, street address or person's name and
+validates it (top-level domain, numbering plan, check digits, and the words before it). A
+parser looks at as many words on either side as its form can have, so long texts cost in
+proportion to their length and no item is cut. Spans found earlier in the order account,
+e-mail, address, identity number, telephone, name are not reused.
 
 Text is compared in a form of the same length (full-width forms and kinds of space folded
 one to one), so that the text around a placeholder stays unchanged.
@@ -15,6 +16,7 @@ one to one), so that the text around a placeholder stays unchanged.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
-WINDOW = 90  # characters a parser may look at on either side of its anchor
+# Words on either side of an anchor that a form can take up at most.
+REACH = {"email": 2, "spelled": 12, "street": 14, "number": 14}
 
 # Top-level domains that a spelled-out address ("name at host dot com") may end in.
 SPELLED_TLDS = frozenset("com net org edu gov info biz example test invalid io co uk de fr es it pt br nl pl ru ua tr jp kr au us ca ch at be eu dev app me mx ar cl in".split())
@@ -52,6 +55,12 @@ GIVEN = frozenset(
     "philip pierre rachel rafael ralf ricardo richard robert rosa ruth samuel sandra sara sarah sebastian simon sofia sophie stefan stephen susan teresa theo thomas tim tobias tom tomas victor "
     "vera walter william yasmin zoe".split()
 )
+# Common given names of the corpus languages in other letters.
+GIVEN_OTHER = frozenset(
+    "александр алексей андрей анна антон артём борис вадим валентина валерий вера виктор виктория владимир галина дарья денис дмитрий евгений екатерина елена иван игорь ирина кирилл константин ксения лариса людмила максим марина мария "
+    "михаил надежда наталья николай оксана олег ольга павел пётр роман светлана сергей софья татьяна юлия юрий андрій богдан василь володимир ганна дмитро катерина олександр олена оксана петро сергій тарас юрій "
+    "paweł michał łukasz tomasz krzysztof małgorzata agnieszka katarzyna zofia stanisław ayşe fatma mustafa ahmet hüseyin çağla özgür şule ömer ümit".split()
+)
 # Second words that make two capitalised words a band, shop, place or other thing.
 NOT_SURNAME = frozenset(
     "trio quartet quintet band brass choir orchestra ensemble festival club street st road rd avenue ave lane drive close court row terrace blvd square park hill bridge station school church museum bakery shop store "
@@ -61,7 +70,7 @@ NOT_SURNAME = frozenset(
 )
 # Cues before a person's name.
 _NAME_CUE = re.compile(
-    r"(?:thanks to|thank you,?|happy birthday,?|soup with|lunch with|dinner with|my (?:landlord|landlady|boss|neighbou?r|dentist|doctor|teacher|colleague|friend|cousin|brother|sister|plumber)|just met|according to|where|merci à|gracias a|obrigad[oa] a|dank an|dank aan|grazie a|"
+    r"(?:thanks to|\bmeet|my name is|please contact|thank you,?|happy birthday,?|soup with|lunch with|dinner with|my (?:landlord|landlady|boss|neighbou?r|dentist|doctor|teacher|colleague|friend|cousin|brother|sister|plumber)|just met|according to|where|merci à|gracias a|obrigad[oa] a|dank an|dank aan|grazie a|"
     r"signed,?|signs? (?:some |many |most )?(?:posts |letters |replies )?(?:as|with)|named?|called|name is|ich heiße|je m'appelle|me llamo|mi chiamo|\b(?:mr|mrs|ms|dr|prof|herr|frau|mme|sra?|dona|señor|señora|madame|monsieur)\.?)\s*$",
     re.IGNORECASE,
 )
@@ -77,19 +86,26 @@ ADDRESS = (
     re.compile(r"(?<!\w)\d{1,4}[a-h]?(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|av\.|boulevard|bd\.?|bld\.?|chemin|ch\.|impasse|allée|allee|place|pl\.|quai|route|passage|cours|sentier|ruelle|square)\s+(?:(?:de la|de l'|des|du|de|d'|l'|la|le|les)\s*)?[^\W\d_][\w'’-]+(?:\s+(?:de|du|des|la|le|et)\b)?(?:\s+[A-ZÀ-Þ][\w'’-]+)?", re.IGNORECASE),
     re.compile(r"(?<!\w)(?:calle|c/|plaza|pza\.?|plza\.?|avenida|avda?\.?|av\.|paseo|p\.º|camino|carretera|ctra\.?|ronda|travesía|callejón|rua|r\.|travessa|tv\.|trav\.|largo|lg\.|praça|pç\.|estrada|alameda|beco|calçada|via|viale|piazza|corso|vicolo|ul\.|ulica|al\.|os\.)\s*(?:(?:[^\W\d_][\w'’-]*|[^\W\d_]{1,4}\.)\s+){0,5}?[^\W\d_][\w'’-]*,?\s+(?:n\.?[º°o]?\.?\s*)?\d{1,4}\s?(?:[a-h]\b)?", re.IGNORECASE),
     re.compile(r"(?<!\w)[^\W\d_][\w-]*(?:straat|laan|plein|gracht|kade|singel|dreef)\s+\d{1,4}\s?(?:[a-h]\b)?", re.IGNORECASE),
+    re.compile(r"(?<!\w)(?:ул\.|улица|улице|проспект|пр-т|пр\.|переулок|пер\.|набережная|вул\.|вулиця|вулиці|провулок)\s*(?:[^\W\d_][\w-]*\.?\s+){0,3}?[^\W\d_][\w-]*,?\s+(?:д\.|дом|буд\.|будинок)?\s*\d{1,4}(?:\s?[а-д]\b)?", re.IGNORECASE),
+    re.compile(r"[一-鿿]{1,4}[都道府県市区郡][一-鿿ぁ-ヿ]{1,12}(?:町|村|丁目|通り?|区)?\s?\d{1,4}(?:[-－‐の]\d{1,4}|丁目\d{0,4}番?地?\d{0,4}号?|番地?\d{0,4}号?)+|[가-힣]{1,10}(?:로|길)\s?\d{1,4}(?:-\d{1,3})?(?:번지|호)?(?=\s|$|[.,)에])"),
     re.compile(r"(?<!\w)(?:[^\W\d_][\w-]*\s+){1,3}(?:sokağı|sokak|sok\.|caddesi|cad\.|bulvarı)\s*(?:no\s*[:.]?\s*)?\d{1,4}", re.IGNORECASE),
 )
 _STREET_WORDS = (
     "street", " st", "road", " rd", "avenue", " ave", "lane", " ln", "drive", " dr", "close", "court", " ct", " row", "terrace", "blvd", "boulevard", " place", " pl", " way", "square", "crescent", " walk", "gardens", "parkway", "highway", "alley",
     "mews", "quay", "trail", "circle", "grove", " rise", "straße", "strasse", "str.", "gasse", "allee", "platz", "ufer", "chaussee", "damm ", "steig", "weg ", "ring ", "graben", "rue ", "chemin", "impasse", "quai", "route", "passage", "cours ", "sentier",
     "ruelle", "calle", "c/", "plaza", "pza", "avenida", "avda", "av.", "paseo", "camino", "carretera", "ronda", "travesía", "callejón", "rua ", "r. ", "travessa", "tv.", "largo", "praça", "estrada", "alameda", "beco", "calçada", "via ", "viale", "piazza",
-    "corso", "vicolo", "ul.", "ulica", "straat", "laan", "plein", "gracht", "kade", "singel", "sokağı", "sokak", "caddesi", "bulvarı",
+    "corso", "vicolo", "ul.", "ulica", "straat", "laan", "plein", "gracht", "kade", "singel", "sokağı", "sokak", "caddesi", "bulvarı", "ул.", "улиц", "проспект", "пр-т", "пр.", "переулок", "пер.", "набережная", "вул.", "вулиц", "провулок", "丁目", "番地", "町", "市", "区", "로 ", "길 ",
 )
 
 EMAIL = re.compile(r"(?<![\w.%+-])[\w][\w.%+-]*(?:@|\s@\s)(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w@])", re.IGNORECASE)
 EMAIL_MARKED = re.compile(r"(?<![\w.%+-])[\w][\w.%+-]*\s*[(\[{<]\s*(?:at|arroba|ät)\s*[)\]}>]\s*[a-z0-9-]+(?:(?:\s*[(\[{<]\s*(?:dot|punkt|point|punto|ponto)\s*[)\]}>]\s*|\.|\s+dot\s+)[a-z0-9-]+)+", re.IGNORECASE)
 EMAIL_SPELLED = re.compile(r"(?<![\w.%+-])[\w][\w.%+-]*\s+(?:at|arroba)\s+[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)+", re.IGNORECASE)
 
+# accounts: not a kind that is asked for by name, but replaced like one
+IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?![A-Z0-9])")
+CARD = re.compile(r"(?<![\w+.#-])[3-6]\d{3}(?:[\s-]?\d){11,15}(?![\w-])")
+USERINFO = re.compile(r"(?<=://)[^\s/@:]+:[^\s/@]+(?=@)")
+
 _SEP = r"[\s.\-/]"
 PHONE = (
     re.compile(rf"(?<![\w+])(?<!\d[\s.\-/])(?:\+|00){_SEP}?[1-9]\d{{0,2}}{_SEP}{{0,2}}(?:\(0?\d{{0,4}}\){_SEP}?)?\d{{1,5}}(?:{_SEP}{{0,2}}\d{{1,8}}){{0,5}}(?![\w-])"),
@@ -102,7 +118,7 @@ PHONE = (
 )
 ID_ALONE = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D])(?![\w-])", re.IGNORECASE)
 ID_CUED = re.compile(r"(?<![\w.+#-])(?<!\+\d\s)(?<!\+\d\d\s)(?<!\)\s)(?<!\))(?:[A-Z]{1,3}[-.]?)?\d(?:[\s./-]?\d){4,13}(?:\s?[-/]?\s?[A-Z])?(?![\w-])", re.IGNORECASE)
-_UP = r"[A-ZÀ-ÖØ-Þ]"
+_UP = "[" + "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper()) + "]"
 _NAME_WORD = rf"(?:{_UP}[\w'’-]*[\w]|{_UP}{{2,}}(?:[-'’]{_UP}+)*)"
 NAME_AFTER = re.compile(rf"\s+(?:(?:{_UP}\.\s?){{0,2}})(?:(?:van|von|de|da|del|della|di|la|le|der|den|ter|zu|mc|o')\s+){{0,2}}({_NAME_WORD})", 0)
 NAME_LOWER = re.compile(r"\s+(?:(?:[a-z]\.\s?){0,2})([a-zà-öø-ÿ]{4,})(?![\w.@])")
@@ -113,9 +129,17 @@ _OPENERS = re.compile(
     r"(?:hello|hi|hey|dear|thanks|thank|sorry|please|yes|no|well|today|yesterday|tomorrow|tonight|finally|sometimes|maybe|also|still|then|now|later|meanwhile|however|later|okay|danke|hallo|bitte|ja|nein|heute|gestern|liebe|merci|bonjour|salut|oui|non|aujourd'hui|hier|gracias|hola|ayer|hoy|sí|obrigad[oa]|olá|ontem|hoje|sim|grazie|ciao|oggi|ieri)\b",
     re.IGNORECASE,
 )
+# What is said of persons right after their name.
+SAID_OF = ("lives at", "lives in", "lives on", "lived at", "was born", "has moved to", "'s address", "'s phone", "'s number", "'s email", "'s passport", "wohnt in", "wohnt am", "habite au", "habite à", "vive en", "abita in", "mora na", "mora no", "woont in", "mieszka przy", "живёт на", "живет на", "мешкає на")
+NAME_ENDS = re.compile(rf"(?<![\w@.])({_NAME_WORD})((?:\s+{_NAME_WORD}){{1,3}})\s*$")
+
 NAME_REVERSED = re.compile(rf"({_NAME_WORD}),\s+$")
 
 
+_TOKEN = re.compile(r"\S+")
+_DOT = frozenset("dot (dot) [dot] {dot} <dot> punkt (punkt) [punkt] punto (punto) [punto] point (point) [point] ponto (ponto) [ponto]".split())
+
+
 @lru_cache(maxsize=1)
 def _same_length() -> dict[int, str]:
     table = {cp: chr(cp - 0xFEE0) for cp in range(0xFF01, 0xFF5F)}
@@ -132,17 +156,20 @@ def automaton():
     kinds: dict[str, set[str]] = {}
     for s in ("@", "(at)", "[at]", "{at}", "<at>", " at ", "arroba", "mailto:"):
         kinds.setdefault(s, set()).add("email")
+    kinds.setdefault("://", set()).add("scheme")
     for s in ("+", *(f"{i:02d}" for i in range(100))):
         kinds.setdefault(s, set()).add("number")
     for s in ID_CUES:
         kinds.setdefault(s, set()).add("cue")
     for s in _STREET_WORDS:
         kinds.setdefault(s, set()).add("street")
-    for s in GIVEN:
+    for s in (*GIVEN, *GIVEN_OTHER):
         kinds.setdefault(s, set()).add("given")
     for c in "abcdefghijklmnopqrstuvwxyz":
         kinds.setdefault(f" {c}. ", set()).add("initial")
-    for s in ("thanks to ", "birthday ", "landlord ", "landlady ", "just met ", "according to ", "soup with ", "merci à ", "gracias a ", "obrigado a ", "obrigada a ", "dank an ", "grazie a ", "dank aan ", "mr. ", "mrs. ", "ms. ", "dr. ", "herr ", "frau ", "signed "):
+    for s in SAID_OF:
+        kinds.setdefault(s, set()).add("saidof")
+    for s in ("thanks to ", "meet ", "my name is ", "contact ", "birthday ", "landlord ", "landlady ", "just met ", "according to ", "soup with ", "merci à ", "gracias a ", "obrigado a ", "obrigada a ", "dank an ", "grazie a ", "dank aan ", "mr. ", "mrs. ", "ms. ", "dr. ", "herr ", "frau ", "signed "):
         kinds.setdefault(s, set()).add("namecue")
     a = ahocorasick.Automaton()
     for s, k in kinds.items():
@@ -151,6 +178,18 @@ def automaton():
     return a
 
 
+def _is_iban(s: str) -> bool:
+    """The check digits of an account number: its letters as numbers, the first four behind, leave 1 of 97."""
+    s = "".join(s.split())
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _is_card(s: str) -> bool:
+    """The check digit of a card number: every second digit from the right doubled, digits summed."""
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return len(d) >= 15 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
 def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
@@ -177,18 +216,27 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y, _ in taken)
 
-    def windows(places: list[int]) -> list[tuple[int, int]]:
+    words = [m.span() for m in _TOKEN.finditer(t)]
+    begins = [x for x, _ in words]
+
+    def windows(places: list[int], reach: int) -> list[tuple[int, int]]:
+        """The places with ``reach`` words on either side, together where they meet."""
         out: list[list[int]] = []
         for p in sorted(places):
-            a, b = max(0, p - WINDOW), min(len(t), p + WINDOW)
+            i = max(0, bisect_right(begins, max(p, 0)) - 1)
+            # a place before a word belongs to the word behind it
+            lo, hi = max(0, i - reach), min(len(words) - 1, i + reach + 1)
+            while reach == REACH["spelled"] and hi + 1 < len(words) and (low[slice(*words[hi])] in _DOT or low[slice(*words[hi + 1])] in _DOT):
+                hi += 1
+            a, b = words[lo][0], words[hi][1]
             if out and a <= out[-1][1]:
                 out[-1][1] = max(out[-1][1], b)
             else:
                 out.append([a, b])
         return [(a, b) for a, b in out]
 
-    def search(pattern: re.Pattern, places: list[int], kind: str, ok=None) -> None:
-        for a, b in windows(places):
+    def search(pattern: re.Pattern, places: list[int], kind: str, reach: str, ok=None) -> None:
+        for a, b in windows(places, REACH[reach]):
             while m := pattern.search(t, a, b):
                 if free(m.start(), m.end()) and (ok is None or ok(m)):
                     taken.append((m.start(), m.end(), kind))
@@ -197,26 +245,31 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                     a = m.start() + 1
 
     cased = any(c.isupper() for c in t) and any(c.islower() for c in t)
+    if "scheme" in at and "email" in at:
+        search(USERINFO, at["scheme"], "account", "email")
+    if "number" in at:
+        search(IBAN, at["number"], "account", "number", lambda m: _is_iban(m.group()))
+        search(CARD, at["number"], "account", "number", lambda m: _is_card(m.group()) and not OTHER_NUMBERS.search(t[max(0, m.start() - 32) : m.start()]))
     if "email" in at:
-        search(EMAIL, [p for p in at["email"] if t[p] == "@"], "email")
-        search(EMAIL_MARKED, at["email"], "email", lambda m: m.group().strip()[-1].isalpha())
-        search(EMAIL_SPELLED, at["email"], "email", lambda m: re.split(r"[\s.]+", m.group().lower())[-1] in SPELLED_TLDS)
+        search(EMAIL, [p for p in at["email"] if t[p] == "@"], "email", "email")
+        search(EMAIL_MARKED, at["email"], "email", "spelled", lambda m: m.group().strip()[-1].isalpha())
+        search(EMAIL_SPELLED, at["email"], "email", "spelled", lambda m: re.split(r"[\s.]+", m.group().lower())[-1] in SPELLED_TLDS)
     if "street" in at and any(c.isdigit() for c in t):
         for i, pattern in enumerate(ADDRESS):
-            search(pattern, at["street"], "address", lambda m, i=i: _address_ok(m, i, t, cased))
+            search(pattern, at["street"], "address", "street", lambda m, i=i: _address_ok(m, i, t, cased))
     if "number" in at:
         plain = lambda m: not OTHER_NUMBERS.search(t[max(0, m.start() - 32) : m.start()])
-        search(ID_ALONE, at["number"], "id_number", lambda m: plain(m) and m.group()[-1:].upper() == m.group()[-1:])
+        search(ID_ALONE, at["number"], "id_number", "number", lambda m: plain(m) and m.group()[-1:].upper() == m.group()[-1:])
         if "cue" in at:
-            search(ID_CUED, at["number"], "id_number", lambda m: plain(m) and 6 <= _digits(m.group()) <= 13 and _cued(t, m, cues))
+            search(ID_CUED, at["number"], "id_number", "number", lambda m: plain(m) and 6 <= _digits(m.group()) <= 13 and _cued(t, m, cues))
         for i, pattern in enumerate(PHONE):
             least = 9 if i == 0 else 7
-            search(pattern, at["number"], "phone", lambda m, least=least: plain(m) and least <= _digits(m.group()) <= 15)
+            search(pattern, at["number"], "phone", "number", lambda m, least=least: plain(m) and least <= _digits(m.group()) <= 15)
     for p in at.get("given", ()):
         e = p
         while e < len(t) and (t[e].isalnum() or t[e] in "'’-"):
             e += 1
-        if (p and (t[p - 1].isalnum() or t[p - 1] in "@._-'’+&/#")) or low[p:e] not in GIVEN or (e < len(t) and t[e] in "@_+"):
+        if (p and (t[p - 1].isalnum() or t[p - 1] in "@._-'’+&/#")) or low[p:e] not in GIVEN and low[p:e] not in GIVEN_OTHER or (e < len(t) and t[e] in "@_+"):
             continue
         m = NAME_AFTER.match(t, e) if t[p].isupper() else None
         if m and m.end() < len(t) and t[m.end()] in "@_+":
@@ -248,6 +301,16 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             m = NAME_CUED.match(t, q)
             if m and cased and not {m.group(1).lower(), m.group(2).lower()} & NOT_SURNAME and free(m.start(1), m.end()) and not (m.group(1).isupper() ^ m.group(2).isupper()):
                 taken.append((m.start(1), m.end(), "person_name"))
+    for p in at.get("saidof", ()):
+        m = NAME_ENDS.search(t, max(0, t.rfind(".", 0, p) + 1), p) if cased else None
+        if m:
+            # a word that opens the sentence before the name is none of it
+            names = [m.group(1), *m.group(2).split()]
+            start = m.start()
+            if len(names) > 2 and _OPENERS.match(names[0]):
+                start, names = m.start(2) + 1, names[1:]
+            if not {x.lower() for x in names} & NOT_SURNAME and not _OPENERS.match(names[0]) and free(start, m.end(2)):
+                taken.append((start, m.end(2), "person_name"))
     return sorted(taken)
 
 
@@ -295,7 +358,7 @@ def personal_kinds(rows: DataFrame, src: str, rec_key, text: str) -> DataFrame:
             if not b.num_rows:
                 continue
             enc = b.column("text").cast(pa.string()).dictionary_encode()
-            kinds = [sorted({k for _, _, k in find_spans(s)}) for s in enc.dictionary.to_pylist()]
+            kinds = [sorted({k for _, _, k in find_spans(s) if k in KINDS}) for s in enc.dictionary.to_pylist()]
             has = {i for i, k in enumerate(kinds) if k}
             if not has:
                 continue

@@ -25,6 +25,22 @@ def test_personal_kinds(text, kinds):
     assert {k for _, _, k in personal.find_spans(text)} == kinds
 
 
+def test_personal_items_of_any_length():
+    """An item is replaced whole, however long it or what is around it is."""
+    host = ".".join(["sub"] * 60) + ".example.com"
+    local = "a" * 10_000
+    for text, want in (
+        (f"write to bob@{host} today", "write to [EMAIL] today"), (f"write to {local}@example.com today", "write to [EMAIL] today"),
+        ("x" * 100_000 + " a.b@example.com " + "y" * 100_000, "x" * 100_000 + " [EMAIL] " + "y" * 100_000),
+        ("mail simon at " + "ferry dot " * 40 + "example now", "mail [EMAIL] now"),
+        ("pay to DE89 3704 0044 0532 0130 00 please", "pay to [ACCOUNT] please"), ("card 4111 1111 1111 1111 was charged", "card [ACCOUNT] was charged"), ("card 4111 1111 1111 1112 was charged", "card 4111 1111 1111 1112 was charged"),
+        ("see https://rosa:secret@host.example/x", "see https://[ACCOUNT]@host.example/x"),
+        ("Nguyen Thi Lan lives at the end of it", "[PERSON_NAME] lives at the end of it"), ("Meet Priya Raghunathan tomorrow", "Meet [PERSON_NAME] tomorrow"),
+        ("Спасибо, Ольга Ковальчук, за всё", "Спасибо, [PERSON_NAME], за всё"), ("Живу на ул. Лесная, д. 14 уже год", "Живу на [ADDRESS] уже год"), ("Dzięki, Łukasz Żeromski, za pomoc", "Dzięki, [PERSON_NAME], za pomoc"),
+    ):
+        assert personal.redact(text, personal.find_spans(text)) == want
+
+
 def test_personal_tables(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "call +44 7700 900184 or mail a.b@example.com", 5), (3, "call +44 7700 900184 or mail a.b@example.com", 5), (4, "x " * 100_000 + "mail a.b@example.com", 5)], "k bigint, t string, kind int")
     got = sorted((r["rec_key"], r["kind"]) for r in personal.personal_kinds(df, "actions", F.col("k").cast("string"), "t").collect())
