@@ -25,6 +25,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in milliseconds since 1970."""
+    fs, p, _ = _fs(spark, path)
+    return fs.getFileStatus(p).getModificationTime()
+
+
 def current(spark: SparkSession, path: str) -> str:
     """Where the rows of a table are: the version that its pointer names, or the folder itself if it never was replaced."""
     fs, p, jvm = _fs(spark, f"{path}/{POINTER}")
