@@ -19,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charforms import LOOKALIKES, char_map
@@ -34,6 +35,9 @@ CODES = tuple(LANGUAGES)
 NAMES = {name: code for code, names in LANGUAGES.items() for name in (code, *names)}
 
 WINDOW = 64  # bytes of a window
+SAMPLE_CHARS = 4_000  # characters of the longest text in the training sample
+CLEAN_ROWS = 5_000  # rows of each clean table in the training sample
+UNKNOWN = "und"  # a text whose language is none of the known ones
 KEPT = 100_000  # passages a worker remembers; only speed depends on it
 SURE = 0.55  # confidence a passage's language needs
 OTHER_SURE = 0.80  # ... if it is not the language of most of the text
@@ -132,7 +136,8 @@ class ByteNet:
             view = np.lib.stride_tricks.as_strided(e, (n, length - w + 1, w * d), (e.strides[0], e.strides[1], e.strides[2]))
             a = (view.reshape(-1, w * d) @ self.p[f"W{w}"]).reshape(n, length - w + 1, self.filters)
             if train:
-                at = a.argmax(axis=1)
+                # the maximum over a contiguous axis is several times faster
+                at = np.ascontiguousarray(a.transpose(0, 2, 1)).argmax(axis=2)
                 top = np.take_along_axis(a, at[:, None, :], 1)[:, 0]
                 kept.append((view, at, top))
             else:
@@ -170,6 +175,7 @@ class ByteNet:
                 grad = {"O": hd.T @ g, "b": g.sum(0), "E": np.zeros_like(self.p["E"])}
                 gh = (g @ self.p["O"].T) * drop * (h > 0)
                 d = self.p["E"].shape[1]
+                bytes_, backs = [], []
                 for j, w in enumerate(self.widths):
                     view, at, _ = kept[j]
                     gj = gh[:, j * self.filters : (j + 1) * self.filters]
@@ -177,8 +183,10 @@ class ByteNet:
                     grad[f"W{w}"] = np.einsum("nf,nfk->kf", gj, rows, optimize=True)
                     grad[f"c{w}"] = gj.sum(0)
                     back = gj[:, :, None] * self.p[f"W{w}"].T[None]
-                    for k in range(w):
-                        np.add.at(grad["E"], xb[np.arange(len(sel))[:, None], at + k], back[:, :, k * d : (k + 1) * d])
+                    bytes_.append(xb[np.arange(len(sel))[:, None, None], at[:, :, None] + np.arange(w)].ravel())
+                    backs.append(back.reshape(-1, d))
+                seen, sums = np.concatenate(bytes_), np.concatenate(backs)
+                grad["E"] = np.stack([np.bincount(seen, weights=sums[:, k], minlength=256) for k in range(d)], 1).astype(np.float32)
                 grad["E"][0] = 0
                 step += 1
                 lr = rate * (1 - step / (total + 1))
@@ -220,7 +228,6 @@ def train(labelled: list[tuple[str, str]], clean: list[tuple[str, str]], epochs:
     for pairs, w in ((sorted(labelled), 1.0), (sorted(clean), 1.5)):
         for t, code in pairs:
             for s in passages(t):
-                s = s[:400]
                 if (s, code) not in seen:
                     seen.add((s, code))
                     texts.append(s)
@@ -243,8 +250,11 @@ def train(labelled: list[tuple[str, str]], clean: list[tuple[str, str]], epochs:
 
 
 def sample_labelled(rows: DataFrame, key: str, text: str, lang: str, per_language: int) -> list[tuple[str, str]]:
-    """About ``per_language`` texts of each label (up to 2.5 times as many of a frequent one), chosen by a hash of the key."""
-    named = rows.where(F.length(F.trim(F.col(text))) > 10).select(F.col(key).alias("k"), F.col(text).alias("t"), named_language(F.col(lang)).alias("l")).where("l is not null")
+    """About ``per_language`` texts of each label (up to 2.5 times as many of a frequent one), chosen by a hash of the key.
+
+    Texts of more than ``SAMPLE_CHARS`` characters are not in the sample; the others are whole.
+    """
+    named = rows.where(F.length(F.trim(F.col(text))).between(11, SAMPLE_CHARS)).select(F.col(key).alias("k"), F.col(text).alias("t"), named_language(F.col(lang)).alias("l")).where("l is not null")
     counts = {r[0]: r[1] for r in named.groupBy("l").count().collect()}
     if not counts:
         return []
@@ -252,17 +262,51 @@ def sample_labelled(rows: DataFrame, key: str, text: str, lang: str, per_languag
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, per_language * min(2.5, max(1.0, (n / mean) ** 0.5)) / n))])
     draw = F.pmod(F.xxhash64("k"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     got = named.where(draw < F.element_at(share, F.col("l"))).select("t", "l").limit(2 * per_language * len(CODES)).collect()
-    return [(r[0][:2000], r[1]) for r in got]
+    return [(r[0], r[1]) for r in got]
 
 
 def fit_language_net(rows: DataFrame, clean: list[DataFrame], *, key: str, text: str, lang: str, per_language: int = 900) -> ByteNet:
-    """The network of the module's description; ``per_language`` bounds the labelled sample."""
-    held = [(r[0], r[1]) for c in clean for r in c.limit(5000).collect() if r[0] and r[1] in CODES]
+    """The network of the module's description; ``per_language`` and ``CLEAN_ROWS`` bound the labelled sample."""
+    held = [(r[0], r[1]) for c in clean for r in c.limit(CLEAN_ROWS).collect() if r[0] and r[1] in CODES]
     return train(sample_labelled(rows, key, text, lang, per_language), held)
 
 
-def judge(net: ByteNet, texts: list[str], known: dict[str, list[tuple[str, int, float]]]) -> list[list[tuple[str, str, float]]]:
-    """For each text its full sentences as (passage, code, confidence), unsure ones left out."""
+def saved_net(spark: SparkSession, path: str, fit) -> ByteNet:
+    """The network saved at ``path`` (a table of a few kilobytes); the first time ``fit`` makes it and it is saved."""
+    net = ByteNet(len(CODES))
+    try:
+        got = {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+        if set(got) == set(net.p):
+            net.p = {k: v.copy() for k, v in got.items()}
+            return net
+    except AnalysisException:
+        pass
+    net = fit()
+    rows = [(k, list(v.shape), bytearray(np.ascontiguousarray(v, np.float32).tobytes())) for k, v in net.p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return net
+
+
+# letters of the scripts that the known languages are written in
+_WRITTEN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿЀ-ԯ぀-ヿㇰ-ㇿ가-힣ᄀ-ᇿ]")
+_LETTER = re.compile(r"[^\W\d_]")
+_HAN = re.compile(r"[㐀-鿿]")
+
+
+def known_script(text: str) -> bool:
+    """Whether at least half of the letters are of scripts of the known languages; Han signs count only beside kana."""
+    letters = len(_LETTER.findall(text))
+    known = len(_WRITTEN.findall(text))
+    if re.search(r"[぀-ヿ가-힣]", text):
+        known += len(_HAN.findall(text))
+    return letters > 0 and 2 * known >= letters
+
+
+def judge(net: ByteNet, texts: list[str], known: dict[str, list[tuple[str, int, float]]]) -> list[list[tuple[str, str, float, bool]]]:
+    """For each text its full sentences as (passage, code, confidence, whether it is sure).
+
+    A passage in letters of no known language has the code ``UNKNOWN``; it is sure if no letter is of a known one.
+    """
     split = [passages(t) for t in texts]
     new = list({s: None for p in split for s in p if s not in known})
     if new:
@@ -284,14 +328,17 @@ def judge(net: ByteNet, texts: list[str], known: dict[str, list[tuple[str, int,
         for s, i, c in got:
             mass[i] = mass.get(i, 0) + c * len(s.encode())
         main = max(mass, key=lambda i: (mass[i], -i), default=None)
-        out.append([(s, CODES[i], c) for s, i, c in got if c >= (SURE if i == main else OTHER_SURE)])
+        out.append([(s, CODES[i], c, c >= (SURE if i == main else OTHER_SURE)) if known_script(s) else (s, UNKNOWN, 1.0, True) for s, i, c in got])
     return out
 
 
 def language_segments(rows: DataFrame, key: str, text: str, net: ByteNet) -> DataFrame:
-    """(key, segment, lang, confidence, chars): runs of sentences of one language, in order.
+    """(key, segment, lang, confidence, chars, full): every text as runs of sentences of one language, in order.
 
-    Null and empty texts and texts without a full sentence give no row.
+    ``full`` says that the segment has full sentences whose language is sure. Unsure sentences
+    are there with their low confidence. A text without a full sentence is one segment, judged
+    by all its letters; one without letters has ``UNKNOWN`` with confidence 0, and so have null
+    and empty texts, with no characters. Letters of no known language give ``UNKNOWN`` with confidence 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,26 +347,38 @@ def language_segments(rows: DataFrame, key: str, text: str, net: ByteNet) -> Dat
             if not b.num_rows:
                 continue
             enc = b.column(1).cast(pa.string()).dictionary_encode()
-            found = judge(net, enc.dictionary.to_pylist(), known)
+            texts = enc.dictionary.to_pylist()
+            found = [_runs(x) for x in judge(net, texts, known)]
+            short = [i for i, f in enumerate(found) if not f]
+            bare = {i: " ".join(_NOISE.sub(" ", plain(texts[i])).split()) for i in short}
+            lettered = [i for i in short if known_script(bare[i])]
+            p = classify(net, [bare[i] for i in lettered]) if lettered else np.zeros((0, len(CODES)))
+            guess = dict(zip(lettered, zip(p.argmax(1).tolist(), p.max(1).tolist(), strict=True), strict=True))
+            for i in short:
+                if i in guess:
+                    found[i] = [(CODES[guess[i][0]], round(float(guess[i][1]), 4), len(bare[i]), False)]
+                else:
+                    found[i] = [(UNKNOWN, 1.0 if _LETTER.search(bare[i]) else 0.0, len(bare[i]), False)]
             out: list[tuple] = []
             for k, i in zip(b.column(0).to_pylist(), enc.indices.to_pylist(), strict=True):
-                if i is None:
-                    continue
-                at, runs = 0, []
-                for s, code, c in found[i]:
-                    if runs and runs[-1][0] == code:
-                        runs[-1][1].append((c, len(s)))
-                    else:
-                        runs.append((code, [(c, len(s))]))
-                for code, parts in runs:
-                    n = sum(m for _, m in parts)
-                    out.append((k, at, code, round(float(sum(c * m for c, m in parts) / n), 4), n))
-                    at += 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "segment", "lang", "confidence", "chars"])
-
-    return rows.select(key, text).mapInArrow(run, f"{key} bigint, segment int, lang string, confidence double, chars int")
+                for at, segment in enumerate(found[i] if i is not None else [(UNKNOWN, 0.0, 0, False)]):
+                    out.append((k, at, *segment))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "segment", "lang", "confidence", "chars", "full"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} bigint, segment int, lang string, confidence double, chars int, full boolean")
+
+
+def _runs(sentences: list[tuple[str, str, float, bool]]) -> list[tuple[str, float, int, bool]]:
+    """(code, confidence, characters, whether sure) of runs of sentences alike in language and sureness."""
+    runs: list[tuple[str, bool, list[tuple[float, int]]]] = []
+    for s, code, c, sure in sentences:
+        if runs and runs[-1][:2] == (code, sure):
+            runs[-1][2].append((c, len(s)))
+        else:
+            runs.append((code, sure, [(c, len(s))]))
+    return [(code, round(float(sum(c * m for c, m in parts) / sum(m for _, m in parts)), 4), sum(m for _, m in parts), sure) for code, sure, parts in runs]
 
 
 def unnamed_languages(rows: DataFrame, key: str, text: str, lang: str, net: ByteNet) -> DataFrame:
@@ -332,7 +391,7 @@ def unnamed_languages(rows: DataFrame, key: str, text: str, lang: str, net: Byte
             if not b.num_rows:
                 continue
             enc = b.column(1).cast(pa.string()).dictionary_encode()
-            langs = [sorted({code for _, code, _ in f}) for f in judge(net, enc.dictionary.to_pylist(), known)]
+            langs = [sorted({code for _, code, _, sure in f if sure and code != UNKNOWN}) for f in judge(net, enc.dictionary.to_pylist(), known)]
             out = [(k, code) for k, i, named in zip(b.column(0).to_pylist(), enc.indices.to_pylist(), b.column(2).to_pylist(), strict=True) for code in langs[i] if code != named]
             cols = list(zip(*out, strict=True)) if out else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], [key, "true_lang"])

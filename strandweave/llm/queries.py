@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import table
+from ..session import ensure_checkpoint_dir
+from ..sources import stores, table
 from .abuse import fit_context, rates, score_fields
 from .bpe_ids import encode_corpus
-from .languages import fit_language_net, language_segments, unnamed_languages
+from .languages import fit_language_net, language_segments, saved_net, unnamed_languages
 from .leaks import find_leaks
 from .personal import personal_kinds, redacted
 from .residue import find_residue
@@ -65,8 +67,14 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _language_net(spark: SparkSession, d: str):
-    clean = [table(spark, d, "eval_items").select("item_text", "lang"), table(spark, d, "pinned_posts").select("post_text", "lang")]
-    return fit_language_net(table(spark, d, "actions"), clean, key="ingest_seq", text="action_text", lang="lang")
+    """The network of these tables; fitted once for their files and kept in the shared folder."""
+    tables = [table(spark, d, n) for n in ("actions", "eval_items", "pinned_posts")]
+    files = sorted(f for t in tables for f in t.inputFiles())
+    written = [stores.modified(spark, f"{d}/{n}.parquet") for n in ("actions", "eval_items", "pinned_posts")]
+    named = hashlib.sha256("\n".join([*files, *map(str, written)]).encode()).hexdigest()[:24]
+    clean = [tables[1].select("item_text", "lang"), tables[2].select("post_text", "lang")]
+    fit = lambda: fit_language_net(tables[0], clean, key="ingest_seq", text="action_text", lang="lang")
+    return saved_net(spark, f"{ensure_checkpoint_dir(spark)}/language-net-{named}", fit)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,7 +213,9 @@ def test_language_held_out_accuracy(spark, net):
     right = 0
     for r, found in zip(rows, languages.judge(net, [r["item_text"] for r in rows], {}), strict=True):
         chars: dict[str, int] = {}
-        for s, code, _ in found:
+        for s, code, _, sure in found:
+            if not sure:
+                continue
             chars[code] = chars.get(code, 0) + len(s)
         right += max(chars, key=chars.get, default=None) == r["lang"]
     assert right / len(rows) > 0.9
@@ -226,3 +229,29 @@ def test_language_tables(spark, net):
     seg = languages.language_segments(df, "ingest_seq", "action_text", net).where("ingest_seq = 1").collect()
     assert [(r["segment"], r["lang"]) for r in seg] == [(0, "ru"), (1, "en")] and all(0.5 < r["confidence"] <= 1 for r in seg)
     assert languages.unnamed_languages(df.limit(0), "ingest_seq", "action_text", "lang", net).count() == 0
+
+
+def test_every_text_has_a_language(spark, net):
+    texts = [None, "", "😂 123", "lol", "ok danke", "Это не просто", "这是一个用中文写的句子，没有其他语言。", "هذه جملة مكتوبة باللغة العربية فقط", "The ferry leaves at noon and we will be late. " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "ingest_seq bigint, action_text string")
+    got: dict = {}
+    for r in languages.language_segments(df, "ingest_seq", "action_text", net).collect():
+        got.setdefault(r["ingest_seq"], []).append(r)
+    assert set(got) == set(range(len(texts))) and all(0 <= r["confidence"] <= 1 for rows in got.values() for r in rows)
+    assert [(got[i][0]["lang"], got[i][0]["confidence"], got[i][0]["full"]) for i in range(3)] == [("und", 0.0, False)] * 3
+    assert [got[i][0]["lang"] for i in (5, 6, 7, 8)] == ["ru", "und", "und", "en"] and got[8][0]["full"] and not got[3][0]["full"]
+    # the whole text counts, but for the spaces between sentences
+    assert sum(r["chars"] for r in got[8]) >= 3000 * 45
+
+
+def test_network_is_saved(spark, net, tmp_path):
+    path, fits = str(tmp_path / "net"), []
+
+    def fit():
+        fits.append(1)
+        return net
+
+    first, again = languages.saved_net(spark, path, fit), languages.saved_net(spark, path, fit)
+    assert len(fits) == 1
+    x, _ = languages._windows(["The ferry leaves at noon", "Das Boot fährt um zwölf"])
+    assert np.array_equal(first.probabilities(x), again.probabilities(x))
