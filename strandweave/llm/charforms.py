@@ -26,6 +26,11 @@ LOOKALIKES = {
     "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ",
     "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ΥҮ", "Z": "Ζ",
 }
+# The same for letters of the Cherokee and Lisu scripts.
+for _latin, _other in zip("ABCDEGHJKLMPRSTVWZ", "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", strict=True):
+    LOOKALIKES[_latin] = LOOKALIKES.get(_latin, "") + _other
+for _latin, _other in zip("ABCDEFGHIJKLMNOPRSTUVWXYZ", "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", strict=True):
+    LOOKALIKES[_latin] = LOOKALIKES.get(_latin, "") + _other
 
 # Characters without width, beside the categories Cf (format) and variation selectors.
 INVISIBLE = (

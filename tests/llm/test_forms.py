@@ -54,3 +54,14 @@ def test_form_cases(spark):
     assert consistent_form(df.limit(0), ["t"]).count() == 0
     assert consistent_form(consistent_form(df, ["t"]), ["t"]).columns == ["ingest_seq", "t", "s", "t_form"]
     assert find_copies(df, "ingest_seq", ["t"], spark.createDataFrame([], "item_id bigint, post_text string")).count() == 0
+
+
+def test_many_posts_are_joined(spark):
+    """Posts beyond the bounds give the same rows by a join on the skeleton."""
+    posts = spark.createDataFrame([(1, "Café at noon"), (2, "plain post"), (3, None), (4, "Café at noon")], "item_id bigint, post_text string")
+    rows = spark.createDataFrame([(1, "Cafе́ at noon", "plain post"), (2, "ｐlain post", None), (3, "", "Café at noon"), (3, "", "Café at noon"), (4, "ᏟᎪFÉ", "CAFÉ")], "ingest_seq bigint, action_text string, target string")
+    few = sorted(tuple(r) for r in find_copies(rows, "ingest_seq", ["action_text", "target"], posts).collect())
+    for bound in ({"max_posts": 1}, {"max_chars": 3}):
+        assert sorted(tuple(r) for r in find_copies(rows, "ingest_seq", ["action_text", "target"], posts, **bound).collect()) == few
+    assert (2, "action_text", 2) in few and few.count((3, "target", 1)) == 2
+    assert charforms.skeleton("ᏟᎪFÉ") == charforms.skeleton("CAFÉ") and charforms.skeleton("ꓓꓳꓖ") == "DOG"
