@@ -111,8 +111,9 @@ MESSAGE_WORDS = frozenset(
 NEUTRAL = frozenset("the a an of to in on at for by with from and or it its this that these is was be has have been will may must no your our my we us as so let if when then than de la le les des du et à el los las un una y o der die das den dem ein eine und zu im il lo di da em e do os het een van i w na ve bir".split())
 FURNITURE = re.compile(r"^(?:powered by \S+|back to the (?:start|home) ?page|home(?: \| \w+)+|©.{0,40}|\W*)$", re.IGNORECASE)
 _LABEL = re.compile(r"^\s*([^\W\d_][\w ]{0,24}?)\s?:\s+(?=\S)")
-# What every placeholder holds some of.
-_MAYBE = re.compile(r"[{\[<%$]|__|\?{5}|x{4}|undefined|nan|todo|fixme|tbd|^(?:null|none|nil|n/a)$", re.IGNORECASE)
+# What every placeholder holds some of, in lower case; and every blank or default.
+_MAYBE = re.compile(r"[{\[<%$]|__|\?{5}|x{4}|undefined|\bnan\b|todo|fixme|tbd|^(?:null|none|nil|n/a)$")
+_SOFT_SIGNS = (" ,", " .", "(", '"', "“", "«", "Doe", "Your Name", "Company Name", "First Last", "Mustermann", "Dupont", "Juan Pérez", "Mario Rossi")
 _WORDS = re.compile(r"[^\W_](?:[\w'’-]*[^\W_])?")
 _PIECES = re.compile(rf"{HOLE}|{_WORDS.pattern}")
 _HOLES = re.compile(f"{HOLE}(?: {HOLE})*")
@@ -191,6 +192,9 @@ def _bodies(block: str) -> list[str]:
 
 def _said(body: str) -> str | None:
     """The kind of message that a body is as a whole or in each of its sentences."""
+    # a sentence holds no hint that the body does not hold
+    if next(_hints().iter(body.casefold().replace("’", "'")), None) is None:
+        return None
     parts = [_message(x) for x in _SENTENCES.split(body) if not FURNITURE.match(x)]
     return _message(body) or (parts[0] if len(parts) > 1 and all(parts) else None)
 
@@ -209,7 +213,7 @@ def judge(text: str) -> list[tuple[str, str, str | None]]:
         if kind:
             out.append((kind, " ".join(w for w in _WORDS.findall(b.casefold()) if not _CODE.match(w)), None))
             continue
-        if _MAYBE.search(b):
+        if _MAYBE.search(b.lower()):
             spots = [m.group().casefold() for m in PLACEHOLDER.finditer(b)]
             if spots:
                 template = _template(b)
@@ -217,7 +221,7 @@ def judge(text: str) -> list[tuple[str, str, str | None]]:
                 bare = empty or _bare(len(spots), len(template) - len(spots))
                 out.append(("bare" if bare else "slot", " ".join(template), "\n".join(spots)))
                 continue
-        if (soft := SOFT.search(b)) and len(template := _template(b, SOFT)) >= 5:
+        if any(x in b for x in _SOFT_SIGNS) and (soft := SOFT.search(b)) and len(template := _template(b, SOFT)) >= 5:
             out.append(("soft", " ".join(template), soft.group().casefold()))
     return out
 
@@ -247,19 +251,23 @@ def _bit(kind: str, words: list[str]) -> int:
     return zlib.crc32("".join([kind, *(f" {w}" for w in words)]).encode()) % BITS
 
 
-def _ends(words: list[str], bits: np.ndarray, sizes: dict[str, set[int]]) -> Iterator[str]:
-    """The keys of templates of which a block of these words may be a filled record, by their bits and numbers of words."""
+def _ends(words: list[str], bits: np.ndarray, heads: np.ndarray, sizes: dict[str, set[int]]) -> Iterator[str]:
+    """The keys of templates of which a block of these words may be a filled record, by their bits (of the first word, then of all) and numbers of words."""
     n = len(words)
     for kind, row in (("^", words), ("$", words[::-1])):
-        if sizes[kind]:
-            h = zlib.crc32(kind.encode())
-            for k, w in enumerate(row[: min(n - 1, max(sizes[kind]))], 1):
+        if sizes[kind] and n > 1:
+            h = zlib.crc32(f"{kind} {row[0]}".encode())
+            if not heads[h % BITS]:
+                continue
+            if 1 in sizes[kind] and bits[h % BITS]:
+                yield f"{kind} {row[0]}"
+            for k, w in enumerate(row[1 : min(n - 1, max(sizes[kind]))], 2):
                 h = zlib.crc32(f" {w}".encode(), h)
                 if k in sizes[kind] and bits[h % BITS]:
                     yield " ".join([kind, *row[:k]])
     for k in sizes["~"]:
         for i in range(1, n - k):
-            if bits[_bit("~", words[i : i + k])]:
+            if heads[_bit("~", words[i : i + 1])] and bits[_bit("~", words[i : i + k])]:
                 yield " ".join(["~", *words[i : i + k]])
 
 
@@ -328,27 +336,28 @@ def find_residue(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") ->
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keyed = [(t, " ".join([e[0], *e[1]]), e[0], len(e[1]), _bit(*e), f"^{_HOLES.sub('.+', t)}$") for t in b.column(0).to_pylist() if (e := _end(t.split()))]
-            cols = list(zip(*keyed, strict=True)) if keyed else [[]] * 6
-            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["template", "end", "place", "size", "bit", "pattern"])
+            keyed = [(t, " ".join([e[0], *e[1]]), e[0], len(e[1]), _bit(*e), _bit(e[0], e[1][:1]), f"^{_HOLES.sub('.+', t)}$") for t in b.column(0).to_pylist() if (e := _end(t.split()))]
+            cols = list(zip(*keyed, strict=True)) if keyed else [[]] * 7
+            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["template", "end", "place", "size", "bit", "head", "pattern"])
 
-    open_ = cut(templates.where("NOT varied").select("template").mapInArrow(ends, "template string, end string, place string, size int, bit int, pattern string"))
+    open_ = cut(templates.where("NOT varied").select("template").mapInArrow(ends, "template string, end string, place string, size int, bit int, head int, pattern string"))
     # at most BITS numbers, and one for each number of words that an end has
-    bits = np.zeros(BITS, bool)
+    bits, heads = np.zeros(BITS, bool), np.zeros(BITS, bool)
     sizes: dict[str, set[int]] = {"^": set(), "$": set(), "~": set()}
     for place, size in open_.select("place", "size").distinct().collect():
         sizes[place].add(size)
     bits[[r[0] for r in open_.select("bit").distinct().collect()]] = True
+    heads[[r[0] for r in open_.select("head").distinct().collect()]] = True
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: set[tuple[str, str]] = set()
             for t in set(b.column(0).to_pylist()):
                 for block in _blocks(t) if t and t.strip() else ():
-                    words = _template(block) if _MAYBE.search(block) else [w.casefold() for w in _WORDS.findall(block)]
+                    words = _template(block) if _MAYBE.search(block.lower()) else [w.casefold() for w in _WORDS.findall(block)]
                     if HOLE not in words:
-                        out.update((e, " ".join(words)) for e in _ends(words, bits, sizes))
+                        out.update((e, " ".join(words)) for e in _ends(words, bits, heads, sizes))
             cols = list(zip(*out, strict=True)) if out else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["end", "record"])
 
