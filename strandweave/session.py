@@ -7,7 +7,8 @@ setting is absent and the master is local.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "strandweave-checkpoints")
+    path = tempfile.mkdtemp(prefix="strandweave-checkpoints-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 

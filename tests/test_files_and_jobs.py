@@ -226,3 +226,20 @@ def test_mean_pool():
 
     v = mean_pool(np.array([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]]]), np.array([[1, 1, 0]]))
     assert np.allclose(v, [[0.6, 0.8]])
+
+
+def test_streaming_windows_of_many_frames(spark, tmp_path):
+    """A key whose batch spans several Arrow frames is numbered in the order of the whole batch."""
+    from strandweave.streaming.count_windows import streaming_windows
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        src = str(tmp_path / "in")
+        spark.createDataFrame([(1, s) for s in reversed(range(100))], "user_id bigint, ingest_seq bigint").coalesce(1).write.parquet(src)
+        stream = spark.readStream.schema("user_id bigint, ingest_seq bigint").parquet(src)
+        q = streaming_windows(stream, size=5, number=4).writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = sorted((r["window_idx"] * 5 + r["wpos"], r["ingest_seq"]) for r in spark.sql("SELECT * FROM frames").collect())
+        assert got == [(i, i) for i in range(20)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
