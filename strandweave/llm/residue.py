@@ -65,7 +65,7 @@ LATIN_FILLER = frozenset(
     "anim id est laborum vestibulum vivamus pellentesque curabitur vel mauris at justo nec purus donec".split()
 )
 # Words that are repeated to fill space.
-FILL_WORDS = frozenset("text test content sample lorem blah foo bar baz asdf placeholder dummy xxx abc texto texte tekst testo testing demo example テキスト ダミー テスト 텍스트 테스트 текст тест metin".split())
+FILL_WORDS = frozenset("text test content sample lorem blah foo bar baz asdf asdfg asdfgh qwer qwert qwerty qwertz azerty zxcv yxcv hjkl jkl dfgh fghj placeholder dummy xxx abc texto texte tekst testo testing demo example テキスト ダミー テスト 텍스트 테스트 текст тест metin".split())
 
 # Strong phrases of each kind of page template, as patterns on the case-folded block.
 STRONG = {
@@ -82,7 +82,7 @@ STRONG = {
         r"|(?:enabl|activ|requir|need|must|disabl|block|allow|turn|switch|without|through|aktivier|active|habilit|attiv|ative|schakel|włącz|etkin|включ|увімк).{0,60}(?:javascript|\bjs\b|\bscripts?\b|スクリプト|скрипт)"
     ),
     "filler": re.compile(
-        r"placeholder|(?:text|content|bio|name|title|description|caption|story|headline) (?:goes )?here\b|sample text|dummy text|replace this|replace me|your own (?:content|text|words)|lorem ipsum|insert .{0,20}here|to be (?:added|written|replaced|announced)"
+        r"placeholder|coming soon|under construction|intentionally (?:left )?blank|for layout\b|layout (?:purposes )?only|dummy (?:post|page|entry|content|profile|description|message)|(?:text|content|bio|name|title|description|caption|story|headline) (?:goes )?here\b|sample text|dummy text|replace this|replace me|your own (?:content|text|words)|lorem ipsum|insert .{0,20}here|to be (?:added|written|replaced|announced)"
         r"|texto de (?:ejemplo|exemplo|relleno|prueba)|sustituir antes|texte à remplacer|texte d'exemple|faux texte|platzhalter|beispieltext|blindtext|mustertext|hier (?:steht|kommt|text)|testo (?:di esempio|segnaposto)|voorbeeldtekst|tekst zastępczy|przykładowy tekst|örnek metin|пример текста|текст-заполнитель|приклад тексту|ダミーテキスト|ここに.{0,12}(?:入|書|テキスト)|サンプルテキスト|여기에|예시 텍스트"
     ),
 }
@@ -94,6 +94,7 @@ MESSAGE_WORDS = frozenset(
     "sorry oops removed author available unavailable longer anymore moved deleted exists exist found not missing permission permissions view access denied forbidden unauthorized gateway bad timeout temporarily service internal "
     "went wrong something while checking continue takes few wait network check part did work properly without support supports blocks block nothing shown here show display displayed open use see rendering "
     "keyerror traceback exception upstream headers sent gave reason overflow too many rate limited limit served could cannot can't doesn't don't does back home help terms powered id "
+    "session expired log login sign signed in out again account password cookies cookie verify human robot captcha security maintenance scheduled dummy used layout only purposes coming soon under construction intentionally left blank entry message unexpected occurred unable failed reach reached "
     "text sample goes replace own placeholder description section bio tell people who you are example insert add publishing before dummy name "
     "veuillez activer afficher contenu cette publication page n'est plus disponible erreur introuvable réessayez tard texte remplacer avant publication "
     "bitte aktivieren sie um diese seite zu sehen nicht gefunden angeforderte angeforderter inhalt existiert mehr fehler später versuchen verfügbar "
@@ -164,7 +165,7 @@ def _message(block: str) -> str | None:
                 return "filler"
         if len(words) >= 3 and all(w in FILL_WORDS for w in words):
             return "filler"
-    covered = sum(w in MESSAGE_WORDS for w in telling) / len(telling)
+    covered = sum(w in MESSAGE_WORDS or w in FILL_WORDS for w in telling) / len(telling)
     cjk = bool(_CJK.search(low))
     for kind, strong in STRONG.items():
         if kind not in kinds or not strong.search(low):

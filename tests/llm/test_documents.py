@@ -233,3 +233,10 @@ def test_items_in_blocks(spark, monkeypatch):
     parts = rows(False), rows(True)
     exact = lambda x: {r for r in x if r[3] >= 15}
     assert exact(parts[0]) == exact(whole[0]) and parts[1] == whole[1] and len(exact(parts[0])) >= 50
+
+
+def test_more_messages_and_filler(spark):
+    cases = ["Session expired, please sign in again to see this profile\nHome | Help | Terms", "asdf asdf asdf qwer qwer", "This is a dummy post used for layout only. Content coming soon.", "Under construction, please try again later"]
+    talk = ["My session at the gym expired, so I signed in again at the desk and had a coffee", "The bakery is coming soon to our street, said the baker", "We used a dummy in the play and nobody noticed it"]
+    df = spark.createDataFrame(list(enumerate(cases + talk)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.find_residue(df).collect()} == set(range(len(cases)))
