@@ -406,6 +406,9 @@ WINDOWS = [
     (0.9, "abusive", rf"\b(?:halt die klappe|halt's maul|halt das maul|verpiss dich|geh sterben|stirb|lárgate|vete a la mierda|cállate|callate|ferme ta gueule|ta gueule|dégage|va mourir|casse-toi|stai zitto|stai zitta|vaffanculo|fai schifo|crepa|cala a boca|some daqui|vai se foder|hou je bek|rot op|zamknij się|zamknij sie|spadaj|wypierdalaj|заткнись|закрой рот|сдохни|проваливай|пошел вон|пошёл вон|заткайся|здохни|замовкни|kapa çeneni|defol|siktir|geber|sus lan)\b(?:.*\b(?:{_INS}|{_ADJ}|dich|te|ti|boca|tutti)\b)?"),
     (0.95, "abusive", r"\b(?:dir|dich) (?:schlägt|bricht|haut|macht) (?:jemand|einer)\b|\bich (?:finde|kriege|schlage|bringe) dich\b|\bojalá (?:te|alguien)\b|\bte voy a (?:matar|romper|pegar|encontrar|partir)\b|\bon te (?:cassera|cassera|tuera|brisera|frappera)\b|\bj'espère qu'on te\b|\bje vais te (?:tuer|frapper|trouver|casser)\b|\b(?:spero che )?ti (?:spacchino|spacco|rompo|ammazzo|trovo|rompano|ammazzino)\b|\btomara que (?:alguém |te )|\bte (?:quebre|quebro|mato|encontre|pego|mate|arrebento)\b|\bчтоб (?:тебе|ты|тебя)\b|\b(?:убью|найду|зарежу|сломаю) (?:тебя|тебе)\b|\bтебе (?:ноги|руки|лицо|зубы) (?:пере|с)?лома|\bщоб (?:тобі|ти|тебе)\b|\bseni (?:bulup|bulacağım|öldüreceğim|gebert)|\bik (?:maak|vind|sla) je\b|\bzabiję cię|\bznajdę cię"),
     (0.85, "abusive", rf"\b(?:dich|dir|te|ti|tout le monde te|todos te|você|тебя|тебе|seni|sana|cię|jou|je)\b.*(?<![^ ])(?:{_INS})(?: humano| humain)?$"),
+    (0.9, "abusive", r"\b(?:you are|you're|you mean|you are worth|you're worth) (?:absolutely |worth |just )?nothing(?! (?:but|if|like|less|short)\b)\b|\bdu bist (?:gar )?nichts wert\b|\bno (?:vales|sirves para) nada\b|\btu ne (?:vaux|sers à) rien\b|\btu (?:vaux|sers à) rien\b|\bnon (?:vali|servi a) (?:niente|nulla)\b|\b(?:você )?não (?:vales|vale|serves|serve) (?:para )?nada\b|\bje bent niets waard\b|\bjesteś nic niewart\w*|\bты (?:ничего не стоишь|никто и звать)\b|\bти нічого не варт\w*|\bbeş para etmezsin\b|\bhiçbir işe yaramazsın\b"),
+    (0.95, "abusive", r"\bi (?:hope|wish) you (?:would |all )?(?:just )?(?:disappear|vanish|were dead|never existed)\b|\bojalá (?:te mueras|te mates|te pudras|desaparezcas|revientes)\b|\bj'espère que tu (?:vas )?(?:crèves?|crever|disparais|disparaisses|meurs|mourir)\b|\bich hoffe,? du (?:stirbst|verschwindest|verreckst|krepierst)\b|\bspero che tu (?:muoia|sparisca|crepi)\b|\b(?:tomara que|espero que) (?:você |tu )?(?:morras?|sumas?|desapareças?)\b|\bik hoop dat je (?:doodgaat|sterft|verdwijnt)\b|\boby(?:ś|s) (?:zdech\w*|zniknął|zniknęła)\b|\bчтоб ты (?:сдох\w*|исчез\w*|провалил\w*)|\bщоб ти (?:здох\w*|зник\w*|провалив\w*)|\bumarım (?:ölürsün|geberirsin|yok olursun)\b"),
+    (0.9, "sexual", r"\b(?:schick|schicke|send|mándame|mandame|envíame|enviame|pásame|envoie|montre|mandami|inviami|manda|me manda|envia|stuur|wyślij|пришли|скинь|надішли|gönder)\b.*\b(?:photos?|fotos?|foto's|bilder|bild|imágenes|immagini|imagens|pics|zdjęcia|zdjęcie|фото|фотки|resim\w*|fotoğraf\w*)\b.*\b(?:sans rien(?! [^ ]+(?:er|ir|re)\b)|sans vêtements|sin nada(?! (?:de|que|más)\b)|sin ropa|senza niente(?! (?:di|da|in)\b)|senza vestiti|sem nada(?! (?:de|que|mais)\b)|sem roupas?|ohne alles|ohne klamotten|ohne kleidung|zonder kleren|zonder iets|bez niczego|bez ubrania|bez ubrań|без одежды|без всего|без одягу|без нічого|kıyafetsiz)\b"),
     (0.9, "sexual", r"\b(?:schick|schicke|zeig|mándame|mandame|envíame|enviame|pásame|envoie|envoie-moi|montre|montre-moi|mandami|inviami|fammi vedere|manda|me manda|mande|envia|stuur|laat|wyślij|pokaż|пришли|скинь|покажи|надішли|скинь|gönder|göster)\b.*\b(?:nacktbilder|nacktfotos|nackt|sin ropa|desnuda|desnudo|desnudas|nue|nues|nu|nude|nudes|spogliata|nuda|nudo|sem roupa|pelada|pelado|nua|naakt\w*|nagie|nago|голые|голая|голую|голой|голі|голу|гола|çıplak)\b|\bdu geiles stück\b"),
     (0.9, "hateful", rf"\b{_GRP}(?: [^ ]+){{0,2}}? (?:sind|son|sont|sono|são|zijn|są|это|-|є|hepsi|ist|es una?|são uns|sono dei|sont des)(?: [^ ]+){{0,3}}? (?:{_LOW}|{_INS}|{_ADJ})\b"),
     (0.9, "hateful", rf"\b{_GRP}\b.*\b(?:raus|vertreiben|fuera|echarlos|expulsar|qu'on les chasse|dehors|les chasser|vanno cacciati|cacciarli|via tutti|fora|expulsos|expulsar|eruit|wyrzucić|won|гнать|вон|гнати|геть|kovulmalı|defolsun|atılmalı)\b|\b(?:гнать|гнати|raus mit|fuera|dehors|fora|weg met|precz z)\b.*\b{_GRP}\b|\bпонаехали\b.*\b(?:крысы|гнать|твари|чужак\w*)\b"),
@@ -416,7 +419,7 @@ WINDOWS = [
 UNSPACED = [
     (0.95, "sexual", re.compile(r"(?:裸|ヌード|下着|おっぱい|エロ)[^。]{0,10}(?:写真|画像|動画)?[^。]{0,6}(?:送れ|送って|見せろ|見せて|くれ)|알몸|나체|야한 사진|벗은 사진|벗어")),
     (0.9, "hateful", re.compile(r"(?:外国人|移民|難民|女|老人|障害者|よそ者)[^。]{0,12}(?:ゴミ|クズ|役立たず|害虫|寄生虫|ネズミ|追い出せ|出て行け|消えろ|死ね)|(?:외국인|이민자|난민|여자|노인|장애인)[^.]{0,14}(?:쓰레기|벌레|해충|쥐|기생충|쫓아|몰아|꺼져|내쫓)")),
-    (0.9, "abusive", re.compile(r"(?:お前|おまえ|てめえ|貴様|あんた)[^。]{0,12}(?:ゴミ|クズ|役立たず|バカ|馬鹿|アホ|消えろ|死ね|キモ|気持ち悪|うざ)|死ね|殺す|殺して?やる|消えろ[、よ]|くたばれ|(?:너|네|니|당신)[^.]{0,14}(?:쓰레기|병신|멍청|바보|찌질|역겨|꺼져|죽어|한심|버러지|기생충|새끼)|죽여 ?버|죽어 ?버|뒤져|닥쳐|꺼져|가만 ?안 ?둬")),
+    (0.9, "abusive", re.compile(r"(?:お前|おまえ|てめえ|貴様|あんた)[^。]{0,12}(?:ゴミ|クズ|役立たず|バカ|馬鹿|アホ|消えろ|死ね|キモ|気持ち悪|うざ)|(?:クズ|ゴミ|バカ|馬鹿|アホ|役立たず|カス)(?:野郎|ども)?は(?:黙って?(?:いろ|ろ)|黙れ|消えろ|出て行け)|誰も(?:お前|おまえ|てめえ|あんた|君)(?:なんか|のことなんか|のこと)?[^。]{0,4}(?:好きじゃない|嫌い|必要としていない|愛していない)|黙れ|死ね|殺す|殺して?やる|消えろ[、よ]|くたばれ|(?:너|네|니|당신)[^.]{0,14}(?:쓰레기|병신|멍청|바보|찌질|역겨|꺼져|죽어|한심|버러지|기생충|새끼)|아무도 (?:너|널|너를|너 같은|네)[^.]{0,8}(?:안 ?좋아|좋아하지 않|원하지 않|싫어)|죽여 ?버|죽어 ?버|뒤져|닥쳐|꺼져|가만 ?안 ?둬")),
 ]
 
 # Signs that a term is quoted, reported or rejected.
