@@ -203,3 +203,21 @@ def test_cap_orders(spark):
 
 def test_endpoints():
     assert endpoints("http://a:1/", "http://b:2/v1, http://a:1") == ("http://a:1/v1", "http://b:2/v1")
+
+
+def test_windows_of_a_skewed_user(spark):
+    """A user with a third of all rows gets the same windows as the others would."""
+    n = 60_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500 + 2).cast("bigint").alias("user_id"), F.lit(1).cast("bigint").alias("community_id"), F.col("id").alias("ingest_seq"),
+        F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 200), "yyyyMMddHHmm").alias("date"), F.lit(None).cast("string").alias("timestamp"),
+    )
+    first = windows.contiguous_windows(rows).where("user_id = 1").collect()
+    assert sorted((r["window_idx"] * 10 + r["wpos"], r["ingest_seq"]) for r in first) == [(i, 3 * i) for i in range(50)]
+    got = windows.month_chain_windows(rows, per_window=5, months=3).where("user_id = 1").collect()
+    assert {(r["window_idx"], r["wpos"]) for r in got} == {(w, p) for w in range(3) for p in range(5)}
+    for w in range(3):
+        at = [r["ingest_seq"] for r in sorted(got, key=lambda r: (r["window_idx"], r["wpos"])) if r["window_idx"] == w]
+        gaps = [b - a for a, b in zip(at, at[1:], strict=False)]
+        # evenly in time: all gaps alike but for the rounding to whole rows
+        assert max(gaps) - min(gaps) <= 6
