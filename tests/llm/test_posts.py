@@ -123,14 +123,14 @@ def test_masked_and_single_words():
     assert [t for t in ("Ok!", "Rats!", "You.", "P****") if abuse.score_text(t)[0] >= abuse.THRESHOLD] == []
 
 
-UNSEEN_ABUSE = ["Go back to your country, you animal.", "I'll slit your throat when I see you.", "Blacks are not human.", "Muslims should be banned from living here.", "Wanna see my cock?", "You should be hanged, traitor.", "Tu es une grosse merde", "you are a mroon", "You're such a cnut", "The Zorblaxians are vermin", "Whore!", "Kys"]
-UNSEEN_ABUSE += ["No vales nada, ojalá desaparezcas", "Du bist nichts wert", "Tu ne sers à rien", "Envoie-moi des photos de toi sans vêtements", "Mándame fotos sin ropa", "クズは黙ってろ、誰もお前なんか好きじゃない", "You are nothing", "I hope you disappear"]
-UNSEEN_CLEAN = ["You are nothing like your brother", "Envoie-moi des photos du jardin, sans rien changer", "No vale nada esta lavadora", "誰も怒らなかった","I will find you a good seat", "I'll get you a coffee", "You are not stupid, do not worry", "Go back to your seat please", "You should be banned from the kitchen, that cake was the best", "Stop saying refugees are parasites", "Women should vote in every election", "Courgettes are not people", "You are the best clown in the circus", "They called me a loser at school and it hurt"]
+OTHER_ABUSE = ["Go back to your country, you animal.", "I'll slit your throat when I see you.", "Blacks are not human.", "Muslims should be banned from living here.", "Wanna see my cock?", "You should be hanged, traitor.", "Tu es une grosse merde", "you are a mroon", "You're such a cnut", "The Zorblaxians are vermin", "Whore!", "Kys"]
+OTHER_ABUSE += ["No vales nada, ojalá desaparezcas", "Du bist nichts wert", "Tu ne sers à rien", "Envoie-moi des photos de toi sans vêtements", "Mándame fotos sin ropa", "クズは黙ってろ、誰もお前なんか好きじゃない", "You are nothing", "I hope you disappear"]
+OTHER_CLEAN = ["You are nothing like your brother", "Envoie-moi des photos du jardin, sans rien changer", "No vale nada esta lavadora", "誰も怒らなかった","I will find you a good seat", "I'll get you a coffee", "You are not stupid, do not worry", "Go back to your seat please", "You should be banned from the kitchen, that cake was the best", "Stop saying refugees are parasites", "Women should vote in every election", "Courgettes are not people", "You are the best clown in the circus", "They called me a loser at school and it hurt"]
 
 
 def test_abuse_in_other_words():
-    assert [t for t in UNSEEN_ABUSE if abuse.score_text(t)[0] < abuse.THRESHOLD] == []
-    assert [t for t in UNSEEN_CLEAN if abuse.score_text(t)[0] >= abuse.THRESHOLD] == []
+    assert [t for t in OTHER_ABUSE if abuse.score_text(t)[0] < abuse.THRESHOLD] == []
+    assert [t for t in OTHER_CLEAN if abuse.score_text(t)[0] >= abuse.THRESHOLD] == []
 
 
 def test_context_is_fitted_and_holds_out(spark, data):
